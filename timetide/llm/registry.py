@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timetide.llm import bpe, langid, mixing, quality_rules
+from timetide.llm.textops import crc_of_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -13,14 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from timetide.llm.bpe import bpe_encode
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
+    model = langid.fit_on(docs.filter(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
 
-    return bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op9_bpe": op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
+}
