@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import bpe, langid, mixing, quality_rules
+from timetide.llm import bpe, langid, mixing, quality, quality_rules, toxicity
 from timetide.llm.textops import crc_of_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -24,6 +24,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def _scored(docs: DataFrame, labels: DataFrame, part, score, threshold: float) -> DataFrame:
+    """Fit on the labels that are not held out, and score every document."""
+    held_out = F.pmod(crc_of_id(), F.lit(5)) == 0
+    rows = score(docs, part.fit_on(docs, labels.filter(~held_out)))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity, toxicity.score_toxicity, 0.5)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality, quality.score_quality, 0.3)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,6 +54,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op9_bpe": op9_bpe,
