@@ -1,0 +1,26 @@
+"""Cutting lineage where every executor can read the result again."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ready(spark: SparkSession) -> None:
+    """Make sure that a checkpoint folder is set: the session's own, else (in tests) a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None:
+            told = tempfile.mkdtemp(prefix="timetide-checkpoints-")
+            atexit.register(shutil.rmtree, told, True)
+        context.setCheckpointDir(told)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder."""
+    ready(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import bpe, langid, mixing, quality, quality_rules, toxicity
+from timetide.llm import bpe, hamming, langid, mixing, quality, quality_rules, toxicity
 from timetide.llm.textops import crc_of_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -39,6 +39,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality, quality.score_quality, 0.3)
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(points, points.filter(F.col("id") % 100 == 0), k=10)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,6 +60,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_hamming_top_k": op3_hamming_top_k,
     "op4_quality": op4_quality,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
@@ -62,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_hamming_top_k": hamming.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
