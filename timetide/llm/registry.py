@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import bpe, hamming, langid, mixing, quality, quality_rules, toxicity
+from timetide.llm import bpe, hamming, langid, mixing, quality, quality_rules, substrings, toxicity
 from timetide.llm.textops import crc_of_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -53,6 +53,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = substrings.dedup_substrings(docs, digest=True)
+    return rows.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
 }
 
