@@ -21,7 +21,7 @@ nothing and covers nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +101,26 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int, places: bool) -> Itera
         yield chunk
 
 
-def sketch(texts: DataFrame, width: int, cells: int) -> np.ndarray:
-    """(DEPTH, cells / 8): for every row one bit a cell, set where the count is 2 or more."""
+def cells_for(n: int) -> int:
+    """Cells of a row for about n hashes: two each or more, between the two bounds."""
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * n).bit_length()))
+
+
+def window_runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
+    """The hashes of all windows, some at a time."""
+    return lambda batches: (np.concatenate(c.h) for c in chunks(batches, width, places=False))
+
+
+def sketch(texts: DataFrame, runs: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int) -> np.ndarray:
+    """(DEPTH, cells / 8): for every row one bit a cell, set where the count of the hashes of the texts is 2 or more.
+
+    runs: what gives the hashes of Arrow batches of texts, an array at a time.
+    """
     blocks = max(1, cells >> BLOCK_BITS)
     per_block = cells // blocks
 
     def partial(batches):
-        for chunk in chunks(batches, width, places=False):
-            h = np.concatenate(chunk.h)
+        for h in runs(batches):
             out = {"block": [], "n": [], "cells": [], "twice": [], "m": []}
             for row in range(DEPTH):
                 x = np.sort(cells_of(h, row, cells))
@@ -186,8 +198,8 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select(*keys(), F.col("text").cast("string").cast("binary").alias("text"))
     # About six bytes a word: only the sizes of the sketch and of the groups hang on it.
     about = (docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0) // 6
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * about).bit_length()))
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, width, cells))
+    cells = cells_for(about)
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, window_runs(width), cells))
     n_shards, n_buckets = max(16, about // PER_SHARD), max(16, about // PER_BUCKET)
     schema = "key int, n int, h binary, g binary, ids binary, ths binary, starts binary"
     names = ["key", "n", "h", "g", "ids", "ths", "starts"]
