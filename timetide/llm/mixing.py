@@ -51,8 +51,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     # All sources before this one stand at their caps: what is left, over the weight that is left, is the level.
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    t = t.withColumn("level", level).withColumn("holds", F.col("level") <= F.col("cap") / F.col("weight"))
-    t = t.withColumn("final", F.min(F.when(F.col("holds"), F.col("level"))).over(everything))
+    t = t.withColumn("level", level).withColumn("nth", F.row_number().over(by_ratio))
+    t = t.withColumn("final", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("nth", "level"))).over(everything)["level"])
     # `final` is null only where no source has words.
     target = F.when(F.col("final").isNull(), F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight")))
     return t.select("source", "source_size", target.alias("target"))
@@ -107,9 +107,10 @@ w AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap
   FROM s),
 l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS nth
   FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS final FROM l),
+f AS (SELECT *, arg_min(level, nth) FILTER (WHERE level <= cap / weight) OVER () AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN 0.0 ELSE least(cap::DOUBLE, final * weight) END AS target FROM f)
 SELECT doc_id, size, t.source_size, t.target,
        (size * (floor(off + rank * rate) - floor(off + (rank - 1) * rate)))::BIGINT AS taken

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timetide.llm.quality import labelled_sample
-from timetide.llm.textops import LOWER, TextBlock, doc_id_type, map_texts, mix, texts_of
+from timetide.llm.textops import LOWER, TextBlock, doc_id_type, map_texts, mix, slices, texts_of
 
 WINDOW, STRIDE = 16, 8
 WORD_BUCKETS, CHAR_BUCKETS, DIMS, HIDDEN = 1 << 15, 1 << 14, 8, 8
@@ -347,8 +347,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: bool = False) -
         rows = docs.withColumn("__text", F.col("text").cast("string").cast("binary"))
 
         def carried(batches):
-            from timetide.llm.textops import slices
-
             for batch in batches:
                 for part in slices(batch, "__text"):
                     score = sent.value.score(part.column("__text").to_pylist())
