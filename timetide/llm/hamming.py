@@ -1,9 +1,9 @@
 """Exact top-k search of binary codes by incremental multi-index hashing (operator 3).
 
 A 64-bit code is cut into `m` segments, each a key into an index of all distinct codes. A query first looks up its own
-segments, then all keys at distance 1 from them, then 2, and so on. With every segment searched up to radius r, a code
-not met yet differs by r + 1 or more in each segment, by m * (r + 1) or more in all: once the k-th verified distance is
-below that, the query's answer is proved and it leaves. Equal codes share one index entry, with the k smallest of their
+segments, then all keys at distance 1 from them, then one segment at a time at 2, and so on. With the first i + 1
+segments searched up to radius r and the others to r - 1, a code not met yet differs by more than m * r + i in all:
+once the k-th verified distance is no more than that, the query's answer is proved and it leaves. Equal codes share one index entry, with the k smallest of their
 ids (no other can be among the first k, as ties go by id), so a hot code costs one row.
 
 Radii grow by exploding probes: a probe with its highest changed bit j yields those that also change one bit above j.
@@ -15,6 +15,7 @@ equal codes count once; a table of fewer than k rows gives all of them; more tha
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ def sign_code(embedding: Column) -> Column:
 
 
 def segments(n: int) -> list[tuple[int, int]]:
-    """(offset, width) of the segments for n codes: as wide as log2(n), up to 21 bits, so that a key has few codes."""
-    m = max(4 if n < 1 << 18 else 3, round(BITS / max(8, math.log2(max(n, 2)))))
+    """(offset, width) of the segments for n codes: about as wide as log2(n), 16 to 32 bits, so that a key has few codes."""
+    m = min(4, max(2, round(BITS / max(1.0, math.log2(max(n, 2))))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -57,14 +58,12 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = cut(firsts.select("code").distinct().select("code", F.explode(places).alias("place")).select("place.segment", "place.key", "code"))
     found = None
     active = queries
-    for radius in range(max(w for _, w in cuts) + 1):
-        probes = _probes(active, cuts, radius)
-        met = probes.join(index, ["segment", "key"]).select("query_id", "query", "code").distinct()
+    for radius, at, covered in _steps(cuts):
+        met = _probes(active, cuts, radius, at).join(index, ["segment", "key"]).select("query_id", "query", "code").distinct()
         verified = met.join(firsts, "code").select("query_id", "query", "id", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         rows = verified if found is None else verified.unionByName(found).distinct()
         order = Window.partitionBy("query_id", "query").orderBy("distance", "id")
         found = cut(rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
-        covered = len(cuts) * (radius + 1) - 1
         done = found.groupBy("query_id", "query").agg(F.count("id").alias("n"), F.max("distance").alias("worst")).filter((F.col("n") >= enough) & (F.col("worst") <= covered))
         active = cut(active.join(done, ["query_id", "query"], "left_anti"))
         if active.isEmpty():
@@ -73,9 +72,21 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return found.select("query_id", F.col("id").alias("neighbor_id"), F.col("distance").cast("int"), F.row_number().over(order).cast("int").alias("rank"))
 
 
-def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """Every key at this very distance from the query's own, in each segment that is wide enough."""
-    start = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(at[1]).alias("width"), _key(F.col("query"), at).alias("key")) for i, at in enumerate(cuts) if at[1] >= radius])
+def _steps(cuts: list[tuple[int, int]]) -> Iterator[tuple[int, list[int], int]]:
+    """Radius, the segments to search at it, and the distance that is covered afterwards: all segments at once up to 1, then one at a time."""
+    m, widest = len(cuts), max(w for _, w in cuts)
+    for radius in range(widest + 1):
+        if radius < 2:
+            yield radius, list(range(m)), m * (radius + 1) - 1
+        else:
+            for i in range(m):
+                # Segments up to i are searched to this radius, the others to one less.
+                yield radius, [i], m * radius + i if (radius, i) != (widest, m - 1) else BITS
+
+
+def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int, segments: list[int]) -> DataFrame:
+    """Every key at this very distance from the query's own, in those segments that are wide enough."""
+    start = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(at[1]).alias("width"), _key(F.col("query"), at).alias("key")) for i, at in enumerate(cuts) if i in segments and at[1] >= radius] or [F.struct(F.lit(0).alias("segment"), F.lit(0).alias("width"), F.lit(-1).cast("long").alias("key"))])
     rows = queries.select("query_id", "query", F.explode(start).alias("p")).select("query_id", "query", "p.segment", "p.width", "p.key", F.lit(-1).alias("top"))
     for _ in range(radius):
         higher = F.when(F.col("top") + 1 < F.col("width"), F.sequence(F.col("top") + 1, F.col("width") - 1))
