@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import bpe, hamming, jaccard, langid, mixing, quality, quality_rules, substrings, toxicity
+from timetide.llm import bpe, hamming, jaccard, langid, licenses, mixing, quality, quality_rules, substrings, toxicity
 from timetide.llm.textops import crc_of_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -67,6 +67,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -77,9 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op3_hamming_top_k": hamming.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }
