@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 IS_SPACE = np.zeros(256, bool)
