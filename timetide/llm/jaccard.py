@@ -6,11 +6,12 @@ one shingle. Two documents link at a Jaccard similarity of `PER_CENT` or more, a
 1. A count-min sketch (see `substrings`) tells shingles of one document from those that may be in several. Sets are
    ordered by that, then by hash; two sets that link share a shingle of their prefixes. Only shingles that may be in
    several sets are posted, so most documents post nothing. Equal sets are one class from here on.
-2. First answers: in each index list (sorted by size) a set's leader is the smallest set that it may link with. The
-   leader met most often is verified by exact overlap. These links give components.
+2. First answers: turn by turn, each index list has leaders, and each set asks a few leaders of other components, those
+   that it meets most often: their overlap is verified exactly. These links give components, and fewer sets ask in the next turn.
+   A group of n near copies costs a few times n comparisons until it is one component.
 3. Index-level skipping: lists whose sets all stand in one component are skipped. In others, a list is cut into blocks
    of equal size and ordered by position, and a set reads from each block only the positions where the rest of both
-   sets is long enough for a link. Pairs within a component are never made, so a group of n near copies costs n pairs.
+   sets is long enough for a link. Pairs within a component are never made.
 4. Answer-level skipping: for the pairs that are left, the overlap is first bounded from the overlap of their leaders and the few shingles by which each differs from its leader. Only pairs that this
    doesn't decide are compared themselves.
 
@@ -36,6 +37,10 @@ N_GRAM = 5
 PER_CENT = 80
 PER_SHARD = 500_000
 CHUNK_HASHES = 1_200_000
+SLOTS = 1 << 22
+#: Turns of asking leaders; what they leave open is compared in any case, so this only bounds the rounds.
+TURNS = 4
+ASKED = 3
 
 
 class ShingleBlock:
@@ -173,25 +178,29 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table([pa.array(a[head]), pa.array(b[head]), pa.array(np.diff(np.append(head, len(a))), pa.int64())], ["a", "b", "c"])
 
 
-def leaders(classes: DataFrame, n_shards: int, per_cent: int) -> DataFrame:
-    """a, b: each class that shares a list with a smaller one that it may link with, and the leader it met most often."""
+def leaders(classes: DataFrame, n_shards: int, per_cent: int, turn: int) -> DataFrame:
+    """a, b: each class that may link with leaders of its lists, in other components, and those it met most often.
+
+    A leader of a list is the set of the least hash of its number, the turn and one of `ASKED` lots: lists of one group
+    agree on it, and every lot gives another.
+    """
 
     def star(t, cid, n, label, p):
-        order = np.lexsort((cid, n, t))
-        t, cid, n, p = t[order], cid[order], n[order], p[order]
-        head = np.ones(len(t), bool)
-        head[1:] = t[1:] != t[:-1]
-        which = np.cumsum(head) - 1
-        # The first set of the list that is large enough: one binary search over (list, size).
-        size = np.int64(n.max() + 1)
-        keys = which * size + n
-        lead = np.searchsorted(keys, which * size + -(-per_cent * n // 100))
-        can = 1 + np.minimum(n - p, n[lead] - p[lead]) - 1 >= least_overlap(n, n[lead], per_cent)
-        ok = np.flatnonzero((cid[lead] != cid) & can)
-        return _pairs(cid[ok], cid[lead][ok])
-
-    met = _lists(classes, n_shards, star, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    return met.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+        found = []
+        for k in range(ASKED):
+            lot = mix(cid.astype(np.uint64) ^ mix(np.uint64([turn * ASKED + k + 1])))
+            order = np.lexsort((lot, t))
+            lists = t[order]
+            head = np.ones(len(t), bool)
+            head[1:] = lists[1:] != lists[:-1]
+            lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            can = np.minimum(n[order] - p[order], n[lead] - p[lead]) >= least_overlap(n[order], n[lead], per_cent)
+            ok = np.flatnonzero((label[lead] != label[order]) & can)
+            found.append((k, _pairs(cid[order[ok]], cid[lead[ok]])))
+        return pa.concat_tables([x.append_column("k", pa.array(np.full(x.num_rows, k, np.int32))) for k, x in found])
+
+    met = _lists(classes, n_shards, star, "a long, b long, c long, k int").groupBy("k", "a", "b").agg(F.sum("c").alias("c"))
+    return met.groupBy("k", "a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")).select("a", "b").distinct()
 
 
 def crossings(classes: DataFrame, n_shards: int, per_cent: int) -> DataFrame:
@@ -242,34 +251,55 @@ def _blocks(cid: np.ndarray, n: np.ndarray, label: np.ndarray, p: np.ndarray, pe
                 yield np.minimum(u, v), np.maximum(u, v)
 
 
-def overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_gram: int) -> DataFrame:
-    """a, b, o: the exact overlap of the sets of each pair of classes."""
-    need = cut(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep", "f1", "f2"), "cid"))
-    # A bitmap over hashes of the ids of the documents asked for, of fixed size, spares shuffling the others' texts.
-    slot = F.pmod(F.xxhash64("rep"), F.lit(1 << 22)).cast("int")
-    bitmap = np.zeros(1 << 22, bool)
-    for r in need.select((slot / 1024).cast("int").alias("part"), slot.alias("s")).groupBy("part").agg(F.collect_set("s").alias("s")).toLocalIterator():
+def _asked(keys: DataFrame, key: str):
+    """A bitmap, of fixed size, over hashes of a long key: it spares shuffling rows that can't be asked for."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    bitmap = np.zeros(SLOTS, bool)
+    for r in keys.select((slot / 1024).cast("int").alias("part"), slot.alias("s")).groupBy("part").agg(F.collect_set("s").alias("s")).toLocalIterator():
         bitmap[r["s"]] = True
-    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 22)).cast("int").alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+
+def _hits(asked, slots: np.ndarray) -> np.ndarray:
+    return ((asked.value[slots >> 3] >> (7 - (slots & 7))) & 1).astype(bool)
+
+
+def set_table(docs: DataFrame, classes: DataFrame, n_gram: int) -> DataFrame:
+    """cid, n, own (its shingle hashes, ordered and packed) of the classes, from the texts of their representatives."""
+    need = classes.select("cid", "rep", "f1", "f2")
+    asked = _asked(need, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).cast("int").alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            slots = batch.column("slot").to_numpy(zero_copy_only=False)
-            hit = (asked.value[slots >> 3] >> (7 - (slots & 7))) & 1
+            hit = _hits(asked, batch.column("slot").to_numpy(zero_copy_only=False))
             if not hit.any():
                 continue
-            for part in slices(batch.filter(pa.array(hit.astype(bool)))):
+            for part in slices(batch.filter(pa.array(hit))):
                 sets = ShingleBlock(part.column("text").to_pylist(), n_gram)
                 sets.ordered(sets.h)
                 f1, f2 = sets.fingerprints()
                 own = [squeeze(np.diff(sets.h[a : a + n], prepend=np.uint64(0))) for a, n in zip(sets.first.tolist(), sets.n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(f1), pa.array(f2), pa.array(sets.n, pa.int64()), pa.array(own, pa.binary())], ["of", "f1", "f2", "n", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("of"), pa.array(f1), pa.array(f2), pa.array(sets.n, pa.int64()), pa.array(own, pa.binary())], ["of", "f1", "f2", "n", "own"])
 
     found = texts.mapInArrow(run, "of long, f1 long, f2 long, n long, own binary")
-    sets = cut(found.join(need, ["f1", "f2"]).filter(F.col("of").eqNullSafe(F.col("rep"))).select("cid", "n", "own").dropDuplicates(["cid"]))
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("own").alias("xa")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("own").alias("xb")), "b").select("a", "b", "na", "nb", "xa", "xb")
+    return cut(found.join(need, ["f1", "f2"]).filter(F.col("of").eqNullSafe(F.col("rep"))).select("cid", "n", "own").dropDuplicates(["cid"]))
+
+
+def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, o: the exact overlap of the sets of each pair of classes."""
+
+    def side(x: str) -> DataFrame:
+        asked = _asked(pairs.select(x).distinct(), x)
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_hits(asked, batch.column("slot").to_numpy(zero_copy_only=False)))).select([x, f"n{x}", f"x{x}"])
+
+        rows = sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"x{x}"), F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int").alias("slot"))
+        return rows.mapInArrow(run, f"{x} long, n{x} long, x{x} binary")
+
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
 
     def count(batches):
         for batch in batches:
@@ -294,19 +324,29 @@ def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_C
     n_shards = max(16, (posting.agg(F.sum("posted").alias("s")).first()["s"] or 0) // PER_SHARD)
     size = classes.select("cid", "n")
 
-    # First answers.
-    led = cut(leaders(posting.withColumn("label", F.col("cid")), n_shards, per_cent))
-    led = cut(_sized(overlaps(docs, classes, led, n_gram), size))
-    linked = led.filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent))
+    # First answers: turn by turn, each set asks one leader of another component.
+    sets = set_table(docs, posting, n_gram)
+    linked = None
+    first = posting.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
+    for turn in range(TURNS):
+        labelled = posting.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+        led = cut(leaders(labelled, n_shards, per_cent, turn))
+        new = cut(_sized(overlaps(sets, led), size).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)))
+        asked, got = led.count(), new.count()
+        linked = new if linked is None else linked.unionByName(new)
+        if got:
+            first = components(linked.select("a", "b"))
+        if 20 * got < asked or not asked:
+            break
+    linked = cut(linked)
     edges = linked.select("a", "b")
-    first = components(edges)
 
     # What the first answers don't settle.
     labelled = posting.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
     pairs = _sized(crossings(labelled, n_shards, per_cent), size).withColumn("need", _need(F.col("na"), F.col("nb"), per_cent))
     pairs = cut(pairs.select("a", "b", "na", "nb", "need"))
     if not pairs.isEmpty():
-        edges = edges.unionByName(_further(docs, classes, pairs, linked, n_gram))
+        edges = edges.unionByName(_further(sets, pairs, linked))
         final = components(edges)
     else:
         final = first
@@ -320,19 +360,19 @@ def _sized(pairs: DataFrame, size: DataFrame) -> DataFrame:
     return pairs.join(size.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
 
 
-def _further(docs: DataFrame, classes: DataFrame, pairs: DataFrame, linked: DataFrame, n_gram: int) -> DataFrame:
+def _further(sets: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
     """The links among pairs: by bounds from their leaders' overlap where those decide, by comparison elsewhere."""
-    lead = linked.select(F.col("a").alias("cid"), F.col("b").alias("lead"), (F.col("na") - F.col("o")).alias("more"), (F.col("nb") - F.col("o")).alias("less"))
+    lead = linked.dropDuplicates(["a"]).select(F.col("a").alias("cid"), F.col("b").alias("lead"), (F.col("na") - F.col("o")).alias("more"), (F.col("nb") - F.col("o")).alias("less"))
     side = lambda c: lead.select(*[F.col(x).alias(f"{x}_{c}" if x != "cid" else c) for x in lead.columns])
     p = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     p = p.withColumns({f"lead_{c}": F.coalesce(f"lead_{c}", c) for c in "ab"} | {f"{x}_{c}": F.coalesce(f"{x}_{c}", F.lit(0)) for x in ("more", "less") for c in "ab"})
     p = cut(p.withColumns({"la": F.least("lead_a", "lead_b"), "lb": F.greatest("lead_a", "lead_b")}))
-    known = overlaps(docs, classes, p.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), n_gram)
+    known = overlaps(sets, p.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     p = p.join(known.select(F.col("a").alias("la"), F.col("b").alias("lb"), "o"), ["la", "lb"])
     # An element in both sets is in both leaders or among what one of them has more than its leader.
     p = cut(p.withColumn("most", F.col("o") + F.col("more_a") + F.col("more_b")).withColumn("least", F.col("o") - F.col("less_a") - F.col("less_b")).filter("most >= need"))
     sure, open_ = p.filter("least >= need").select("a", "b"), p.filter("least < need").select("a", "b", "need")
-    done = overlaps(docs, classes, open_.select("a", "b"), n_gram).join(open_, ["a", "b"]).filter("o >= need").select("a", "b")
+    done = overlaps(sets, open_.select("a", "b")).join(open_, ["a", "b"]).filter("o >= need").select("a", "b")
     return cut(sure.unionByName(done))
 
 
