@@ -57,15 +57,18 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     places = F.array(*[F.struct(F.lit(i).alias("segment"), _key(F.col("code"), at).alias("key")) for i, at in enumerate(cuts)])
     index = cut(firsts.select("code").distinct().select("code", F.explode(places).alias("place")).select("place.segment", "place.key", "code"))
     found = None
-    active = queries
+    active = queries.withColumn("worst", F.lit(BITS))
+    apart = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
     for radius, at, covered in _steps(cuts):
-        met = _probes(active, cuts, radius, at).join(index, ["segment", "key"]).select("query_id", "query", "code").distinct()
-        verified = met.join(firsts, "code").select("query_id", "query", "id", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        # Verified within the join: what is farther than the k-th so far never leaves it.
+        met = _probes(active, cuts, radius, at).join(index, ["segment", "key"]).filter(apart <= F.col("worst")).select("query_id", "query", "code").distinct()
+        verified = met.join(firsts, "code").select("query_id", "query", "id", apart.alias("distance"))
         rows = verified if found is None else verified.unionByName(found).distinct()
         order = Window.partitionBy("query_id", "query").orderBy("distance", "id")
         found = cut(rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
-        done = found.groupBy("query_id", "query").agg(F.count("id").alias("n"), F.max("distance").alias("worst")).filter((F.col("n") >= enough) & (F.col("worst") <= covered))
-        active = cut(active.join(done, ["query_id", "query"], "left_anti"))
+        state = found.groupBy("query_id", "query").agg(F.count("id").alias("n"), F.max("distance").alias("far")).withColumn("far", F.when(F.col("n") >= enough, F.col("far")))
+        after = active.drop("worst").join(state, ["query_id", "query"], "left").filter(F.col("far").isNull() | (F.col("far") > covered))
+        active = cut(after.select("query_id", "query", F.coalesce("far", F.lit(BITS)).alias("worst")))
         if active.isEmpty():
             break
     order = Window.partitionBy("query_id", "query").orderBy("distance", "id")
@@ -86,13 +89,14 @@ def _steps(cuts: list[tuple[int, int]]) -> Iterator[tuple[int, list[int], int]]:
 
 def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radius: int, segments: list[int]) -> DataFrame:
     """Every key at this very distance from the query's own, in those segments that are wide enough."""
+    of = ["query_id", "query", "worst"]
     start = F.array(*[F.struct(F.lit(i).alias("segment"), F.lit(at[1]).alias("width"), _key(F.col("query"), at).alias("key")) for i, at in enumerate(cuts) if i in segments and at[1] >= radius] or [F.struct(F.lit(0).alias("segment"), F.lit(0).alias("width"), F.lit(-1).cast("long").alias("key"))])
-    rows = queries.select("query_id", "query", F.explode(start).alias("p")).select("query_id", "query", "p.segment", "p.width", "p.key", F.lit(-1).alias("top"))
+    rows = queries.select(*of, F.explode(start).alias("p")).select(*of, "p.segment", "p.width", "p.key", F.lit(-1).alias("top"))
     for _ in range(radius):
         higher = F.when(F.col("top") + 1 < F.col("width"), F.sequence(F.col("top") + 1, F.col("width") - 1))
         rows = rows.withColumn("bit", F.explode(higher))
         rows = rows.withColumn("key", F.col("key").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).withColumn("top", F.col("bit")).drop("bit")
-    return rows.select("query_id", "query", "segment", "key")
+    return rows.select(*of, "segment", "key")
 
 
 ORACLE = """
