@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1_000_000
+SPAN_VALUES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 IS_SPACE = np.zeros(256, bool)
@@ -52,7 +53,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _MULTIPLIER) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for every span, from one running sum."""
+    """A 64-bit hash of values[start:end] for every span (by increasing start), from running sums over SPAN_VALUES at a time."""
+    if len(values) > 2 * SPAN_VALUES and len(starts) > 1:
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            lo = starts[at]
+            stop = max(at + 1, int(np.searchsorted(starts, lo + SPAN_VALUES)))
+            hi = ends[at:stop].max()
+            out[at:stop] = span_hashes(values[lo:hi], starts[at:stop] - lo, ends[at:stop] - lo, base) if hi - lo < len(values) else _span_hashes(values, starts[at:stop], ends[at:stop], base)
+            at = stop
+        return out
+    return _span_hashes(values, starts, ends, base)
+
+
+def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     up, down = powers(base, len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
