@@ -39,8 +39,8 @@ PER_SHARD = 500_000
 CHUNK_HASHES = 1_200_000
 SLOTS = 1 << 22
 #: Turns of asking leaders; what they leave open is compared in any case, so this only bounds the rounds.
-TURNS = 4
-ASKED = 3
+TURNS = 3
+ASKED = 4
 
 
 class ShingleBlock:
@@ -287,18 +287,16 @@ def set_table(docs: DataFrame, classes: DataFrame, n_gram: int) -> DataFrame:
 
 
 def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, o: the exact overlap of the sets of each pair of classes."""
+    """a, b, na, nb, o: the sizes and the exact overlap of the sets of each pair of classes."""
+    asked = _asked(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
 
-    def side(x: str) -> DataFrame:
-        asked = _asked(pairs.select(x).distinct(), x)
-
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(_hits(asked, batch.column("slot").to_numpy(zero_copy_only=False)))).select([x, f"n{x}", f"x{x}"])
-
-        rows = sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"x{x}"), F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int").alias("slot"))
-        return rows.mapInArrow(run, f"{x} long, n{x} long, x{x} binary")
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_hits(asked, batch.column("slot").to_numpy(zero_copy_only=False)))).select(["cid", "n", "own"])
 
+    slot = F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int").alias("slot")
+    some = sets.select("cid", "n", "own", slot).mapInArrow(wanted, "cid long, n long, own binary")
+    side = lambda x: some.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"x{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
 
     def count(batches):
@@ -310,9 +308,9 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 mine = np.cumsum(unsqueeze(xa, np.uint64, na), dtype=np.uint64)
                 at = np.minimum(np.searchsorted(cached, mine), max(nb - 1, 0))
                 out.append(int((cached[at] == mine).sum()) if nb else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], ["a", "b", "o"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(out, pa.int64())], ["a", "b", "na", "nb", "o"])
 
-    return both.mapInArrow(count, "a long, b long, o long")
+    return both.mapInArrow(count, "a long, b long, na long, nb long, o long")
 
 
 def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
@@ -322,40 +320,45 @@ def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_C
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     posting = classes.filter("posted > 0")
     n_shards = max(16, (posting.agg(F.sum("posted").alias("s")).first()["s"] or 0) // PER_SHARD)
-    size = classes.select("cid", "n")
 
-    # First answers: turn by turn, each set asks one leader of another component.
+    # First answers: turn by turn, each set asks leaders of other labels.
     sets = set_table(docs, posting, n_gram)
-    linked = None
-    first = posting.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
+    labelled, linked = posting.withColumn("label", F.col("cid")), None
     for turn in range(TURNS):
-        labelled = posting.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
-        led = cut(leaders(labelled, n_shards, per_cent, turn))
-        new = cut(_sized(overlaps(sets, led), size).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)))
-        asked, got = led.count(), new.count()
-        linked = new if linked is None else linked.unionByName(new)
-        if got:
-            first = components(linked.select("a", "b"))
-        if 20 * got < asked or not asked:
+        new = cut(overlaps(sets, cut(leaders(labelled, n_shards, per_cent, turn))).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)))
+        if new.isEmpty():
             break
-    linked = cut(linked)
-    edges = linked.select("a", "b")
-
+        linked = new if linked is None else linked.unionByName(new)
+        labelled = cut(_relabelled(labelled, new))
     # What the first answers don't settle.
-    labelled = posting.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+    size = labelled.select("cid", "n")
     pairs = _sized(crossings(labelled, n_shards, per_cent), size).withColumn("need", _need(F.col("na"), F.col("nb"), per_cent))
     pairs = cut(pairs.select("a", "b", "na", "nb", "need"))
+    edges = None if linked is None else linked.select("a", "b")
     if not pairs.isEmpty():
-        edges = edges.unionByName(_further(sets, pairs, linked))
-        final = components(edges)
-    else:
-        final = first
+        more = _further(sets, pairs, new if linked is None else linked)
+        edges = more if edges is None else edges.unionByName(more)
+    final = classes.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0) if edges is None else components(edges)
     names = final.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("smallest"))
     named = classes.select("cid", "f1", "f2", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").join(names, "component", "left").select("f1", "f2", F.coalesce("smallest", "rep").alias("component_id"))
     known = rows.filter("n > 0").join(named, ["f1", "f2"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
     return known.unionByName(rows.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """labelled with labels brought together along links: each label gives way to the least one that it is linked with.
+
+    Equal labels always mean connected sets; that some connected ones still differ costs comparisons only.
+    """
+    of = labelled.select(F.col("cid").alias("c"), F.col("label").alias("l"))
+    p = links.select("a", "b").join(of.withColumnsRenamed({"c": "a", "l": "la"}), "a").join(of.withColumnsRenamed({"c": "b", "l": "lb"}), "b").select("la", "lb")
+    both = p.select(F.explode(F.array(F.struct(F.col("la").alias("x"), F.col("lb").alias("y")), F.struct(F.col("lb").alias("x"), F.col("la").alias("y")))).alias("e")).select("e.*")
+    way = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("to")))
+    on = way.select(F.col("x").alias("to"), F.col("to").alias("then"))
+    way = way.join(on, "to", "left").select(F.col("x").alias("label"), F.coalesce("then", "to").alias("to"))
+    return labelled.join(way, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
 def _sized(pairs: DataFrame, size: DataFrame) -> DataFrame:
     return pairs.join(size.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
 
@@ -367,12 +370,12 @@ def _further(sets: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
     p = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     p = p.withColumns({f"lead_{c}": F.coalesce(f"lead_{c}", c) for c in "ab"} | {f"{x}_{c}": F.coalesce(f"{x}_{c}", F.lit(0)) for x in ("more", "less") for c in "ab"})
     p = cut(p.withColumns({"la": F.least("lead_a", "lead_b"), "lb": F.greatest("lead_a", "lead_b")}))
-    known = overlaps(sets, p.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    known = overlaps(sets, p.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select("a", "b", "o")
     p = p.join(known.select(F.col("a").alias("la"), F.col("b").alias("lb"), "o"), ["la", "lb"])
     # An element in both sets is in both leaders or among what one of them has more than its leader.
     p = cut(p.withColumn("most", F.col("o") + F.col("more_a") + F.col("more_b")).withColumn("least", F.col("o") - F.col("less_a") - F.col("less_b")).filter("most >= need"))
     sure, open_ = p.filter("least >= need").select("a", "b"), p.filter("least < need").select("a", "b", "need")
-    done = overlaps(sets, open_.select("a", "b")).join(open_, ["a", "b"]).filter("o >= need").select("a", "b")
+    done = overlaps(sets, open_.select("a", "b")).select("a", "b", "o").join(open_, ["a", "b"]).filter("o >= need").select("a", "b")
     return cut(sure.unionByName(done))
 
 
