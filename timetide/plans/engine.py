@@ -19,6 +19,21 @@ _NAMES = {*views.COLUMNS, *views.TYPED, "near", "walked", "joined"}
 _FROM = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")\b")
 
 
+def literal(sql: str, config: Config) -> str:
+    """sql with the names of thresholds replaced by their values."""
+    for name, value in config.literals().items():
+        sql = re.sub(rf"\b{name}\b(?!\()", lambda _, v=value: v, sql)
+    return sql
+
+
+def row_case(r: Rule, header: list[str], config: Config) -> str:
+    """A row rule as a CASE expression: a finding, or null."""
+    kind, key, field, predicate = r.plan
+    predicate = re.sub(r"\bhas\((\w+)\)", lambda m: "true" if m[1] in header else "false", predicate)
+    feed_level = str(r.dedup in ("Feed", "File")).lower()
+    return f"CASE WHEN {views.typed(literal(predicate, config))} THEN named_struct('rule_id', '{r.rule_id}', 'entity_type', '{kind}', 'entity_id', `{key}`, 'field', '{field}', 'observed_value', `{field}`, 'feed_level', {feed_level}) END"
+
+
 class Run:
     """One feed under one configuration. Views are temporary and lazy; rules without their tables are passed over."""
 
@@ -39,18 +54,13 @@ class Run:
         df.createOrReplaceTempView(VIEW + name)
 
     def _query(self, sql: str) -> DataFrame:
-        return self.feed.spark.sql(self._named(self._literal(sql)))
+        return self.feed.spark.sql(self._named(literal(sql, self.config)))
 
     def _named(self, sql: str) -> str:
         """Names of views under their prefix, unless a WITH clause of the query has that name."""
         own = set(re.findall(r"(?:WITH|,)\s+(\w+) AS \(", sql))
         return _FROM.sub(lambda m: m[0] if m[2] in own else f"{m[1]} {VIEW}{m[2]} AS {m[2]}" if not re.match(r"\s+(?:AS\s+)?(?!ON\b|JOIN\b|WHERE\b|GROUP\b|LEFT\b|HAVING\b|WINDOW\b|UNION\b|USING\b|CROSS\b|ORDER\b)\w+", sql[m.end() :]) else f"{m[1]} {VIEW}{m[2]}", sql)
 
-    def _literal(self, sql: str) -> str:
-        for name, value in self.config.literals().items():
-            sql = re.sub(rf"\b{name}\b(?!\()", lambda _, v=value: v, sql)
-        return sql
-
     def _needed(self, sql: str) -> None:
         """Views that cost a shuffle or a loop are made when a rule asks for them."""
         for name, make in (("near", lambda: views.near(self.views["places"], self.config.stop_too_close_m)), ("walked", lambda: views.walked(self.views["pathways"], self.views["places"])), ("joined", lambda: views.joined(self.views["legs"]))):
@@ -60,12 +70,7 @@ class Run:
     def _row_rules(self, table: str, rules: list[Rule]) -> DataFrame:
         """All row rules of a table in one pass: an array of the findings of each row, without nulls, exploded."""
         header = self.feed.headers.get(table, [])
-        cases = []
-        for r in rules:
-            kind, key, field, predicate = r.plan
-            predicate = re.sub(r"\bhas\((\w+)\)", lambda m: "true" if m[1] in header else "false", predicate)
-            predicate = views.typed(self._literal(predicate))
-            cases.append(f"CASE WHEN {predicate} THEN named_struct('rule_id', '{r.rule_id}', 'entity_type', '{kind}', 'entity_id', `{key}`, 'field', '{field}', 'observed_value', `{field}`, 'feed_level', {str(r.dedup in ('Feed', 'File')).lower()}) END")
+        cases = [row_case(r, header, self.config) for r in rules]
         found = self.views[table].select("line", F.explode(F.expr(f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)")).alias("n")).select("line", "n.*")
         scope = F.when(~F.col("feed_level"), F.col("entity_id"))
         return found.select("rule_id", "entity_type", "entity_id", scope.alias("scope_key"), F.lit(f"{table}.txt").alias("file"), "line", "field", "observed_value", F.lit(1).cast("long").alias("instances"))
