@@ -3,9 +3,12 @@
 A document is its set of distinct 5-word shingles (ASCII capitals folded); with fewer words, its whole sequence is its
 one shingle. Two documents link at a Jaccard similarity of `PER_CENT` or more, and the result is the component of each.
 
-1. A count-min sketch (see `substrings`) tells shingles of one document from those that may be in several. Sets are
-   ordered by that, then by hash; two sets that link share a shingle of their prefixes. Only shingles that may be in
-   several sets are posted, so most documents post nothing. Equal sets are one class from here on.
+1. A count-min sketch (see `substrings`) tells shingles of one document from those that may be in several. Two sets
+   that link share a shingle of their prefixes in any common order; with single shingles first, most prefixes have
+   nothing to share and their documents leave. Equal sets are one class from here on. The classes that stay count their
+   shingles again, in a table of `MOST_LEVELS` bytes at most, and order them from rare to common: passages that many
+   groups share move out of the prefixes. Collisions in that table change the order for all sets alike, so no link is
+   lost. Only prefix shingles that may be in several of these classes are posted.
 2. First answers: turn by turn, each index list has leaders, and each set asks a few leaders of other components, those
    that it meets most often: their overlap is verified exactly. These links give components, and fewer sets ask in the next turn.
    A group of n near copies costs a few times n comparisons until it is one component.
@@ -36,6 +39,7 @@ from timetide.llm.textops import TextBlock, mix, slices, window_hashes
 N_GRAM = 5
 PER_CENT = 80
 PER_SHARD = 500_000
+LEAST_LEVELS, MOST_LEVELS = 1 << 20, 1 << 25
 CHUNK_HASHES = 1_200_000
 SLOTS = 1 << 22
 #: Turns of asking leaders; what they leave open is compared in any case, so this only bounds the rounds.
@@ -106,7 +110,7 @@ def _need(a: Column, b: Column, per_cent: int) -> Column:
 
 
 def described(docs: DataFrame, n_gram: int, per_cent: int) -> DataFrame:
-    """doc_id, th (hash of the text), n, f1, f2 (of the set) and the posted shingles of its prefix, with their positions, of every row."""
+    """doc_id, th (hash of the text), n, f1, f2 (of the set) and the number of shingles in its prefix that other sets may have, of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").cast("binary").alias("text"))
     about = (docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0) // 6
     cells = cells_for(about)
@@ -124,15 +128,83 @@ def described(docs: DataFrame, n_gram: int, per_cent: int) -> DataFrame:
                 prefix = sets.n - -(-per_cent * sets.n // 100) + 1
                 at = np.flatnonzero((place < prefix[sets.docs]) & estimated_repeated(sets.h, bits.value, cells))
                 many = np.bincount(sets.docs[at], minlength=sets.n_docs)
-                ends = np.cumsum(many)
-                tokens, places = sets.h[at], place[at].astype(np.int32)
-                spans = [(e - m, e) for m, e in zip(many.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("th"), pa.array(sets.n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(many, pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())],
-                    ["doc_id", "th", "n", "f1", "f2", "posted", "tokens", "places"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(sets.n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(many, pa.int64())], ["doc_id", "th", "n", "f1", "f2", "posted"])
 
-    return texts.mapInArrow(run, "doc_id long, th int, n long, f1 long, f2 long, posted long, tokens binary, places binary")
+    return texts.mapInArrow(run, "doc_id long, th int, n long, f1 long, f2 long, posted long")
+
+
+def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for cid, n, own in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "own")), strict=True):
+        yield cid, np.cumsum(unsqueeze(own, np.uint64, n), dtype=np.uint64)
+
+
+def _slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(h) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame, slots: int) -> np.ndarray:
+    """A byte for each slot of the shingle hashes: 0 where one set at most has such a shingle, else the more the more sets do (two steps a doubling)."""
+    blocks = max(1, slots >> 20)
+    per_block = slots // blocks
+
+    def emit(kept):
+        x, c = np.unique(np.concatenate(kept), return_counts=True)
+        cut_at = np.searchsorted(x, np.arange(blocks + 1) * per_block)
+        some = [(b, int(lo), int(hi)) for b, (lo, hi) in enumerate(zip(cut_at[:-1], cut_at[1:], strict=True)) if hi > lo]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _, _ in some], pa.int32()), pa.array([hi - lo for _, lo, hi in some], pa.int32()), pa.array([squeeze(np.diff(x[lo:hi], prepend=b * per_block)) for b, lo, hi in some], pa.binary()), pa.array([squeeze(c[lo:hi]) for _, lo, hi in some], pa.binary())],
+            ["block", "n", "x", "c"],
+        )
+
+    def partial(batches):
+        kept, n = [], 0
+        for batch in batches:
+            for _, h in _packed(batch):
+                kept.append(_slot(h, slots))
+                n += len(h)
+                if n >= CHUNK_HASHES:
+                    yield emit(kept)
+                    kept, n = [], 0
+        if n:
+            yield emit(kept)
+
+    def merge(batches):
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n, x, c in zip(*(batch.column(k).to_pylist() for k in ("block", "n", "x", "c")), strict=True):
+                if block not in counts:
+                    counts[block] = np.zeros(per_block, np.int64)
+                counts[block][np.cumsum(unsqueeze(x, np.int64, n))] += unsqueeze(c, np.int64, n)
+        for block, c in counts.items():
+            level = np.where(c > 1, np.floor(2 * np.log2(np.maximum(c, 1))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pa.compress(level.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "levels"])
+
+    parts = sets.select("cid", "n", "own").mapInArrow(partial, "block int, n int, x binary, c binary")
+    out = np.zeros((blocks, per_block), np.uint8)
+    for r in parts.repartition(max(8, blocks // 4), "block").mapInArrow(merge, "block int, levels binary").toLocalIterator():  # at most MOST_LEVELS bytes in all
+        out[r["block"]] = np.frombuffer(pa.decompress(r["levels"], decompressed_size=per_block, codec="zstd", asbytes=True), np.uint8)
+    return out.ravel()
+
+
+def prefixes(sets: DataFrame, per_cent: int, about: int) -> DataFrame:
+    """cid, n and the posted shingles of the prefix (from rare to common), with their positions, of the sets that post any."""
+    slots = min(MOST_LEVELS, max(LEAST_LEVELS, 1 << int(about // 4).bit_length()))
+    levels = sets.sparkSession.sparkContext.broadcast(frequencies(sets, slots))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for cid, h in _packed(batch):
+                level = levels.value[_slot(h, slots)]
+                order = np.lexsort((h, level))[: len(h) - -(-per_cent * len(h) // 100) + 1]
+                at = np.flatnonzero(level[order])
+                if len(at):
+                    out.append((cid, len(h), len(at), h[order[at]].tobytes(), at.astype(np.int32).tobytes()))
+            if out:
+                types = [pa.int64()] * 3 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["cid", "n", "posted", "tokens", "places"])
+
+    return sets.select("cid", "n", "own").mapInArrow(run, "cid long, n long, posted long, tokens binary, places binary")
 
 
 def _lists(classes: DataFrame, n_shards: int, per_list, schema: str) -> DataFrame:
@@ -316,13 +388,13 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id of every row of docs (see the module)."""
     rows = cut(described(docs, n_gram, per_cent))
-    classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("tokens").alias("tokens"), F.first("places").alias("places"))
+    classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-    posting = classes.filter("posted > 0")
+    sets = set_table(docs, classes.filter("posted > 0"), n_gram)
+    posting = cut(prefixes(sets, per_cent, sets.agg(F.sum("n").alias("s")).first()["s"] or 0))
     n_shards = max(16, (posting.agg(F.sum("posted").alias("s")).first()["s"] or 0) // PER_SHARD)
 
     # First answers: turn by turn, each set asks leaders of other labels.
-    sets = set_table(docs, posting, n_gram)
     labelled, linked = posting.withColumn("label", F.col("cid")), None
     for turn in range(TURNS):
         new = cut(overlaps(sets, cut(leaders(labelled, n_shards, per_cent, turn))).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)))
