@@ -18,6 +18,9 @@ one shingle. Two documents link at a Jaccard similarity of `PER_CENT` or more, a
 4. Answer-level skipping: for the pairs that are left, the overlap is first bounded from the overlap of their leaders and the few shingles by which each differs from its leader. Only pairs that this
    doesn't decide are compared themselves.
 
+`links` and `link_counts` give the join itself: all pairs of classes that link, those inside a component too. They pass
+over step 3's skipping by components and take every pair of a list that fits by size and position.
+
 Cases: null, empty and blank texts have the empty set, size 0, and are a component of their own; equal rows are in
 one class; ties in size go by class number; a null doc_id gets the smallest id of its component (null if it has none).
 """
@@ -45,6 +48,8 @@ SLOTS = 1 << 22
 #: Turns of asking leaders; what they leave open is compared in any case, so this only bounds the rounds.
 TURNS = 3
 ASKED = 4
+#: Sets of one index list that meet in one piece when all links are listed.
+PER_PIECE = 500
 
 
 class ShingleBlock:
@@ -385,38 +390,102 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(count, "a long, b long, na long, nb long, o long")
 
 
-def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id of every row of docs (see the module)."""
+def _prepared(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """The rows with their sets' fingerprints, the classes of equal sets, the sets and the postings of those that may link, and a number of shards."""
     rows = cut(described(docs, n_gram, per_cent))
-    classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"))
+    classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.count(F.lit(1)).alias("docs"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     sets = set_table(docs, classes.filter("posted > 0"), n_gram)
     posting = cut(prefixes(sets, per_cent, sets.agg(F.sum("n").alias("s")).first()["s"] or 0))
     n_shards = max(16, (posting.agg(F.sum("posted").alias("s")).first()["s"] or 0) // PER_SHARD)
+    return rows, classes, sets, posting, n_shards
+
 
-    # First answers: turn by turn, each set asks leaders of other labels.
+def _first_answers(sets: DataFrame, posting: DataFrame, n_shards: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """The postings with labels of connected classes, and the links found (a, b, na, nb, o): turn by turn, each set asks leaders of other labels."""
     labelled, linked = posting.withColumn("label", F.col("cid")), None
     for turn in range(TURNS):
         new = cut(overlaps(sets, cut(leaders(labelled, n_shards, per_cent, turn))).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)))
+        linked = new if linked is None else linked.unionByName(new)
         if new.isEmpty():
             break
-        linked = new if linked is None else linked.unionByName(new)
         labelled = cut(_relabelled(labelled, new))
+    return labelled, linked
+
+
+def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id of every row of docs (see the module)."""
+    rows, classes, sets, posting, n_shards = _prepared(docs, n_gram, per_cent)
+    labelled, linked = _first_answers(sets, posting, n_shards, per_cent)
     # What the first answers don't settle.
     size = labelled.select("cid", "n")
     pairs = _sized(crossings(labelled, n_shards, per_cent), size).withColumn("need", _need(F.col("na"), F.col("nb"), per_cent))
     pairs = cut(pairs.select("a", "b", "na", "nb", "need"))
-    edges = None if linked is None else linked.select("a", "b")
+    edges = linked.select("a", "b")
     if not pairs.isEmpty():
-        more = _further(sets, pairs, new if linked is None else linked)
-        edges = more if edges is None else edges.unionByName(more)
-    final = classes.select(F.col("cid").alias("node"), F.col("cid").alias("component")).limit(0) if edges is None else components(edges)
+        edges = edges.unionByName(_further(sets, pairs, linked))
+    final = components(edges)
     names = final.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("smallest"))
     named = classes.select("cid", "f1", "f2", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").join(names, "component", "left").select("f1", "f2", F.coalesce("smallest", "rep").alias("component_id"))
     known = rows.filter("n > 0").join(named, ["f1", "f2"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
     return known.unionByName(rows.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def candidates(posting: DataFrame, per_cent: int, piece: int = PER_PIECE) -> DataFrame:
+    """a, b, na, nb, need: every pair of classes, of one component or not, that may link by size and position.
+
+    A list of more than `piece` sets is cut into pieces by a hash of the set, and each two pieces meet under a key of their own.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
+            if not tokens:
+                continue
+            many = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            places = np.concatenate([np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist()])
+            cid, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("cid", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(cid), pa.array(n), pa.array(places)], ["t", "cid", "n", "p"])
+
+    single = posting.select("cid", "n", "tokens", "places").mapInArrow(spread, "t long, cid long, n long, p int")
+    lists = single.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("pieces"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    dealt = single.join(lists, "t").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    side = lambda x: [F.col(c).alias(f"{c}{x}" if c != "cid" else x) for c in ("cid", "n", "p")]
+    left = dealt.select("t", F.col("own").alias("i"), every.alias("j"), *side("a"))
+    right = dealt.select("t", every.alias("i"), F.col("own").alias("j"), *side("b"))
+    need = _need(F.col("na"), F.col("nb"), per_cent)
+    met = left.join(right, ["t", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need))
+    return met.select("a", "b", "na", "nb").distinct().withColumn("need", need)
+
+
+def _links(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, classes, and all links a, b between the classes, each proved by the overlap or by the bounds from leaders."""
+    rows, classes, sets, posting, n_shards = _prepared(docs, n_gram, per_cent)
+    _, linked = _first_answers(sets, posting, n_shards, per_cent)
+    return rows, classes, _further(sets, cut(candidates(posting, per_cent)), linked)
+
+
+def links(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
+    """rep_a, rep_b, docs_a, docs_b: every link between two classes of equal sets, by the smallest doc_id of each (null if it has none) and the rows of each.
+
+    All rows of one class link with each other besides, and a link of two classes is one of each row with each of the other.
+    """
+    _, classes, found = _links(docs, n_gram, per_cent)
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("docs").alias(f"docs_{x}"))
+    return found.join(side("a"), "a").join(side("b"), "b").select("rep_a", "rep_b", "docs_a", "docs_b")
+
+
+def link_counts(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
+    """doc_id, n_shingles, n_links (the other rows that it links with) of every row of docs; the empty set links with none."""
+    rows, classes, found = _links(docs, n_gram, per_cent)
+    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("cid").alias("b"), "docs"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("docs").alias("others"))
+    counted = classes.join(others, "cid", "left").select("f1", "f2", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    known = rows.filter("n > 0").join(counted, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "n_links")
+    return known.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links")))
+
+
 def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
     """labelled with labels brought together along links: each label gives way to the least one that it is linked with.
 

@@ -57,6 +57,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each one links with, inside its component."""
+    return jaccard.link_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = substrings.dedup_substrings(docs, digest=True)
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op7_jaccard_links": op7_jaccard_links,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
