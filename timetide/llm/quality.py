@@ -138,18 +138,24 @@ def fit_logistic(d: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.0
     return max(float(a), 1e-3), float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> tuple[list[tuple[int, bytes, int]], float]:
-    """(doc_id, text, label) of a bounded sample of labelled documents in a fixed order, and the share of label 1 in all labels.
-
-    Of a document with several labels the largest counts. The chosen labels are a bounded sample, so they are broadcast.
-    """
+def chosen_labels(labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, float]:
+    """doc_id and y of a bounded sample of the labels, and the share of label 1 in all labels. Of several labels of a document the largest counts."""
     one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
-    chosen = sample_by_class(one, "y", "doc_id", per_class)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars)).join(F.broadcast(chosen), "doc_id")
-    got = sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in texts_of(rows, "doc_id", "y").collect())
     total = sum(counts.values())
-    return got, (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.5
+    return sample_by_class(one, "y", "doc_id", per_class), (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.5
+
+
+def texts_of_chosen(docs: DataFrame, chosen: DataFrame) -> list[tuple[int, bytes, int]]:
+    """(doc_id, text, label) of the chosen documents in a fixed order. They are a bounded sample, so they are broadcast."""
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in texts_of(rows, "doc_id", "y").collect())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> tuple[list[tuple[int, bytes, int]], float]:
+    """The texts of a bounded sample of labelled documents, and the share of label 1 in all labels."""
+    chosen, prior = chosen_labels(labels, label, per_class)
+    return texts_of_chosen(docs.filter(F.length("text") <= chars), chosen), prior
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QuadraticDiscriminant:

@@ -3,9 +3,10 @@
 Each word enters as a hashed word embedding beside the mean embedding of its hashed character 3-grams and 5-grams. Two gated
 recurrent layers read a window of `WINDOW` words in both directions; attention weighs the states, a linear layer
 gives the window's logit. Windows start every `STRIDE` words and at the last place that fits, so every word of the
-whole text is in one or more; a shorter text is one padded window. A document takes the largest logit of its
-windows, the log-odds of their mean
-probability and their number into a logistic regression, fitted on the part of the sample that training didn't see.
+whole text is in one or more; a shorter text is one padded window. A document's score is the
+logistic of the largest logit of its windows, so clean text around a toxic passage takes nothing from it. Slope and
+offset are fitted on the part of the sample that training didn't see, and on the sampled documents that are too long
+for training: executors reduce those to their largest logit, over their whole text.
 
 Labels are by document, toxic words in few of its windows: training starts from the windows with the most telling
 words of toxic documents and turns to those that the network itself scores highest. Written in numpy, with Adam.
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetide.llm.quality import labelled_sample
+from timetide.llm.quality import chosen_labels, texts_of_chosen
 from timetide.llm.textops import LOWER, TextBlock, doc_id_type, map_texts, mix, slices, texts_of
 
 WINDOW, STRIDE = 16, 8
 WORD_BUCKETS, CHAR_BUCKETS, DIMS, HIDDEN = 1 << 15, 1 << 14, 8, 8
-#: The fit takes at most about so many labelled documents of each class, each of at most so many characters.
+#: The fit takes at most about so many labelled documents of each class; those of more characters take part in the calibration only.
 SAMPLE_PER_CLASS = 800
 SAMPLE_CHARS = 12_000
 GROUP = 2048
@@ -221,31 +222,32 @@ def _some(words: WordInputs, used: np.ndarray) -> WordInputs:
 @dataclass
 class ToxicityModel:
     parameters: dict[str, np.ndarray]
-    weights: np.ndarray  # of the evidence, and the offset
+    weights: np.ndarray  # of the largest logit, and the offset
     floor: float
     constant: float | None = None
 
-    def evidence(self, block: TextBlock) -> np.ndarray:
-        """(documents, 3): the largest window logit, the log-odds of the mean window probability, the log of the windows."""
-        top, mean, many = np.full(block.n_docs, self.floor), np.zeros(block.n_docs), np.zeros(block.n_docs)
+    def top(self, block: TextBlock) -> np.ndarray:
+        """The largest window logit of each document."""
+        top = np.full(block.n_docs, self.floor)
         words = WordInputs(block)
         places, docs = windows_of(block.n_words, block.first)
         if len(places):
             projected = project(self.parameters, embed(self.parameters, words))
             which = np.append(words.which, -1)  # -1: the last row, which stands for padding
-            z = window_logits(self.parameters, projected, which, places)
             first = np.flatnonzero(np.diff(docs, prepend=-1))
-            some = docs[first]
-            top[some] = np.maximum.reduceat(z, first)
-            many[some] = np.bincount(docs)[some]
-            mean[some] = np.add.reduceat(1 / (1 + np.exp(-z)), first) / many[some]
-        mean = np.where(many > 0, mean, 1 / (1 + np.exp(-self.floor)))
-        return np.column_stack([top, np.log((mean + 1e-4) / (1 - mean + 1e-4)), np.log1p(many)])
+            top[docs[first]] = np.maximum.reduceat(window_logits(self.parameters, projected, which, places), first)
+        return top
+
+    def calibrate(self, top: np.ndarray, labels: np.ndarray, prior: float) -> None:
+        """Fit the logistic scale on these documents, weighted as the classes stand to each other in all labels."""
+        share = max(labels.mean(), 1e-3)
+        w = np.where(labels == 1, prior / share, (1 - prior) / max(1 - share, 1e-3))
+        self.weights = fit_weights(top[:, None], labels, w)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.evidence(TextBlock(texts)) @ self.weights[:-1] + self.weights[-1], -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.top(TextBlock(texts)) * self.weights[0] + self.weights[1], -40, 40)))
 
 
 def window_logits(p: dict, projected: dict, which: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -256,10 +258,10 @@ def window_logits(p: dict, projected: dict, which: np.ndarray, places: np.ndarra
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, epochs: int = 2, rate: float = 0.01, drop: float = 0.1, seed: int = 5) -> ToxicityModel:
-    """Train on four fifths of the documents, fit the logistic scale on the rest."""
+def fit(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, epochs: int = 2, rate: float = 0.01, drop: float = 0.1, seed: int = 5, further=None) -> ToxicityModel:
+    """Train on four fifths of the documents, fit the logistic scale on the rest and on what further(model) gives: largest logits and labels of other documents."""
     if len(labels) < 10 or min((labels == 0).sum(), (labels == 1).sum()) < 5:
-        return ToxicityModel({}, np.zeros(4), 0.0, prior if len(labels) else 0.0)
+        return ToxicityModel({}, np.zeros(2), 0.0, prior if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
     block = TextBlock(texts)
     words = WordInputs(block)
@@ -293,13 +295,13 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, e
                 _, g = gradients(p, words, used, local, labels[docs[chosen[at : at + 256]]])
                 step += 1
                 moments = adam(p, g, moments, step, rate * (1 - 0.7 * turn / rounds))
-    model = ToxicityModel(p, np.zeros(4), float(np.quantile(window_logits(p, project(p, embed(p, words)), which, places), 0.05)))
-    x, held = model.evidence(block), held_docs if held_docs.any() else np.ones(len(labels), bool)
-    share = max(labels[held].mean(), 1e-3)
-    w = np.where(labels[held] == 1, prior / share, (1 - prior) / max(1 - share, 1e-3))
-    model.weights = fit_weights(x[held], labels[held], w)
-    if model.weights[2] > 0:  # length itself is no sign of toxicity, and texts longer than the sample's would be misjudged
-        model.weights = fit_weights(x[held] * [1, 1, 0], labels[held], w)
+    model = ToxicityModel(p, np.zeros(2), float(np.quantile(window_logits(p, project(p, embed(p, words)), which, places), 0.05)))
+    held = held_docs if held_docs.any() else np.ones(len(labels), bool)
+    top, y = model.top(block)[held], labels[held]
+    if further is not None:
+        more = further(model)
+        top, y = np.append(top, more[0]), np.append(y, more[1])
+    model.calibrate(top, y, prior)
     return model
 
 
@@ -337,8 +339,21 @@ def adam(p: dict, g: dict, moments: dict | None, step: int, rate: float) -> dict
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel:
-    got, prior = labelled_sample(docs, labels, label, SAMPLE_PER_CLASS, SAMPLE_CHARS)
-    return fit([t for _, t, _ in got], np.array([y for _, _, y in got]), prior)
+    chosen, prior = chosen_labels(labels, label, SAMPLE_PER_CLASS)
+    got = texts_of_chosen(docs.filter(F.length("text") <= SAMPLE_CHARS), chosen)
+    return fit([t for _, t, _ in got], np.array([y for _, _, y in got]), prior, further=lambda model: long_tops(docs, chosen, model))
+
+
+def long_tops(docs: DataFrame, chosen: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """The largest logit, over the whole text, and the label of the chosen documents of more than SAMPLE_CHARS characters: two numbers each come to the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(sent.value.top(TextBlock(part.column("text").to_pylist())))], ["doc_id", "y", "top"])
+
+    rows = docs.select("doc_id", "text").filter(F.length("text") > SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    found = sorted((r["doc_id"], r["top"], r["y"]) for r in map_texts(texts_of(rows, "doc_id", "y"), run, f"doc_id {doc_id_type(rows)}, y int, top double").collect())
+    return np.array([t for _, t, _ in found]), np.array([y for _, _, y in found], np.int64)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: bool = False) -> DataFrame:
