@@ -183,6 +183,15 @@ def calendar_expand(t: Tables) -> DataFrame:
     return intervals.active_dates(calendar, o)
 
 
+@query("q_calendar_expand_full", None)
+def calendar_expand_full(t: Tables) -> DataFrame:
+    """As q_calendar_expand, whose SQL is fixed to 61 days a range, but from each customer's first to last day."""
+    o = t.orders.select(F.col("o_custkey").alias("service_id"), F.col("o_orderdate").cast("date").alias("date"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("exception_type"))
+    weekdays = {d: F.lit(1 if i < 5 else 0) for i, d in enumerate(intervals.WEEKDAYS)}
+    calendar = o.groupBy("service_id").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date")).withColumns(weekdays)
+    return intervals.active_dates(calendar, o)
+
+
 @query("q_override_window", """
 SELECT a.o_custkey, a.o_orderdate::DATE AS day, count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus = 'F' AND b.o_orderstatus = 'O'
 AND b.o_orderdate BETWEEN a.o_orderdate AND a.o_orderdate + INTERVAL 30 DAY GROUP BY 1, 2
