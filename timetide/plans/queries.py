@@ -60,6 +60,8 @@ QUERIES = {
     "TRP_026 MAE2 trips.txt service_id tr active": "SELECT trip_id AS id, service_id AS seen FROM tr WHERE service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM active a WHERE a.service_id = tr.service_id)",
     "TRP_028 IQF1 trips.txt wheelchair_accessible trips": "SELECT NULL AS id, sum(unset) AS seen FROM (SELECT IF(blank(wheelchair_accessible) OR oneof(wheelchair_accessible, 0), 1, 0) AS unset FROM trips) HAVING sum(unset) > 0 AND sum(unset) < count(*)",
     "TRP_029 IQF1 trips.txt wheelchair_accessible trips": "SELECT NULL AS id, sum(unset) AS seen FROM (SELECT IF(blank(wheelchair_accessible) OR oneof(wheelchair_accessible, 0), 1, 0) AS unset FROM trips) HAVING sum(unset) = count(*) AND count(*) > 0",
+    "RTS_028 HSE1 routes.txt continuous_pickup routes trips stop_times": "SELECT route_id AS id, IF(oneof(continuous_pickup, 0, 2, 3), continuous_pickup, continuous_drop_off) AS seen FROM routes WHERE (oneof(continuous_pickup, 0, 2, 3) OR oneof(continuous_drop_off, 0, 2, 3)) AND route_id IN (SELECT t.route_id FROM trips t JOIN stop_times s ON s.trip_id = t.trip_id WHERE given(s.start_pickup_drop_off_window) OR given(s.end_pickup_drop_off_window))",
+    "TRP_019 HSE1 trips.txt shape_id trips routes stop_times": "SELECT trip_id AS id, route_id AS seen FROM trips t WHERE blank(shape_id) AND (EXISTS (SELECT 1 FROM routes r WHERE r.route_id = t.route_id AND (oneof(r.continuous_pickup, 0, 2, 3) OR oneof(r.continuous_drop_off, 0, 2, 3))) OR EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = t.trip_id AND (oneof(s.continuous_pickup, 0, 2, 3) OR oneof(s.continuous_drop_off, 0, 2, 3))))",
     "TRP_021 IQE1 trips.txt bikes_allowed trips": "SELECT NULL AS id, count(*) AS seen FROM trips WHERE blank(bikes_allowed) OR oneof(bikes_allowed, 0) HAVING count(*) > 0",
     "DQ_005 HQF2 calendar.txt end_date active trips": "SELECT NULL AS id, NULL AS seen FROM active WHERE date >= today HAVING count(*) = 0 AND (SELECT count(*) FROM trips) > 0",
     "DQ_005b HQF2 stop_times.txt trip_id trips stop_times": "SELECT NULL AS id, count(*) AS seen FROM trips WHERE (SELECT count(*) FROM trips t JOIN stop_times s ON t.trip_id = s.trip_id) = 0 HAVING count(*) > 0",
