@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> None:
-    """Make sure that a checkpoint folder is set: the session's own, else (in tests) a temporary one."""
+    """Make sure that a checkpoint folder is set: the session's own (spark.checkpoint.dir).
+
+    Only a local master, where all tasks share this machine's folders, gets a temporary one if none is set.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         told = spark.conf.get("spark.checkpoint.dir", None)
         if told is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             told = tempfile.mkdtemp(prefix="timetide-checkpoints-")
             atexit.register(shutil.rmtree, told, True)
         context.setCheckpointDir(told)
