@@ -2,27 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timetide.operators.lineage import cut
 
 
+#: Edges that one task contracts before labels travel between tasks.
+PER_PART = 50_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: every node with the least node that these edges lead it to."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    names = None
+    for batch in batches:
+        names = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a), up.setdefault(b, b)
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if names is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), names.field(0).type), pa.array([root(x) for x in up], names.field(0).type)], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) of every node of edges (a, b).
 
-    Each round a node takes the smallest label of itself and its neighbours, then the label of that label, so labels
-    travel twice as far each time. It ends when no label changes. Nothing but one flag comes to the driver. Labels meet
-    in sums over each task first, and the join on a hub is one that Spark can split.
+    Tasks first contract the edges that they hold, `PER_PART` on average. Where that takes more than one task, rounds
+    follow: a node takes the smallest label of itself and its neighbours, then the label of that label, so labels travel
+    twice as far each time, until no label changes. Nothing but one flag comes to the driver. Labels meet in sums over
+    each task first, and the join on a hub is one that Spark can split.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("node"), "l")
-    labels = cut(labels)
+    kind = edges.schema["a"].dataType.simpleString()
+    edges = cut(edges.select("a", "b").filter("a <> b"))
+    parts = max(1, edges.count() // PER_PART)
+    stars = cut(edges.coalesce(parts).mapInArrow(_contracted, f"a {kind}, b {kind}"))
+    if parts == 1:
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    both = cut(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = cut(stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("l")))
     while True:
-        told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "l", F.lit(None).cast(labels.schema["l"].dataType).alias("old"))
-        near = cut(told.unionByName(labels.withColumn("old", F.col("l"))).groupBy("node").agg(F.min("l").alias("l"), F.max("old").alias("old")))
+        told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "l", F.lit(None).cast(kind).alias("old"))
+        near = told.unionByName(labels.withColumn("old", F.col("l"))).groupBy("node").agg(F.min("l").alias("l"), F.max("old").alias("old"))
         up = near.select(F.col("node").alias("l"), F.col("l").alias("up"))
-        after = cut(near.join(up, "l", "left").select("node", F.least("l", F.coalesce("up", "l")).alias("l"), "old"))
+        after = cut(near.join(up, "l", "left").select("node", F.least("l", F.coalesce("up", "l")).alias("l"), "old").coalesce(2 * parts))
         if after.filter("l <> old").isEmpty():
             return after.select("node", F.col("l").alias("component"))
         labels = after.select("node", "l")
