@@ -11,20 +11,24 @@ for training: executors reduce those to their largest logit, over their whole te
 Labels are by document, toxic words in few of its windows: training starts from the windows with the most telling
 words of toxic documents and turns to those that the network itself scores highest. Written in numpy, with Adam.
 
-Cases: a null text or one without words scores the logistic of the model's least logit, below 0.5; repeated rows get
-equal scores; without labelled rows of both classes every score is the share of class 1 (0 without rows).
+Cases: a null text or one without words scores the logistic of the model's floor, the lowest twentieth of the logits
+of the sample's windows; a very long text is scored whole, alone in its block; repeated rows get equal scores; an empty
+table gives an empty result; without labelled rows of both classes every score is the share of class 1 (0 without
+rows); columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from timetide.llm.quality import chosen_labels, texts_of_chosen
+from timetide.llm.quality import chosen_labels
 from timetide.llm.textops import LOWER, TextBlock, doc_id_type, map_texts, mix, slices, texts_of
 
 WINDOW, STRIDE = 16, 8
@@ -258,10 +262,18 @@ def window_logits(p: dict, projected: dict, which: np.ndarray, places: np.ndarra
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, epochs: int = 2, rate: float = 0.01, drop: float = 0.1, seed: int = 5, further=None) -> ToxicityModel:
-    """Train on four fifths of the documents, fit the logistic scale on the rest and on what further(model) gives: largest logits and labels of other documents."""
+def fit(texts: list[bytes], labels: np.ndarray, prior: float, **how) -> ToxicityModel:
+    """Train on four fifths of the documents, fit the logistic scale on the rest."""
+    model, top, y = train(texts, labels, prior, **how)
+    if model.constant is None:
+        model.calibrate(top, y, prior)
+    return model
+
+
+def train(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, epochs: int = 2, rate: float = 0.01, drop: float = 0.1, seed: int = 5) -> tuple[ToxicityModel, np.ndarray, np.ndarray]:
+    """A network trained on four fifths of the documents, still without its scale, and the largest logits and labels of the rest."""
     if len(labels) < 10 or min((labels == 0).sum(), (labels == 1).sum()) < 5:
-        return ToxicityModel({}, np.zeros(2), 0.0, prior if len(labels) else 0.0)
+        return ToxicityModel({}, np.zeros(2), 0.0, prior if len(labels) else 0.0), np.zeros(0), labels[:0]
     rng = np.random.default_rng(seed)
     block = TextBlock(texts)
     words = WordInputs(block)
@@ -275,11 +287,11 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, e
     telling = np.append(np.log(hits[1] / hits[0]) * (hits[1] >= 5), 0.0)
     appeal = np.maximum(telling[np.where(places >= 0, which[places], -1)], 0).sum(axis=1)
     p, moments, step = init(seed), None, 0
-    train = np.flatnonzero(~held_docs[docs])
+    free = np.flatnonzero(~held_docs[docs])
     for turn in range(rounds):
         if turn:
             appeal = window_logits(p, project(p, embed(p, words)), which, places)
-        order = train[np.lexsort((-appeal[train], docs[train]))]
+        order = free[np.lexsort((-appeal[free], docs[free]))]
         rank = np.arange(len(order)) - np.searchsorted(docs[order], docs[order])
         toxic = labels[docs[order]] == 1
         chosen = order[(toxic & (rank < 2)) | (~toxic & ((rank < 2) | (rng.random(len(order)) < 0.1)))]
@@ -297,12 +309,7 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, rounds: int = 5, e
                 moments = adam(p, g, moments, step, rate * (1 - 0.7 * turn / rounds))
     model = ToxicityModel(p, np.zeros(2), float(np.quantile(window_logits(p, project(p, embed(p, words)), which, places), 0.05)))
     held = held_docs if held_docs.any() else np.ones(len(labels), bool)
-    top, y = model.top(block)[held], labels[held]
-    if further is not None:
-        more = further(model)
-        top, y = np.append(top, more[0]), np.append(y, more[1])
-    model.calibrate(top, y, prior)
-    return model
+    return model, model.top(block)[held], labels[held]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -339,9 +346,19 @@ def adam(p: dict, g: dict, moments: dict | None, step: int, rate: float) -> dict
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel:
+    """Fit on a bounded sample of the labelled documents: one task trains on it and sends the parameters, so the driver never holds the sample."""
     chosen, prior = chosen_labels(labels, label, SAMPLE_PER_CLASS)
-    got = texts_of_chosen(docs.filter(F.length("text") <= SAMPLE_CHARS), chosen)
-    return fit([t for _, t, _ in got], np.array([y for _, _, y in got]), prior, further=lambda model: long_tops(docs, chosen, model))
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id")
+
+    def run(batches):
+        got = sorted((d, t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in got], np.array([y for _, _, y in got], np.int64), prior))], pa.binary())], ["fitted"])
+
+    model, top, y = pickle.loads(texts_of(rows, "doc_id", "y").repartition(1).mapInArrow(run, "fitted binary").first()["fitted"])
+    if model.constant is None:
+        more = long_tops(docs, chosen, model)
+        model.calibrate(np.append(top, more[0]), np.append(y, more[1]), prior)
+    return model
 
 
 def long_tops(docs: DataFrame, chosen: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
@@ -360,17 +377,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: bool = False) -
     """doc_id and score of every row; with carry, all columns of docs and __toxicity instead."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the buckets' embeddings, about 1 MB
     if carry:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __toxicity double, __text binary"
-        rows = docs.withColumn("__text", F.col("text").cast("string").cast("binary"))
+        # The text goes twice, as bytes in the last place; columns are told apart by place, so their names don't matter.
+        schema = T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])
+        rows = docs.withColumns({"__bytes__": F.col("text").cast("string").cast("binary")})
 
         def carried(batches):
             for batch in batches:
-                for part in slices(batch, "__text"):
-                    score = sent.value.score(part.column("__text").to_pylist())
-                    columns = [*part.columns[:-1], pa.array(score), pa.nulls(part.num_rows, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "__toxicity", "__text"])
+                for part in slices(batch, "__bytes__"):
+                    score = sent.value.score(part.column(part.num_columns - 1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "__toxicity"])
 
-        return rows.mapInArrow(carried, schema).drop("__text")
+        return rows.mapInArrow(carried, schema)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sent.value.score(part.column("text").to_pylist()))], ["doc_id", "score"])
