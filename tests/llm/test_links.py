@@ -49,6 +49,6 @@ def test_links_against_brute_force(spark, rows):
 
 def test_pieces_of_a_list_lose_and_repeat_no_pair(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    posting = jaccard._prepared(docs, 5, 80)[3]
+    posting = jaccard._prepared(docs, 5, 80)[2]
     whole, cut_up = (sorted(map(tuple, jaccard.candidates(posting, 80, piece).collect())) for piece in (10_000, 3))
     assert whole == cut_up and len(whole) == len(set(whole)) > 0

@@ -133,16 +133,89 @@ def test_jaccard_against_brute_force(docs):
     assert set(stay) == {int(c) for d, n, c in got if n and c != "None"}
 
 
-def test_jaccard_crossings_and_empty_table(spark, docs):
-    p = np.array([0, 0, 1, 2, 5]), np.array([10, 10, 10, 12, 12])
-    cid, label = np.arange(5), np.array([0, 0, 1, 2, 3])
-    pairs = {(int(a), int(b)) for x, y in jaccard._blocks(cid, p[1], label, p[0], 80) for a, b in zip(x, y)}
-    for a in range(5):
-        for b in range(a + 1, 5):
-            need = -(-80 * (p[1][a] + p[1][b]) // 180)
-            may = label[a] != label[b] and min(p[1][a] - p[0][a], p[1][b] - p[0][b]) >= need
-            assert ((a, b) in pairs) == may
-    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+def test_answers_are_derived_from_similar_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = []
+    for i in range(60):
+        own = base.copy()
+        own[rng.choice(200, rng.integers(0, 30), replace=False)] = rng.integers(0, 1 << 60, 1)[0]
+        sets.append(np.unique(own[: 200 - i]))
+    sets.sort(key=len)
+    answers = jaccard.Answers(sets)
+    for x in (59, 58, 10, 57, 0):
+        assert answers.of(x).tolist() == [len(np.intersect1d(sets[x], y)) for y in sets]
+    one = jaccard.Answers(sets)
+    one.of(59)
+    whole = one.read
+    one.of(58)
+    assert one.read - whole < whole  # the second set reads fewer lists
+    for y, root, head, o in jaccard.group_answers(sets, 80):
+        assert o == len(np.intersect1d(sets[y], sets[head])) and 100 * o >= 80 * (len(sets[y]) + len(sets[head]) - o)
+        assert root == head or any(u == head and r == root for u, r, _, _ in jaccard.group_answers(sets, 80))
+
+
+def large_group():
+    """A few hundred near copies of one text around the limit of similarity, some of whose links only hold through others."""
+    rng = random.Random(21)
+    base = [f"g{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"m{rng.randint(0, 400)}"
+        rows.append((i, " ".join(w)))
+    return rows + [(1000 + i, f"alone {i} " + passage(rng, 20)) for i in range(30)]
+
+
+@pytest.mark.parametrize("first,turns,open_pairs", [(True, 4, 20), (False, 4, 0), (False, 0, 0), (True, 2, 0)])
+def test_jaccard_large_group(spark, first, turns, open_pairs):
+    """Each way to a whole answer: from first answers, from turns only, and by comparing all that is left."""
+    rows = large_group()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known, classes, posting = jaccard._prepared(docs, 5, 80)
+    heads = jaccard.first_answers(posting, 80)
+    labels = jaccard.connected(posting, heads if first else heads.limit(0), 80, turns, open_pairs)
+    named = classes.join(labels, "cid", "left").select("f1", "f2", F.coalesce("label", "cid").alias("node"))
+    got = [(r.doc_id, r.node) for r in known.join(named, ["f1", "f2"]).collect()]
+    least = {}
+    for d, node in got:
+        least[node] = min(d, least.get(node, d))
+    want = {int(d): int(c) for d, _, c in linked(rows)}
+    assert {d: least[node] for d, node in got} == want
+
+
+def test_jaccard_equal_ids_and_ids_without_texts(spark):
+    rng = random.Random(5)
+    a, b = passage(rng, 40), passage(rng, 40)
+    rows = [(1, a, "x"), (1, b, "y"), (None, a + " more", "x"), (None, passage(rng, 30), "z"), (None, passage(rng, 30), "z"), (2, b, None), (3, None, "n"), (3, None, "n"), (None, " ", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    kept = [tuple(r) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], *rows[3:5], *rows[6:]], key=str)
+    with pytest.raises(ValueError):
+        jaccard.near_duplicates(docs.withColumn("doc_id", F.lit("x")))
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_whose_sums_of_powers_agree_are_told_apart(spark):
+    """Thue-Morse words and their mirror images collide in every polynomial modulo a power of two."""
+    swap = str.maketrans("ab", "ba")
+    for n in (1024, 2048, 4096, 16):
+        w = thue_morse(n)
+        h = TextBlock([f"{w} {w.translate(swap)}".encode()]).word_hashes()
+        assert h[0] != h[1]
+    w = thue_morse(2048)
+    lines = "\n".join([f"{w} word", f"{w.translate(swap)} word"])
+    filler = " ".join(f"f{i}" for i in range(19))
+    rows = [(1, f"{w} {filler}"), (2, f"{w.translate(swap)} {filler}"), (3, lines), (None, w + " " + filler.upper()), (None, w.translate(swap) + " " + filler.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["__n_removed"] for r in substrings.dedup_substrings(docs).collect()} == {0}
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.near_duplicates(docs).collect()) == linked(rows)
+    assert {r.n_dup_lines for r in quality_rules.apply_rules(docs).collect()} == {0}
 
 
 def test_quality_rules_against_brute_force(docs):

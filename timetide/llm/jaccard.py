@@ -9,20 +9,28 @@ one shingle. Two documents link at a Jaccard similarity of `PER_CENT` or more, a
    shingles again, in a table of `MOST_LEVELS` bytes at most, and order them from rare to common: passages that many
    groups share move out of the prefixes. Collisions in that table change the order for all sets alike, so no link is
    lost. Only prefix shingles that may be in several of these classes are posted.
-2. First answers: turn by turn, each index list has leaders, and each set asks a few leaders of other components, those
-   that it meets most often: their overlap is verified exactly. These links give components, and fewer sets ask in the next turn.
-   A group of n near copies costs a few times n comparisons until it is one component.
-3. Index-level skipping: lists whose sets all stand in one component are skipped. In others, a list is cut into blocks
-   of equal size and ordered by position, and a set reads from each block only the positions where the rest of both
-   sets is long enough for a link. Pairs within a component are never made.
-4. Answer-level skipping: for the pairs that are left, the overlap is first bounded from the overlap of their leaders and the few shingles by which each differs from its leader. Only pairs that this
+2. Answers from similar sets: sets with an equal least hash over their shared shingles stand together, at most
+   `MOST_SETS` at a time, ordered by size. The overlaps of one set with the others come from its index lists; those of the next set, which
+   links with it, are derived from them: only the lists of the shingles by which the two differ are read. Sets out of
+   reach by size are skipped as a block. Linked sets get one component each time and are not compared again.
+3. Skipping by index lists: in each list the sets of one component are a block, known by its sizes and by the best
+   position in it. Two blocks of one list are passed over if no position and size in them leaves room for a link, and
+   lists of one component make no block pair at all. From each pair of components that is left, the sets that meet
+   in most lists are compared first, turn by turn, as each link makes blocks one.
+4. What no turn settles is listed set by set, by position, and decided by bounds: the overlap of two sets lies near that of
+   the sets that they are derived from, give or take the shingles by which each differs. Only pairs that this
    doesn't decide are compared themselves.
 
 `links` and `link_counts` give the join itself: all pairs of classes that link, those inside a component too. They pass
-over step 3's skipping by components and take every pair of a list that fits by size and position.
+over step 3 and take every pair of a list that fits by size and position.
 
-Cases: null, empty and blank texts have the empty set, size 0, and are a component of their own; equal rows are in
-one class; ties in size go by class number; a null doc_id gets the smallest id of its component (null if it has none).
+Shingles are told apart by 64 bits made of the bytes of their words by full mixing steps, sets by 128 bits; one pair of
+unequal sets of a hundred shingles is misjudged with a chance of about 1e-15.
+
+Cases: null, empty and blank texts have the empty set, size 0, and are a component of their own; very long texts are
+cut into shingles whole, alone in their block; equal rows are in one class; ties in size go by class number; a null
+doc_id gets the smallest id of its component (null if it has none); ids that aren't whole numbers are refused; an empty
+table gives an empty result; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,23 +39,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timetide.llm.components import components
-from timetide.llm.lineage import cut
-from timetide.llm.substrings import cells_for, estimated_repeated, sketch, squeeze, unsqueeze
+from timetide.operators.graph import components
+from timetide.operators.lineage import cut
+from timetide.llm.substrings import cells_for, estimated_repeated, keys, require_ids, sketch, squeeze, unsqueeze
 from timetide.llm.textops import TextBlock, mix, slices, window_hashes
 
 N_GRAM = 5
 PER_CENT = 80
-PER_SHARD = 500_000
 LEAST_LEVELS, MOST_LEVELS = 1 << 20, 1 << 25
 CHUNK_HASHES = 1_200_000
-SLOTS = 1 << 22
-#: Turns of asking leaders; what they leave open is compared in any case, so this only bounds the rounds.
-TURNS = 3
+#: Least hashes by which sets come together for their first answers, and how many sets stand together at most.
+KEYS = 2
+MOST_SETS, MOST_TOKENS = 1000, 1_000_000
+#: Turns of comparing pairs of components; what they leave open is compared in any case, so this only bounds the rounds.
+TURNS = 4
 ASKED = 4
+#: Turns end where so many pairs of sets, for each set, stand behind the pairs of blocks at most.
+OPEN_PAIRS = 20
+#: The sets of fewer pairs than this are told to all tasks, so that others needn't be shuffled.
+FEW_PAIRS = 50_000
+#: Rows of sets, or of their pairs, for each task.
+PER_TASK = 20_000
 #: Sets of one index list that meet in one piece when all links are listed.
 PER_PIECE = 500
 
@@ -64,7 +79,7 @@ class ShingleBlock:
         for n in range(1, n_gram):
             short = np.flatnonzero(block.n_words == n)
             if len(short):
-                own = window_hashes(words, n, 0xE7037ED1A0B428DB + 2 * n)[block.first[short]]
+                own = mix(window_hashes(words, n)[block.first[short]] ^ np.uint64(0xE7037ED1A0B428DB + 2 * n))
                 h, docs = np.concatenate([h, own]), np.concatenate([docs, short])
         self.h, self.docs, self.n_docs = h, docs, block.n_docs
 
@@ -114,28 +129,37 @@ def _need(a: Column, b: Column, per_cent: int) -> Column:
     return F.ceil(F.lit(per_cent) * (a + b) / F.lit(100 + per_cent)).cast("long")
 
 
-def described(docs: DataFrame, n_gram: int, per_cent: int) -> DataFrame:
-    """doc_id, th (hash of the text), n, f1, f2 (of the set) and the number of shingles in its prefix that other sets may have, of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").cast("binary").alias("text"))
-    about = (docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0) // 6
-    cells = cells_for(about)
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), _runs(n_gram), cells))
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows of sets or their links."""
+    return max(spark.sparkContext.defaultParallelism, rows // PER_TASK)
+
+
+def described(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, int]:
+    """The number of rows, and of every row: doc_id, __id and __th (see substrings.keys), n, f1, f2 (of the set), posted (shingles in its prefix that other sets may have) and, where there are any, own (the set, packed)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys(), F.col("text").cast("string").cast("binary").alias("text"))
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    cells = cells_for((size["n"] or 0) // 6)
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), _runs(n_gram), cells))  # at most DEPTH * MOST_CELLS bits
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = ShingleBlock(part.column("text").to_pylist(), n_gram)
                 top = np.uint64(1 << 63)
-                shared = estimated_repeated(sets.h, bits.value, cells)
-                sets.ordered((sets.h >> np.uint64(1)) | np.where(shared, top, np.uint64(0)))
+                sets.ordered(sets.h)
                 f1, f2 = sets.fingerprints()
+                own = [sets.h[a : a + n] for a, n in zip(sets.first.tolist(), sets.n.tolist(), strict=True)]
+                shared = estimated_repeated(sets.h, bits.value, cells)
+                order = np.lexsort(((sets.h >> np.uint64(1)) | np.where(shared, top, np.uint64(0)), sets.docs))
                 place = np.arange(len(sets.h)) - sets.first[sets.docs]
                 prefix = sets.n - -(-per_cent * sets.n // 100) + 1
-                at = np.flatnonzero((place < prefix[sets.docs]) & estimated_repeated(sets.h, bits.value, cells))
-                many = np.bincount(sets.docs[at], minlength=sets.n_docs)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(sets.n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(many, pa.int64())], ["doc_id", "th", "n", "f1", "f2", "posted"])
+                many = np.bincount(sets.docs[(place < prefix[sets.docs]) & shared[order]], minlength=sets.n_docs)
+                packed = [squeeze(np.diff(h, prepend=np.uint64(0))) if m else None for h, m in zip(own, many.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "__id", "__th")), pa.array(sets.n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(many, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "__id", "__th", "n", "f1", "f2", "posted", "own"])
 
-    return texts.mapInArrow(run, "doc_id long, th int, n long, f1 long, f2 long, posted long")
+    rows = cut(texts.mapInArrow(run, "doc_id long, __id long, __th long, n long, f1 long, f2 long, posted long, own binary"))
+    bits.destroy()
+    return rows, size["rows"]
 
 
 def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,193 +210,143 @@ def frequencies(sets: DataFrame, slots: int) -> np.ndarray:
 
     parts = sets.select("cid", "n", "own").mapInArrow(partial, "block int, n int, x binary, c binary")
     out = np.zeros((blocks, per_block), np.uint8)
-    for r in parts.repartition(max(8, blocks // 4), "block").mapInArrow(merge, "block int, levels binary").toLocalIterator():  # at most MOST_LEVELS bytes in all
+    for r in parts.repartition(min(blocks, 8), "block").coalesce(8).mapInArrow(merge, "block int, levels binary").toLocalIterator(prefetchPartitions=True):  # at most MOST_LEVELS bytes in all
         out[r["block"]] = np.frombuffer(pa.decompress(r["levels"], decompressed_size=per_block, codec="zstd", asbytes=True), np.uint8)
     return out.ravel()
 
 
-def prefixes(sets: DataFrame, per_cent: int, about: int) -> DataFrame:
-    """cid, n and the posted shingles of the prefix (from rare to common), with their positions, of the sets that post any."""
+def prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
+    """Of the sets that post any shingle: cid, n, own, the posted shingles of the prefix (from rare to common) with their positions, and the KEYS by which they come together."""
+    about = sets.agg(F.sum("n").alias("s")).first()["s"] or 0
     slots = min(MOST_LEVELS, max(LEAST_LEVELS, 1 << int(about // 4).bit_length()))
-    levels = sets.sparkSession.sparkContext.broadcast(frequencies(sets, slots))
+    levels = sets.sparkSession.sparkContext.broadcast(frequencies(sets, slots))  # at most MOST_LEVELS bytes
 
     def run(batches):
         for batch in batches:
             out = []
-            for cid, h in _packed(batch):
+            for (cid, h), own in zip(_packed(batch), batch.column("own").to_pylist(), strict=True):
                 level = levels.value[_slot(h, slots)]
                 order = np.lexsort((h, level))[: len(h) - -(-per_cent * len(h) // 100) + 1]
                 at = np.flatnonzero(level[order])
                 if len(at):
-                    out.append((cid, len(h), len(at), h[order[at]].tobytes(), at.astype(np.int32).tobytes()))
+                    shared = h[level > 0]
+                    together = [int(mix(shared ^ np.uint64(k + 1)).min().view(np.int64)) for k in range(KEYS)]
+                    out.append((cid, len(h), own, len(at), h[order[at]].tobytes(), at.astype(np.int32).tobytes(), together))
             if out:
-                types = [pa.int64()] * 3 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["cid", "n", "posted", "tokens", "places"])
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["cid", "n", "own", "posted", "tokens", "places", "together"])
 
-    return sets.select("cid", "n", "own").mapInArrow(run, "cid long, n long, posted long, tokens binary, places binary")
+    posting = cut(sets.select("cid", "n", "own").mapInArrow(run, "cid long, n long, own binary, posted long, tokens binary, places binary, together array<long>"))
+    levels.destroy()
+    return posting
 
 
-def _lists(classes: DataFrame, n_shards: int, per_list, schema: str) -> DataFrame:
-    """Deal the postings of classes (cid, n, label, tokens, places) by shingle; per_list gets the lists of a shard, side by side."""
+class Answers:
+    """Overlaps of one set at a time with all sets of a group, each derived from the answers before it where that reads fewer lists."""
 
-    def deal(batches):
-        for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "n", "label")]
-            tokens = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
-            places = [np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist()]
-            many = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            if not many.sum():
-                continue
-            cid, n, label = (np.repeat(x, many) for x in rows)
-            t, p = np.concatenate(tokens), np.concatenate(places)
-            shard = (mix(t) % np.uint64(n_shards)).astype(np.int32)
-            order = np.lexsort((cid, shard))
-            out = []
-            for o in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                out.append((int(shard[o[0]]), len(o), t[o].tobytes(), squeeze(np.diff(cid[o], prepend=0)), squeeze(n[o]), squeeze(label[o]), squeeze(p[o])))
-            types = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), types, strict=True)], ["shard", "k", "t", "cid", "n", "label", "p"])
-
-    def gather(key, table):
-        rows = table.to_pylist()
-        t = np.concatenate([np.frombuffer(r["t"], np.uint64) for r in rows])
-        cid = np.concatenate([np.cumsum(unsqueeze(r["cid"], np.int64, r["k"])) for r in rows])
-        n, label = (np.concatenate([unsqueeze(r[c], np.int64, r["k"]) for r in rows]) for c in ("n", "label"))
-        p = np.concatenate([unsqueeze(r["p"], np.int32, r["k"]) for r in rows]).astype(np.int64)
-        return per_list(t, cid, n, label, p)
-
-    dealt = classes.select("cid", "n", "label", "tokens", "places").mapInArrow(deal, "shard int, k int, t binary, cid binary, n binary, label binary, p binary")
-    return dealt.groupBy("shard").applyInArrow(gather, schema)
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Distinct pairs and how often each came."""
-    if not len(a):
-        return pa.table([pa.array([], pa.int64())] * 3, ["a", "b", "c"])
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    head = np.flatnonzero((np.diff(a, prepend=a[0] - 1) != 0) | (np.diff(b, prepend=b[0]) != 0))
-    return pa.table([pa.array(a[head]), pa.array(b[head]), pa.array(np.diff(np.append(head, len(a))), pa.int64())], ["a", "b", "c"])
-
-
-def leaders(classes: DataFrame, n_shards: int, per_cent: int, turn: int) -> DataFrame:
-    """a, b: each class that may link with leaders of its lists, in other components, and those it met most often.
-
-    A leader of a list is the set of the least hash of its number, the turn and one of `ASKED` lots: lists of one group
-    agree on it, and every lot gives another.
-    """
-
-    def star(t, cid, n, label, p):
-        found = []
-        for k in range(ASKED):
-            lot = mix(cid.astype(np.uint64) ^ mix(np.uint64([turn * ASKED + k + 1])))
-            order = np.lexsort((lot, t))
-            lists = t[order]
-            head = np.ones(len(t), bool)
-            head[1:] = lists[1:] != lists[:-1]
-            lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            can = np.minimum(n[order] - p[order], n[lead] - p[lead]) >= least_overlap(n[order], n[lead], per_cent)
-            ok = np.flatnonzero((label[lead] != label[order]) & can)
-            found.append((k, _pairs(cid[order[ok]], cid[lead[ok]])))
-        return pa.concat_tables([x.append_column("k", pa.array(np.full(x.num_rows, k, np.int32))) for k, x in found])
-
-    met = _lists(classes, n_shards, star, "a long, b long, c long, k int").groupBy("k", "a", "b").agg(F.sum("c").alias("c"))
-    return met.groupBy("k", "a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")).select("a", "b").distinct()
-
-
-def crossings(classes: DataFrame, n_shards: int, per_cent: int) -> DataFrame:
-    """a, b: pairs of classes of different components that may link by size and position."""
-
-    def cross(t, cid, n, label, p):
-        order = np.lexsort((p, n, t))
-        t, cid, n, label, p = (x[order] for x in (t, cid, n, label, p))
-        starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        ends = np.append(starts[1:], len(t))
-        found = []
-        for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            if (label[lo:hi] == label[lo]).all():
-                continue  # one component: nothing new in this list
-            found += list(_blocks(cid[lo:hi], n[lo:hi], label[lo:hi], p[lo:hi], per_cent))
-        if not found:
-            return _pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return _pairs(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
-
-    return _lists(classes, n_shards, cross, "a long, b long, c long").select("a", "b").distinct()
-
-
-def _blocks(cid: np.ndarray, n: np.ndarray, label: np.ndarray, p: np.ndarray, per_cent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list, ordered by size and position: each block of one size against the sets of each size in reach.
-
-    A set at position i has n - i shingles from here on; a link needs at least `need` in common, so of a block only the
-    positions up to its size less `need` are read, and the rest of the block is skipped.
-    """
-    cuts = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
-    ends = np.append(cuts[1:], len(n))
-    sizes = n[cuts]
-    for i, (lo, hi) in enumerate(zip(cuts.tolist(), ends.tolist(), strict=True)):
-        size = int(sizes[i])
-        for j in range(int(np.searchsorted(sizes, -(-per_cent * size // 100))), i + 1):
-            need = int(least_overlap(np.int64(size), sizes[j], per_cent))
-            mine = np.arange(lo, lo + int(np.searchsorted(p[lo:hi], size - need, "right")))
-            a, b = int(cuts[j]), int(ends[j])
-            theirs = np.arange(a, a + int(np.searchsorted(p[a:b], int(sizes[j]) - need, "right")))
-            if not len(mine) or not len(theirs):
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.first = np.cumsum(self.n) - self.n
+        _, self.token = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(self.token, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.n)[order]
+        self.lists = np.searchsorted(self.token[order], np.arange(self.token.max() + 2))
+        self.overlap = np.zeros(len(sets), np.int64)
+        self.current: np.ndarray | None = None
+        self.mark = np.zeros(len(self.lists), bool)
+        self.read = 0
+
+    def tokens_of(self, x: int) -> np.ndarray:
+        return self.token[self.first[x] : self.first[x] + self.n[x]]
+
+    def _count(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set has."""
+        starts, many = self.lists[tokens], self.lists[tokens + 1] - self.lists[tokens]
+        self.read += int(many.sum())
+        at = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.bincount(self.owner[at], minlength=len(self.n))
+
+    def of(self, x: int) -> np.ndarray:
+        mine = self.tokens_of(x)
+        if self.current is not None:
+            self.mark[self.current] = True
+            more = mine[~self.mark[mine]]
+            self.mark[self.current] = False
+            self.mark[mine] = True
+            less = self.current[~self.mark[self.current]]
+            self.mark[mine] = False
+            if len(more) + len(less) < len(mine):
+                self.overlap = self.overlap + self._count(more) - self._count(less)
+                self.current = mine
+                return self.overlap
+        self.overlap, self.current = self._count(mine), mine
+        return self.overlap
+
+
+def group_answers(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int, int, int]]:
+    """(set, root, head, overlap with its head) of the sets of a group (by increasing size) that link: a head links with its set, a root is what a component's heads start from."""
+    answers, out = Answers(sets), []
+    n, free = answers.n, np.ones(len(sets), bool)
+    for root in range(len(sets) - 1, -1, -1):
+        if not free[root]:
+            continue
+        free[root], todo = False, [root]
+        while todo and free.any():
+            x = todo.pop()
+            # Sets out of reach by size lie before lo and from hi on.
+            lo, hi = np.searchsorted(n, -(-per_cent * n[x] // 100)), np.searchsorted(n, n[x] * 100 // per_cent, "right")
+            near = np.flatnonzero(free[lo:hi]) + lo
+            if not len(near):
                 continue
-            for at in range(0, len(mine), max(1, 2_000_000 // len(theirs))):
-                x = mine[at : at + max(1, 2_000_000 // len(theirs))]
-                ok = label[x][:, None] != label[theirs]
-                if i == j:
-                    ok &= x[:, None] < theirs
-                r, c = np.nonzero(ok)
-                u, v = cid[x[r]], cid[theirs[c]]
-                yield np.minimum(u, v), np.maximum(u, v)
-
+            o = answers.of(x)[near]
+            linked = near[100 * o >= per_cent * (n[near] + n[x] - o)]
+            free[linked] = False
+            out += [(y, root, x, int(answers.overlap[y])) for y in linked.tolist()]
+            todo += linked.tolist()
+    return out
 
-def _asked(keys: DataFrame, key: str):
-    """A bitmap, of fixed size, over hashes of a long key: it spares shuffling rows that can't be asked for."""
-    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
-    bitmap = np.zeros(SLOTS, bool)
-    for r in keys.select((slot / 1024).cast("int").alias("part"), slot.alias("s")).groupBy("part").agg(F.collect_set("s").alias("s")).toLocalIterator():
-        bitmap[r["s"]] = True
-    return keys.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
+def first_answers(posting: DataFrame, per_cent: int) -> DataFrame:
+    """u, root, head, o, nu, nh: links of sets with their heads, found among sets that stand together."""
+    together = posting.select("cid", "n", "own", F.explode("together").alias("g")).withColumn("lot", F.xxhash64("cid"))
+    parts = _parts(posting.sparkSession, KEYS * posting.count())
 
-def _hits(asked, slots: np.ndarray) -> np.ndarray:
-    return ((asked.value[slots >> 3] >> (7 - (slots & 7))) & 1).astype(bool)
+    def settle(rows):
+        rows.sort(key=lambda r: r[1])
+        return [(rows[u][0], rows[root][0], rows[head][0], o, rows[u][1], rows[head][1]) for u, root, head, o in group_answers([h for _, _, h in rows], per_cent)]
 
-
-def set_table(docs: DataFrame, classes: DataFrame, n_gram: int) -> DataFrame:
-    """cid, n, own (its shingle hashes, ordered and packed) of the classes, from the texts of their representatives."""
-    need = classes.select("cid", "rep", "f1", "f2")
-    asked = _asked(need, "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).cast("int").alias("slot"), F.col("text").cast("string").cast("binary").alias("text"))
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "root", "head", "o", "nu", "nh"])
 
     def run(batches):
+        last, rows, tokens, out = None, [], 0, []
         for batch in batches:
-            hit = _hits(asked, batch.column("slot").to_numpy(zero_copy_only=False))
-            if not hit.any():
-                continue
-            for part in slices(batch.filter(pa.array(hit))):
-                sets = ShingleBlock(part.column("text").to_pylist(), n_gram)
-                sets.ordered(sets.h)
-                f1, f2 = sets.fingerprints()
-                own = [squeeze(np.diff(sets.h[a : a + n], prepend=np.uint64(0))) for a, n in zip(sets.first.tolist(), sets.n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("of"), pa.array(f1), pa.array(f2), pa.array(sets.n, pa.int64()), pa.array(own, pa.binary())], ["of", "f1", "f2", "n", "own"])
-
-    found = texts.mapInArrow(run, "of long, f1 long, f2 long, n long, own binary")
-    return cut(found.join(need, ["f1", "f2"]).filter(F.col("of").eqNullSafe(F.col("rep"))).select("cid", "n", "own").dropDuplicates(["cid"]))
-
-
-def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, na, nb, o: the sizes and the exact overlap of the sets of each pair of classes."""
-    asked = _asked(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
-
-    def wanted(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_hits(asked, batch.column("slot").to_numpy(zero_copy_only=False)))).select(["cid", "n", "own"])
-
-    slot = F.pmod(F.xxhash64("cid"), F.lit(SLOTS)).cast("int").alias("slot")
-    some = sets.select("cid", "n", "own", slot).mapInArrow(wanted, "cid long, n long, own binary")
+            for g, (cid, h) in zip(batch.column("g").to_pylist(), _packed(batch), strict=True):
+                if rows and (g != last or len(rows) >= MOST_SETS or tokens + len(h) > MOST_TOKENS):
+                    if len(rows) > 1:
+                        out += settle(rows)
+                    rows, tokens = [], 0
+                    if len(out) > 10_000:
+                        yield batch_of(out)
+                        out = []
+                last = g
+                rows.append((cid, len(h), h))
+                tokens += len(h)
+        if len(rows) > 1:
+            out += settle(rows)
+        if out:
+            yield batch_of(out)
+
+    # By ranges of (key, lot): a key of many sets takes as many tasks as it needs.
+    dealt = together.repartitionByRange("g", "lot").sortWithinPartitions("g", "lot").select("g", "cid", "n", "own").coalesce(parts)
+    return cut(dealt.mapInArrow(run, "u long, root long, head long, o long, nu long, nh long"))
+
+
+def overlaps(sets: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """a, b, na, nb, o: the sizes and the exact overlap of the sets of each pair of classes. n: how many pairs there are at most."""
+    some = sets.select("cid", "n", "own")
+    if n < FEW_PAIRS:
+        some = some.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), "cid", "left_semi")
     side = lambda x: some.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"x{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
 
@@ -387,48 +361,93 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 out.append(int((cached[at] == mine).sum()) if nb else 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(out, pa.int64())], ["a", "b", "na", "nb", "o"])
 
-    return both.mapInArrow(count, "a long, b long, na long, nb long, o long")
+    return both.coalesce(_parts(sets.sparkSession, n)).mapInArrow(count, "a long, b long, na long, nb long, o long")
+
 
+def _prepared(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their sets' fingerprints, the classes of equal sets, and the sets that may link with their postings."""
+    require_ids(docs)
+    rows, n = described(docs, n_gram, per_cent)
+    classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.first("own").alias("own"))
+    classes = cut(classes.coalesce(_parts(docs.sparkSession, n)).withColumn("cid", F.monotonically_increasing_id()))
+    return rows, classes, prefixes(classes.filter("own IS NOT NULL").select("cid", "n", "own"), per_cent)
 
-def _prepared(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """The rows with their sets' fingerprints, the classes of equal sets, the sets and the postings of those that may link, and a number of shards."""
-    rows = cut(described(docs, n_gram, per_cent))
-    classes = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.count(F.lit(1)).alias("docs"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-    sets = set_table(docs, classes.filter("posted > 0"), n_gram)
-    posting = cut(prefixes(sets, per_cent, sets.agg(F.sum("n").alias("s")).first()["s"] or 0))
-    n_shards = max(16, (posting.agg(F.sum("posted").alias("s")).first()["s"] or 0) // PER_SHARD)
-    return rows, classes, sets, posting, n_shards
 
+def _single(posting: DataFrame, *more: str) -> DataFrame:
+    """t, cid, n, p and what else is named, of every posted shingle."""
 
-def _first_answers(sets: DataFrame, posting: DataFrame, n_shards: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
-    """The postings with labels of connected classes, and the links found (a, b, na, nb, o): turn by turn, each set asks leaders of other labels."""
-    labelled, linked = posting.withColumn("label", F.col("cid")), None
-    for turn in range(TURNS):
-        new = cut(overlaps(sets, cut(leaders(labelled, n_shards, per_cent, turn))).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)))
-        linked = new if linked is None else linked.unionByName(new)
-        if new.isEmpty():
+    def spread(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
+            if not tokens:
+                continue
+            many = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            places = np.concatenate([np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist()])
+            rest = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many)) for c in ("cid", "n", *more)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(places), *rest], ["t", "p", "cid", "n", *more])
+
+    return posting.select("cid", "n", "tokens", "places", *more).mapInArrow(spread, "t long, p int, cid long, n long" + "".join(f", {c} long" for c in more))
+
+
+def block_pairs(single: DataFrame, per_cent: int, turn: int) -> DataFrame:
+    """t, la, lb, a, b, pairs: the blocks of different components in a list that may hold a link by size and position, with a set of each drawn by lot, and how many pairs of sets they hold."""
+    blocks = single.groupBy("t", "label").agg(F.count(F.lit(1)).alias("sets"), F.max(F.col("n") - F.col("p")).alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("lead"))
+    side = lambda x: blocks.select("t", F.col("label").alias(f"l{x}"), F.col("lead").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("rest", "least", "most", "sets")])
+    room = (F.least("rest_a", "rest_b") >= _need(F.col("least_a"), F.col("least_b"), per_cent)) & (F.col("most_a") * 100 >= F.col("least_b") * per_cent) & (F.col("most_b") * 100 >= F.col("least_a") * per_cent)
+    return side("a").join(side("b"), "t").filter((F.col("la") < F.col("lb")) & room).select("t", "la", "lb", "a", "b", (F.col("sets_a") * F.col("sets_b")).alias("pairs"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (cid and more, label) with those of connected classes brought together along links (la, lb)."""
+    way = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("to"))
+    return cut(labels.join(way, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to").coalesce(labels.rdd.getNumPartitions()))
+
+
+def connected(posting: DataFrame, heads: DataFrame, per_cent: int, turns: int = TURNS, open_pairs: int = OPEN_PAIRS) -> DataFrame:
+    """cid, label of every set: sets have one label if links connect them. heads: links that are known (first_answers)."""
+    n = posting.count()
+    parts = _parts(posting.sparkSession, n)
+    labels = _relabelled(posting.select("cid", "n", "tokens", "places").withColumn("label", F.col("cid")), heads.select(F.col("u").alias("la"), F.col("root").alias("lb")))
+    met = cut(block_pairs(_single(labels, "label"), per_cent, 0).coalesce(parts))
+    for turn in range(turns):
+        # Few pairs of sets may stand behind the pairs of blocks: they are decided at once.
+        if (met.agg(F.sum("pairs").alias("s")).first()["s"] or 0) <= open_pairs * n:
+            break
+        count = met.groupBy("la", "lb", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+        order = Window.partitionBy("la", "lb").orderBy(F.desc("c"), "a", "b")
+        asked = cut(count.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= ASKED).select("la", "lb", "a", "b").coalesce(parts))
+        found = overlaps(posting, asked, asked.count()).filter(F.col("o") >= _need(F.col("na"), F.col("nb"), per_cent)).select("a", "b")
+        found = cut(asked.join(found, ["a", "b"]).select("la", "lb").distinct().coalesce(parts))
+        if found.isEmpty():
             break
-        labelled = cut(_relabelled(labelled, new))
-    return labelled, linked
+        labels = _relabelled(labels, found)
+        met = cut(block_pairs(_single(labels, "label"), per_cent, turn + 1).coalesce(parts))
+    single = _single(labels, "label")
+    side = lambda x: single.select("t", F.col("label").alias(f"l{x}"), *[F.col(c).alias(f"{c}{x}" if c != "cid" else x) for c in ("cid", "n", "p")])
+    need = _need(F.col("na"), F.col("nb"), per_cent)
+    pairs = met.select("t", "la", "lb").join(side("a"), ["t", "la"]).join(side("b"), ["t", "lb"]).filter(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+    pairs = cut(pairs.select("la", "lb", "a", "b", need.alias("need")).distinct().coalesce(parts))
+    last = _further(posting, pairs, heads)
+    if not last.isEmpty():
+        labels = _relabelled(labels, last.join(pairs, ["a", "b"]).select("la", "lb").distinct())
+    return labels.select("cid", "label")
+
+
+def _components(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (see described) with node, a number of their component, for all that have words; and those without."""
+    rows, classes, posting = _prepared(docs, n_gram, per_cent)
+    labels = connected(posting, first_answers(posting, per_cent), per_cent)
+    named = classes.select("cid", "f1", "f2", "rep").join(labels, "cid", "left").select("f1", "f2", "rep", F.coalesce("label", "cid").alias("node"))
+    narrow = rows.drop("own", "posted")
+    return narrow.filter("n > 0").join(named, ["f1", "f2"]), narrow.filter("n = 0")
 
 
 def near_duplicates(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id of every row of docs (see the module)."""
-    rows, classes, sets, posting, n_shards = _prepared(docs, n_gram, per_cent)
-    labelled, linked = _first_answers(sets, posting, n_shards, per_cent)
-    # What the first answers don't settle.
-    size = labelled.select("cid", "n")
-    pairs = _sized(crossings(labelled, n_shards, per_cent), size).withColumn("need", _need(F.col("na"), F.col("nb"), per_cent))
-    pairs = cut(pairs.select("a", "b", "na", "nb", "need"))
-    edges = linked.select("a", "b")
-    if not pairs.isEmpty():
-        edges = edges.unionByName(_further(sets, pairs, linked))
-    final = components(edges)
-    names = final.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("smallest"))
-    named = classes.select("cid", "f1", "f2", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").join(names, "component", "left").select("f1", "f2", F.coalesce("smallest", "rep").alias("component_id"))
-    known = rows.filter("n > 0").join(named, ["f1", "f2"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    return known.unionByName(rows.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    """doc_id, n_shingles, component_id of every row of docs (see the module)."""
+    known, rest = _components(docs, n_gram, per_cent)
+    names = known.groupBy("node").agg(F.min("rep").alias("component_id"))
+    known = known.join(names, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return known.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def candidates(posting: DataFrame, per_cent: int, piece: int = PER_PIECE) -> DataFrame:
@@ -437,17 +456,7 @@ def candidates(posting: DataFrame, per_cent: int, piece: int = PER_PIECE) -> Dat
     A list of more than `piece` sets is cut into pieces by a hash of the set, and each two pieces meet under a key of their own.
     """
 
-    def spread(batches):
-        for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
-            if not tokens:
-                continue
-            many = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            places = np.concatenate([np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist()])
-            cid, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("cid", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(cid), pa.array(n), pa.array(places)], ["t", "cid", "n", "p"])
-
-    single = posting.select("cid", "n", "tokens", "places").mapInArrow(spread, "t long, cid long, n long, p int")
+    single = _single(posting)
     lists = single.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("pieces"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     dealt = single.join(lists, "t").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
@@ -460,10 +469,9 @@ def candidates(posting: DataFrame, per_cent: int, piece: int = PER_PIECE) -> Dat
 
 
 def _links(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows, classes, and all links a, b between the classes, each proved by the overlap or by the bounds from leaders."""
-    rows, classes, sets, posting, n_shards = _prepared(docs, n_gram, per_cent)
-    _, linked = _first_answers(sets, posting, n_shards, per_cent)
-    return rows, classes, _further(sets, cut(candidates(posting, per_cent)), linked)
+    """Rows, classes, and all links a, b between the classes, each proved by the overlap or by the bounds from heads."""
+    rows, classes, posting = _prepared(docs, n_gram, per_cent)
+    return rows, classes, _further(posting, cut(candidates(posting, per_cent)), first_answers(posting, per_cent))
 
 
 def links(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
@@ -486,50 +494,39 @@ def link_counts(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT)
     return known.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links")))
 
 
-def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
-    """labelled with labels brought together along links: each label gives way to the least one that it is linked with.
-
-    Equal labels always mean connected sets; that some connected ones still differ costs comparisons only.
-    """
-    of = labelled.select(F.col("cid").alias("c"), F.col("label").alias("l"))
-    p = links.select("a", "b").join(of.withColumnsRenamed({"c": "a", "l": "la"}), "a").join(of.withColumnsRenamed({"c": "b", "l": "lb"}), "b").select("la", "lb")
-    both = p.select(F.explode(F.array(F.struct(F.col("la").alias("x"), F.col("lb").alias("y")), F.struct(F.col("lb").alias("x"), F.col("la").alias("y")))).alias("e")).select("e.*")
-    way = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("to")))
-    on = way.select(F.col("x").alias("to"), F.col("to").alias("then"))
-    way = way.join(on, "to", "left").select(F.col("x").alias("label"), F.coalesce("then", "to").alias("to"))
-    return labelled.join(way, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-
-
-def _sized(pairs: DataFrame, size: DataFrame) -> DataFrame:
-    return pairs.join(size.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-
-
-def _further(sets: DataFrame, pairs: DataFrame, linked: DataFrame) -> DataFrame:
-    """The links among pairs: by bounds from their leaders' overlap where those decide, by comparison elsewhere."""
-    lead = linked.dropDuplicates(["a"]).select(F.col("a").alias("cid"), F.col("b").alias("lead"), (F.col("na") - F.col("o")).alias("more"), (F.col("nb") - F.col("o")).alias("less"))
+def _further(sets: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The links a, b among pairs (computed before): by bounds from their heads' overlap where those decide, by comparison elsewhere."""
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b")
+    parts = _parts(pairs.sparkSession, n)
+    best = heads.groupBy("u").agg(F.max_by(F.struct("head", "o", "nu", "nh"), F.struct("o", "head")).alias("x")).select("u", "x.*")
+    lead = best.select(F.col("u").alias("cid"), F.col("head").alias("lead"), (F.col("nu") - F.col("o")).alias("more"), (F.col("nh") - F.col("o")).alias("less"))
     side = lambda c: lead.select(*[F.col(x).alias(f"{x}_{c}" if x != "cid" else c) for x in lead.columns])
     p = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     p = p.withColumns({f"lead_{c}": F.coalesce(f"lead_{c}", c) for c in "ab"} | {f"{x}_{c}": F.coalesce(f"{x}_{c}", F.lit(0)) for x in ("more", "less") for c in "ab"})
-    p = cut(p.withColumns({"la": F.least("lead_a", "lead_b"), "lb": F.greatest("lead_a", "lead_b")}))
-    known = overlaps(sets, p.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select("a", "b", "o")
+    p = cut(p.withColumns({"la": F.least("lead_a", "lead_b"), "lb": F.greatest("lead_a", "lead_b")}).coalesce(parts))
+    known = overlaps(sets, p.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), n).select("a", "b", "o")
     p = p.join(known.select(F.col("a").alias("la"), F.col("b").alias("lb"), "o"), ["la", "lb"])
-    # An element in both sets is in both leaders or among what one of them has more than its leader.
-    p = cut(p.withColumn("most", F.col("o") + F.col("more_a") + F.col("more_b")).withColumn("least", F.col("o") - F.col("less_a") - F.col("less_b")).filter("most >= need"))
+    # An element in both sets is in both heads or among what one of them has more than its head.
+    p = cut(p.withColumn("most", F.col("o") + F.col("more_a") + F.col("more_b")).withColumn("least", F.col("o") - F.col("less_a") - F.col("less_b")).filter("most >= need").select("a", "b", "need", "least").coalesce(parts))
     sure, open_ = p.filter("least >= need").select("a", "b"), p.filter("least < need").select("a", "b", "need")
-    done = overlaps(sets, open_.select("a", "b")).select("a", "b", "o").join(open_, ["a", "b"]).filter("o >= need").select("a", "b")
-    return cut(sure.unionByName(done))
+    done = overlaps(sets, open_, n).select("a", "b", "o").join(open_, ["a", "b"]).filter("o >= need").select("a", "b")
+    return cut(sure.unionByName(done).coalesce(parts))
 
 
 def keep_one(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) -> DataFrame:
-    """The rows of docs less near duplicates: of each component the document of the smallest id stays, once.
+    """The rows of docs less near duplicates: of each component one document stays, the one of the smallest id.
 
-    Documents without words stay. Rows without an id stay only where no document of their component has one.
+    Documents without an id come last, by a hash of their text; of equal ids or equal rows one stays. Documents without
+    words all stay. All columns are kept.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), n_gram, per_cent).filter("n_shingles > 0")
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("th"))
-    nameless = found.filter("doc_id IS NULL AND component_id IS NULL").select("doc_id", "th").distinct()
-    stay = first.unionByName(nameless).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    wordy = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(wordy).withColumns({"__of": F.col("doc_id").cast("long"), "__h": F.hash(F.col("text").cast("string"))})
-    kept = keyed.join(stay, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi").dropDuplicates(["__of", "__h"])
-    return kept.select(*docs.columns).unionByName(docs.filter(~wordy))
+    known, _ = _components(docs.select("doc_id", "text"), n_gram, per_cent)
+    stay = known.groupBy("node").agg(F.min(F.struct("__id", "__th")).alias("first")).select("first.*")
+    own = docs.columns
+    places = docs.toDF(*[f"c{i}" for i in range(len(own))])  # by place, so that no name of docs can clash
+    text = F.col(f"c{own.index('text')}")
+    wordy = F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = places.filter(wordy).select("*", *keys(F.col(f"c{own.index('doc_id')}"), text))
+    kept = keyed.join(stay, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    return kept.unionByName(places.filter(~wordy)).toDF(*own)

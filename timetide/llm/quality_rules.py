@@ -7,13 +7,15 @@ is computed, never the verdict.
 
 The base statistics of every whole text are always computed, as they are results themselves.
 
-Cases: a null or empty text has no words, so the base rule rejects it; repeated rows get equal answers; a table
-without rows gives an empty result (the rules keep their given order).
+Cases: a null or empty text has no words, so the base rule rejects it; a very long text is looked at whole, alone in
+its block; repeated rows get equal answers; rules of equal rejection per cost keep their given order; a table without
+rows gives an empty result; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetide.llm.textops import TextBlock, doc_id_type, map_texts, mix, span_hashes, sums_by_doc, texts_of, window_hashes, _BYTE_VALUES
+from timetide.llm.textops import TextBlock, doc_id_type, map_texts, mix, sums_by_doc, texts_of, window_hashes
 
 SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 20_000
@@ -66,15 +68,33 @@ def counts_by_doc(flags: np.ndarray, block: TextBlock) -> np.ndarray:
     return total[block.doc_end] - total[block.doc_start]
 
 
-def lines_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all lines with a word, their documents, and which equal an earlier line of the same document."""
-    breaks = np.flatnonzero(block.blob == 10)
-    starts = np.concatenate([[0], breaks[:-1] + 1])
-    some = np.searchsorted(block.starts, starts) < np.searchsorted(block.starts, breaks)
-    starts, ends = starts[some], breaks[some]
-    docs = np.searchsorted(block.doc_end, starts)
-    later = repeats_within(span_hashes(_BYTE_VALUES[block.blob], starts, ends), docs)[1] if len(starts) else np.zeros(0, bool)
-    return starts, ends, docs, later
+def dup_lines(text: bytes) -> int:
+    """How many lines with a word equal an earlier line; the lines themselves are compared."""
+    lines = text.split(b"\n")
+    if len(set(lines)) == len(lines):
+        return 0
+    lines = [x for x in lines if x.strip()]
+    return len(lines) - len(set(lines))
+
+
+def repeated_windows(block: TextBlock, width: int = REPEAT_WINDOW) -> np.ndarray:
+    """First words of the windows that are found twice or more in their document.
+
+    Hashes tell which windows may be; the words of those are then compared.
+    """
+    firsts, docs = block.windows(width)
+    if not len(firsts):
+        return firsts
+    may = repeats_within(window_hashes(block.word_hashes(), width)[firsts], docs)[0]
+    firsts, docs = firsts[may], docs[may]
+    out = []
+    for doc in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(docs)) + 1) if len(docs) else []:
+        words = block.words(docs[doc[0]])
+        own = (firsts[doc] - block.first[docs[doc[0]]]).tolist()
+        keys = [tuple(words[i : i + width]) for i in own]
+        many = Counter(keys)
+        out.append(firsts[doc[[many[k] > 1 for k in keys]]])
+    return np.concatenate(out) if out else firsts
 
 
 @dataclass
@@ -91,14 +111,11 @@ class TextStats:
     def of(cls, block: TextBlock) -> TextStats:
         blob, n = block.blob, block.n_docs
         chars = counts_by_doc(~IS_CONTINUATION[blob], block) - counts_by_doc((blob == 32) | (blob >= 9) & (blob <= 13), block)
-        _, _, line_docs, later = lines_of(block)
-        dup = np.bincount(line_docs[later], minlength=n)
-        firsts, docs = block.windows(REPEAT_WINDOW)
+        dup = np.array([dup_lines(block.text(i)) for i in range(n)], np.int64)
         covered = np.zeros(len(block.starts) + 1, np.int64)
-        if len(firsts):
-            many, _ = repeats_within(window_hashes(block.word_hashes(), REPEAT_WINDOW)[firsts], docs)
-            np.add.at(covered, firsts[many], 1)
-            np.add.at(covered, firsts[many] + REPEAT_WINDOW, -1)
+        repeated_at = repeated_windows(block)
+        np.add.at(covered, repeated_at, 1)
+        np.add.at(covered, repeated_at + REPEAT_WINDOW, -1)
         repeated = sums_by_doc((np.cumsum(covered)[:-1] > 0).astype(np.int64), block.first, block.n_words)
         return cls(block.n_words, chars, counts_by_doc(IS_SYMBOL[blob], block), dup, repeated)
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timetide.operators.lineage import cut
 from timetide.llm.textops import TextBlock, slices, window_hashes
 
 WIDTH = 20
@@ -37,12 +38,22 @@ BLOCK_BITS = 20
 CHUNK_WINDOWS = 1_200_000
 #: Windows of one exact group of hashes, and removed starts of one group of documents, on average.
 PER_SHARD, PER_BUCKET = 2_000_000, 2_000_000
-LAST = np.iinfo(np.int64).max
+#: From here on, numbers stand for documents without an id.
+NAMELESS = 1 << 62
 
 
-def keys() -> list[Column]:
-    """What tells documents apart, in their order."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("__id"), F.hash(F.col("text").cast("string")).alias("__th")]
+def keys(doc_id: Column | None = None, text: Column | None = None) -> list[Column]:
+    """__id and __th, which tell documents apart, in their order: the id, or 62 bits of a hash of the text where there is none, and 64 other bits of the text."""
+    doc_id, text = F.col("doc_id") if doc_id is None else doc_id, (F.col("text") if text is None else text).cast("string")
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.lit(1), text), F.lit(NAMELESS))
+    return [F.coalesce(doc_id.cast("long"), nameless).alias("__id"), F.xxhash64(text).alias("__th")]
+
+
+def require_ids(docs: DataFrame) -> None:
+    """Ids must be whole numbers (ValueError), as the smallest of a group counts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"doc_id must be a whole number, not {kind}")
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -77,10 +88,9 @@ class Chunk:
         firsts, docs = block.windows(width)
         if not len(firsts):
             return
-        words = block.word_hashes()
-        self.h.append(window_hashes(words, width)[firsts])
+        self.h.append(window_hashes(block.word_hashes(), width)[firsts])
         if places:
-            self.g.append((window_hashes(words, width, 0xA0761D6478BD642F)[firsts] >> np.uint64(32)).astype(np.uint32))
+            self.g.append((window_hashes(block.word_hashes(1), width)[firsts] >> np.uint64(32)).astype(np.uint32))
             self.docs.append((docs + self.n_docs).astype(np.int32))
             self.starts.append((firsts - block.first[docs]).astype(np.int32))
             self.ids.append(part.column("__id").to_numpy(zero_copy_only=False))
@@ -157,9 +167,9 @@ def sketch(texts: DataFrame, runs: Callable[[Iterator[pa.RecordBatch]], Iterator
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
 
     parts = texts.select("text").mapInArrow(partial, "block int, n int, cells binary, m int, twice binary")
-    merged = parts.repartition(min(DEPTH * blocks, max(8, DEPTH * blocks // 8)), "block").mapInArrow(merge, "block int, bits binary")
+    merged = parts.repartition(min(DEPTH * blocks, 8), "block").coalesce(8).mapInArrow(merge, "block int, bits binary")
     out = np.zeros((DEPTH * blocks, per_block // 8), np.uint8)
-    for r in merged.toLocalIterator():  # at most DEPTH * MOST_CELLS bits in all
+    for r in merged.toLocalIterator(prefetchPartitions=True):  # at most DEPTH * MOST_CELLS bits in all
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(DEPTH, cells // 8)
 
@@ -199,7 +209,7 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # About six bytes a word: only the sizes of the sketch and of the groups hang on it.
     about = (docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0) // 6
     cells = cells_for(about)
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, window_runs(width), cells))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, window_runs(width), cells))  # DEPTH * MOST_CELLS bits at most
     n_shards, n_buckets = max(16, about // PER_SHARD), max(16, about // PER_BUCKET)
     schema = "key int, n int, h binary, g binary, ids binary, ths binary, starts binary"
     names = ["key", "n", "h", "g", "ids", "ths", "starts"]
@@ -239,7 +249,7 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
         g = np.concatenate([np.frombuffer(r["g"], np.uint32) for r in rows])
         ids = np.concatenate([np.cumsum(unsqueeze(r["ids"], np.int64, r["n"])) for r in rows])
-        ths = np.concatenate([unsqueeze(r["ths"], np.int32, r["n"]) for r in rows])
+        ths = np.concatenate([unsqueeze(r["ths"], np.int64, r["n"]) for r in rows])
         starts = np.concatenate([unsqueeze(r["starts"], np.int32, r["n"]) for r in rows])
         _, later = _later(h, g, ids, ths, starts)
         out = [(b, n, None, None, i, t, s) for b, n, i, t, s in _removed(bucket(ids[later]), ids[later], ths[later], starts[later])]
@@ -248,7 +258,7 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def intervals(key, table):
         rows = table.to_pylist()
         ids = np.concatenate([np.cumsum(unsqueeze(r["ids"], np.int64, r["n"])) for r in rows])
-        ths = np.concatenate([unsqueeze(r["ths"], np.int32, r["n"]) for r in rows])
+        ths = np.concatenate([unsqueeze(r["ths"], np.int64, r["n"]) for r in rows])
         starts = np.concatenate([np.cumsum(unsqueeze(r["starts"], np.int32, r["n"]), dtype=np.int32) for r in rows])
         order = np.lexsort((starts, ths, ids))
         ids, ths, starts = ids[order], ths[order], starts[order].astype(np.int64)
@@ -263,7 +273,9 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.table([pa.array(ids[doc]), pa.array(ths[doc]), *lists], ["__id", "__th", "__starts", "__ends"])
 
     found = texts.mapInArrow(candidates, schema).groupBy("key").applyInArrow(exact, schema)
-    return found.select("key", "n", "ids", "ths", "starts").groupBy("key").applyInArrow(intervals, "__id long, __th int, __starts array<int>, __ends array<int>")
+    lost = cut(found.select("key", "n", "ids", "ths", "starts").groupBy("key").applyInArrow(intervals, "__id long, __th long, __starts array<int>, __ends array<int>"))
+    bits.destroy()
+    return lost
 
 
 def cut_words(text: bytes | None, starts: list[int] | None, ends: list[int] | None) -> tuple[int, int, bytes]:
@@ -281,6 +293,7 @@ def cut_words(text: bytes | None, starts: list[int] | None, ends: list[int] | No
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
     """All columns of docs, and __n_words, __n_removed, __kept (the words left, joined by one space; with digest, their sha256)."""
+    require_ids(docs)
     lost = removed_intervals(docs, width)
     tagged = docs.select("*", *keys())
     joined = tagged.join(lost, ["__id", "__th"], "left").drop("__id", "__th").withColumn("__text", F.col("text").cast("string").cast("binary"))

@@ -6,8 +6,8 @@ its Arrow batch. Words are `[^\\x20\\x09-\\x0D]+` throughout, found on the UTF-8
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1_000_000
-SPAN_VALUES = 1 << 20
+#: Longer words are hashed one by one.
+LONG_BYTES = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 IS_SPACE = np.zeros(256, bool)
@@ -24,22 +25,9 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    ones = np.full(n, base, np.uint64)
-    back = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    ones[0] = back[0] = 1
-    return np.cumprod(ones), np.cumprod(back)
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    up, down = _powers(base, 1 << max(16, (max(n, 1) - 1).bit_length()))
-    return up[:n], down[:n]
+#: Of the first and of the second, independent hash.
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,34 +40,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _MULTIPLIER) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for every span (by increasing start), from running sums over SPAN_VALUES at a time."""
-    if len(values) > 2 * SPAN_VALUES and len(starts) > 1:
-        out, at = np.empty(len(starts), np.uint64), 0
-        while at < len(starts):
-            lo = starts[at]
-            stop = max(at + 1, int(np.searchsorted(starts, lo + SPAN_VALUES)))
-            hi = ends[at:stop].max()
-            out[at:stop] = span_hashes(values[lo:hi], starts[at:stop] - lo, ends[at:stop] - lo, base) if hi - lo < len(values) else _span_hashes(values, starts[at:stop], ends[at:stop], base)
-            at = stop
-        return out
-    return _span_hashes(values, starts, ends, base)
+def byte_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of blob[start:end] for every span; which: one of two independent ones.
 
+    Eight bytes at a time enter by exclusive or, with a full mix after each, so no sum of powers stands behind it: two
+    spans of one length up to eight bytes never meet. Spans of more than LONG_BYTES go through BLAKE2b.
+    """
+    eights = np.ndarray((len(blob) + 1,), "<u8", np.concatenate([blob, np.zeros(8, np.uint8)]), strides=(1,))
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(_SEEDS[which]))
+    h = mix(h ^ (eights[starts] & _LOW_BYTES[np.minimum(size, 8)]))
+    todo, at = np.flatnonzero((size > 8) & (size <= LONG_BYTES)), 8
+    while len(todo):
+        h[todo] = mix(h[todo] ^ (eights[starts[todo] + at] & _LOW_BYTES[np.minimum(size[todo] - at, 8)]))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_BYTES).tolist():
+        digest = hashlib.blake2b(blob[starts[i] : ends[i]], digest_size=16).digest()
+        h[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+    return h
 
-def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a * np.uint64(0xA0761D6478BD642F)) ^ b)
 
-def window_hashes(words: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """A hash of words[i:i+width] for every i that has so many words after it."""
-    n = len(words) - width + 1
-    if n <= 0:
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of words[i:i+width] for every i that has so many words after it: from pairs, pairs of pairs and so on."""
+    if len(words) < width:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(words, at, at + width, base)
+    whole, done, power, part = None, 0, 1, words
+    while True:
+        if width & power:
+            whole, done = (part if whole is None else _joined(whole[: len(part) - done], part[done:])), done + power
+        if 2 * power > width:
+            return whole[: len(words) - width + 1]
+        part = _joined(part[:-power], part[power:])
+        power *= 2
 
 
 class TextBlock:
@@ -102,8 +99,15 @@ class TextBlock:
         self.first = np.searchsorted(self.starts, self.doc_start)
         self.n_words = np.diff(np.append(self.first, len(self.starts)))
 
-    def word_hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE_VALUES[self.blob], self.starts, self.ends)
+    def word_hashes(self, which: int = 0) -> np.ndarray:
+        return byte_hashes(self.blob, self.starts, self.ends, which)
+
+    def text(self, doc: int) -> bytes:
+        return self.blob[self.doc_start[doc] : self.doc_end[doc]].tobytes()
+
+    def words(self, doc: int) -> list[bytes]:
+        """The words of one document: bytes.split() cuts at the same blanks."""
+        return self.text(doc).split()
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words)
