@@ -54,3 +54,13 @@ def test_edges(spark):
     got = mixing.mix_report(docs).collect()
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 3
     assert mixing.mix_report(docs.limit(0)).count() == 0
+
+
+def test_rate_of_exactly_three_and_clashing_names(spark):
+    data = [(None if i % 7 == 0 else i, "w " * (1 + i % 5), "x", "a", 1, "s") for i in range(3000)] + [(9000 + i, "v " * 400, "x", "b", 1, "s") for i in range(120)]
+    docs = spark.createDataFrame([(*r, "own", 5) for r in data], SCHEMA + ", __size string, mix_x long")
+    got = mixing.mix_report(docs).collect()
+    rate = {r.source: r.target / r.source_size for r in got}
+    assert rate["a"] == 3.0 and {r.copies for r in got if r.source == "a"} == {3}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.filter("source = 'a'").count() == 9000 and {r["__size"] for r in mixed.collect()} == {"own"}

@@ -9,11 +9,14 @@ by size class, then by a hash of their id; the running sum of the expected copie
 crosses some integer boundaries within each document, and each crossing is one copy. As all size classes are taken
 at the same rate, the words taken come near the target.
 
-The running sum is exact and never gathers a source in one task: it is the rank times the rate, and ranks come from
-counts of (source, size class, slice of the hash) plus a rank within such a slice.
-
-Cases: a null text has size 0; a null source is a source, the last; a source without words has target 0 and nothing
-is taken; repeated rows are ranked one by one; an empty table gives an empty result; a null doc_id is an id.
+The running sum never gathers a source in one task: it is the rank times the rate, and ranks come from counts of
+(source, size class, slice of the hash) plus a rank within such a slice, of about `PER_SLICE` documents. The offset has 20
+bits, so at a rate of exactly 3 all sums are exact, and no document is taken more than 3 times.
+
+Cases: a null text has size 0; very long texts are counted whole; a null source is a source, the last; a source without
+words has target 0 and nothing is taken; repeated rows are ranked one by one; ties in size and id go either way, with
+the same sums; a null doc_id stands by the md5 of its text; an empty table gives an empty result; all other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timetide.operators.lineage import cut
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SLICES = 256
+SLICES, PER_SLICE = 256, 20_000
+#: Steps of the offset.
+STEPS = 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -58,49 +65,60 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, size: str, seed: str = "mix") -> DataFrame:
-    """The rows of docs with __source_size, __target and __copies (how often the mix takes the document)."""
-    of_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    d = docs.withColumn("__class", F.floor(F.log2(F.col(size) + 1) * 4).cast("int")).withColumn("__hash", unit_hash(F.concat(F.lit(seed + ":"), of_id)))
-    d = d.withColumn("__slice", F.floor(F.col("__hash") * SLICES).cast("int"))
-    slices = d.groupBy("source", "__class", "__slice").agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__words"))
-    running = Window.partitionBy("source").orderBy("__class", "__slice").rowsBetween(Window.unboundedPreceding, -1)
-    aimed = targets(slices.groupBy("source").agg(F.sum("__words").alias("source_size")))
-    aimed = aimed.select(F.col("source").alias("__s"), "source_size", "target")
-    slices = slices.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0)))
-    slices = slices.join(aimed, F.col("source").eqNullSafe(F.col("__s"))).select(F.col("source").alias("__s"), F.col("__class").alias("__c"), F.col("__slice").alias("__l"), "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    d = d.join(slices, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__slice") == F.col("__l")))
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy("source", "__class", "__slice").orderBy("__hash", of_id, F.col(size))) 
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    d = d.withColumn("__rank", rank).withColumn("__rate", rate).withColumn("__offset", unit_hash(F.concat(F.lit(seed + "/"), F.coalesce(F.col("source").cast("string"), F.lit("")))))
-    crossed = F.floor(F.col("__offset") + F.col("__rank") * F.col("__rate")) - F.floor(F.col("__offset") + (F.col("__rank") - 1) * F.col("__rate"))
-    return d.withColumn("__copies", crossed.cast("long"))
+def copies(docs: DataFrame, doc_id: str, source: str, text: str, size: str, seed: str = "mix") -> DataFrame:
+    """The rows of docs with mix_size, mix_target and mix_copies (how often the mix takes the document); the names say which columns count."""
+    of_id = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(F.col(text).cast("string").cast("binary"))), F.lit(""))
+    d = docs.withColumns({"mix_source": F.col(source).cast("string"), "mix_class": F.floor(F.log2(F.col(size) + 1) * 4).cast("int"), "mix_id": of_id, "mix_hash": unit_hash(F.concat(F.lit(seed + ":"), of_id))})
+    # As many slices as the table needs: a slice of a class is ranked in one task.
+    slices = max(SLICES, docs.count() // PER_SLICE)
+    d = d.withColumn("mix_slice", F.floor(F.col("mix_hash") * slices).cast("int"))
+    counts = cut(d.groupBy("mix_source", "mix_class", "mix_slice").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("words")))
+    aimed = targets(counts.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "s")
+    # Counts by class come before those by slice, so no window holds more than the slices of a class or the classes of a source.
+    in_class = Window.partitionBy("mix_source", "mix_class").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
+    classes = counts.groupBy(F.col("mix_source").alias("s2"), F.col("mix_class").alias("c2")).agg(F.sum("n").alias("n2"))
+    classes = classes.select("s2", "c2", F.coalesce(F.sum("n2").over(Window.partitionBy("s2").orderBy("c2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    known = counts.withColumn("before", F.coalesce(F.sum("n").over(in_class), F.lit(0)))
+    known = known.join(classes, F.col("mix_source").eqNullSafe(F.col("s2")) & (F.col("mix_class") == F.col("c2"))).join(aimed, F.col("mix_source").eqNullSafe(F.col("s")))
+    known = known.select(F.col("mix_source").alias("mix_s"), F.col("mix_class").alias("mix_c"), F.col("mix_slice").alias("mix_l"), (F.col("before") + F.col("earlier")).alias("mix_before"), F.col("source_size").alias("mix_size"), F.col("target").alias("mix_target"))
+    d = d.join(known, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_class") == F.col("mix_c")) & (F.col("mix_slice") == F.col("mix_l"))).drop("mix_s", "mix_c", "mix_l")
+    rank = F.col("mix_before") + F.row_number().over(Window.partitionBy("mix_source", "mix_class", "mix_slice").orderBy("mix_hash", "mix_id", F.col(size)))
+    rate = F.when(F.col("mix_size") > 0, F.col("mix_target") / F.col("mix_size")).otherwise(F.lit(0.0))
+    offset = F.floor(unit_hash(F.concat(F.lit(seed + "/"), F.coalesce(F.col("mix_source"), F.lit("")))) * STEPS) / STEPS
+    d = d.withColumns({"mix_rank": rank, "mix_rate": rate, "mix_offset": offset})
+    crossed = F.floor(F.col("mix_offset") + F.col("mix_rank") * F.col("mix_rate")) - F.floor(F.col("mix_offset") + (F.col("mix_rank") - 1) * F.col("mix_rate"))
+    return d.withColumn("mix_copies", F.least(crossed.cast("long"), F.lit(MOST).cast("long")))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies times size) of every row."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    return copies(rows, "size").select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+    """doc_id, source, size, source_size, target, copies and taken (copies times size) of every row; the texts are read once."""
+    text = F.when(F.col("doc_id").isNull(), F.col("text").cast("string"))
+    rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), text.alias("text"), n_words(F.col("text")).alias("size")))
+    taken = copies(rows, "doc_id", "source", "text", "size")
+    return taken.select("doc_id", "source", "size", F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"), (F.col("mix_copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    d = copies(docs.withColumn("__size", n_words(F.col("text"))), "__size")
-    # Documents that are taken more than once are repeated by an array of so many places, at most MOST and one.
-    return d.filter(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    own, at = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # by place, so that no name of docs can clash
+    place = dict(zip(own, at, strict=True))
+    rows = docs.toDF(*at).withColumn("mix_words", n_words(F.col(place["text"])))
+    d = copies(rows, place["doc_id"], place["source"], place["text"], "mix_words")
+    # Documents that are taken more than once are repeated by an array of so many places, at most MOST.
+    return d.filter(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*at).toDF(*own)
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce(doc_id::VARCHAR, '') AS oid
+         coalesce(doc_id::VARCHAR, 't' || md5(text), '') AS oid
   FROM documents),
 h AS (
   SELECT *, floor(log2(size + 1) * 4)::INT AS class, (('0x' || md5('mix:' || oid)[1:12])::BIGINT) / 281474976710656.0::DOUBLE AS hash
   FROM d),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, hash, oid, size) AS rank,
-         (('0x' || md5('mix/' || coalesce(source, ''))[1:12])::BIGINT) / 281474976710656.0::DOUBLE AS off
+         floor((('0x' || md5('mix/' || coalesce(source, ''))[1:12])::BIGINT) / 281474976710656.0::DOUBLE * 1048576) / 1048576 AS off
   FROM h),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -113,7 +131,7 @@ l AS (
 f AS (SELECT *, arg_min(level, nth) FILTER (WHERE level <= cap / weight) OVER () AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN 0.0 ELSE least(cap::DOUBLE, final * weight) END AS target FROM f)
 SELECT doc_id, size, t.source_size, t.target,
-       (size * (floor(off + rank * rate) - floor(off + (rank - 1) * rate)))::BIGINT AS taken
+       (size * least(3, floor(off + rank * rate) - floor(off + (rank - 1) * rate)))::BIGINT AS taken
 FROM r JOIN (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t) t
   ON r.source IS NOT DISTINCT FROM t.source
 """
