@@ -210,7 +210,7 @@ def frequencies(sets: DataFrame, slots: int) -> np.ndarray:
 
     parts = sets.select("cid", "n", "own").mapInArrow(partial, "block int, n int, x binary, c binary")
     out = np.zeros((blocks, per_block), np.uint8)
-    for r in parts.repartition(min(blocks, 8), "block").coalesce(8).mapInArrow(merge, "block int, levels binary").toLocalIterator(prefetchPartitions=True):  # at most MOST_LEVELS bytes in all
+    for r in parts.repartition(max(1, blocks // 2), "block").coalesce(max(1, blocks // 2)).mapInArrow(merge, "block int, levels binary").toLocalIterator(prefetchPartitions=True):  # at most MOST_LEVELS bytes in all
         out[r["block"]] = np.frombuffer(pa.decompress(r["levels"], decompressed_size=per_block, codec="zstd", asbytes=True), np.uint8)
     return out.ravel()
 

@@ -13,9 +13,14 @@ document of smaller id, or earlier in the same one) go.
    words, dealt by hash, and all but the first go.
 3. The starts that go meet by document, become intervals of words, and are joined to the texts.
 
-Order is by (doc_id, a hash of the text, start); null ids come last. Rows with one doc_id and one text are the same
-document: they lose the same words. Cases: a null, empty or short text (fewer than `WIDTH` words) has no window, loses
-nothing and covers nothing; an empty table gives an empty result.
+Words are hashed byte by byte with full mixing steps, and the two parts of a window's 96 bits come from two independent
+hashes of its words.
+
+Order is by (doc_id, a hash of the text, start); documents without an id come last, by 126 bits of hashes of their
+texts. Rows with one doc_id and one text are the same document: they lose the same words. Cases: a null, empty or short
+text (fewer than `WIDTH` words) has no window, loses nothing and covers nothing; a very long text is cut into windows
+whole, alone in its block; an empty table gives an empty result; ids that aren't whole numbers are refused, as are
+columns with the names of the three that are added; all other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timetide.operators.lineage import cut
 from timetide.llm.textops import TextBlock, slices, window_hashes
@@ -167,7 +173,8 @@ def sketch(texts: DataFrame, runs: Callable[[Iterator[pa.RecordBatch]], Iterator
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
 
     parts = texts.select("text").mapInArrow(partial, "block int, n int, cells binary, m int, twice binary")
-    merged = parts.repartition(min(DEPTH * blocks, 8), "block").coalesce(8).mapInArrow(merge, "block int, bits binary")
+    tasks = min(DEPTH * blocks, max(8, DEPTH * blocks // 8))
+    merged = parts.repartition(tasks, "block").coalesce(tasks).mapInArrow(merge, "block int, bits binary")
     out = np.zeros((DEPTH * blocks, per_block // 8), np.uint8)
     for r in merged.toLocalIterator(prefetchPartitions=True):  # at most DEPTH * MOST_CELLS bits in all
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
@@ -294,13 +301,17 @@ def cut_words(text: bytes | None, starts: list[int] | None, ends: list[int] | No
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
     """All columns of docs, and __n_words, __n_removed, __kept (the words left, joined by one space; with digest, their sha256)."""
     require_ids(docs)
+    added = ["__n_words", "__n_removed", "__kept"]
+    if set(added) & set(docs.columns):
+        raise ValueError(f"docs has columns of the names {', '.join(added)}")
     lost = removed_intervals(docs, width)
-    tagged = docs.select("*", *keys())
-    joined = tagged.join(lost, ["__id", "__th"], "left").drop("__id", "__th").withColumn("__text", F.col("text").cast("string").cast("binary"))
-    if digest:
-        joined = joined.drop("text")
+    at = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that no name of docs can clash
+    text = F.col(at[docs.columns.index("text")])
+    keep = [c for c, f in zip(at, docs.schema, strict=True) if not (digest and f.name == "text")]
+    rows = docs.toDF(*at).select("*", *keys(F.col(at[docs.columns.index("doc_id")]), text), text.cast("string").cast("binary").alias("__text"))
+    joined = rows.select(*keep, "__id", "__th", "__text").join(lost, ["__id", "__th"], "left").select(*keep, "__starts", "__ends", "__text")
     own = [f for f in docs.schema if not (digest and f.name == "text")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["__n_words long, __n_removed long, __kept string"])
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(keep, own, strict=True)] + [T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType()), T.StructField(added[2], T.StringType())])
 
     def run(batches):
         for batch in batches:
@@ -308,6 +319,6 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, digest: bool = False)
                 done = [cut_words(t, a, b) for t, a, b in zip(part.column("__text").to_pylist(), part.column("__starts").to_pylist(), part.column("__ends").to_pylist(), strict=True)]
                 kept = [hashlib.sha256(k).hexdigest() if digest else k.decode("utf-8", "replace") for _, _, k in done]
                 columns = [*part.columns[: len(own)], pa.array([n for n, _, _ in done], pa.int64()), pa.array([r for _, r, _ in done], pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in own] + ["__n_words", "__n_removed", "__kept"])
+                yield pa.RecordBatch.from_arrays(columns, keep + added)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*[f.name for f in own], *added)
