@@ -11,9 +11,9 @@ from timetide.plans.engine import Run
 from timetide.sources.feed import from_texts
 
 RULES = ["AGN_004", "RTS_028", "TRP_019"]
-AGENCY = "agency_id,agency_name,agency_url,agency_timezone\n1,Test,http://test.example,"
-ROUTES = "route_id,agency_id,route_short_name,route_type,continuous_pickup\nR1,1,101,3,"
-FLEX = "trip_id,stop_id,stop_sequence,start_pickup_drop_off_window,end_pickup_drop_off_window,continuous_drop_off\nT1,S1,1,08:00:00,09:00:00,\nT1,S2,2,08:00:00,09:00:00,"
+AGENCY = "agency_id,agency_name,agency_url,agency_timezone\nlake,Lake Lines,https://lake.example,"
+ROUTES = "route_id,agency_id,route_short_name,route_type,continuous_pickup\nferry,lake,F,4,"
+FLEX = "trip_id,stop_id,stop_sequence,start_pickup_drop_off_window,end_pickup_drop_off_window,continuous_drop_off\nnoon,pier_n,1,08:00:00,09:00:00,\nnoon,pier_s,2,08:00:00,09:00:00,"
 
 
 @pytest.mark.parametrize(

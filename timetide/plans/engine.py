@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timetide.operators import relational
 from timetide.plans import notices as N
 from timetide.plans import views
-from timetide.plans.catalogue import ROWS, Rule, load
+from timetide.plans.catalogue import GROUPED, ROWS, Rule, load
 from timetide.plans.config import Config
 from timetide.sources.feed import Feed
 
@@ -76,17 +76,21 @@ class Run:
         return found.select("rule_id", "entity_type", "entity_id", scope.alias("scope_key"), F.lit(f"{table}.txt").alias("file"), "line", "field", "observed_value", F.lit(1).cast("long").alias("instances"))
 
     def _reference(self, r: Rule) -> DataFrame:
+        """One finding for each row whose key is missing; for GROUPED rules one for each key, with its first row and the number of its rows."""
         key, parents = r.plan
         known = None
         for table, column in parents:
-            if table in self.feed.tables:
+            if table in self.feed.tables or known is None:
                 part = self.views[table].select(F.col(column).alias("pk"))
                 known = part if known is None else known.unionByName(part)
         child = self.views[r.table].filter(F.expr(views.typed(f"given({key})")))
-        known = known if known is not None else self.views[parents[0][0]].select(F.col(parents[0][1]).alias("pk"))
-        missing = relational.missing_keys(child, key, known, "pk")
-        level = None if r.dedup == "Feed" else "key"
-        return N.notices(missing, r.rule_id, f"{r.table}.txt", r.table, "key", level, None, key, "key").withColumn("line", F.xxhash64("entity_id")) if r.dedup == "Row" else N.notices(missing, r.rule_id, f"{r.table}.txt", r.table, "key", level, None, key, "key")
+        feed_level = r.dedup in ("Feed", "File")
+        if r.rule_id in GROUPED:
+            counted = child.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("line"))
+            kind = "stop" if key == "stop_id" else ROWS[r.table][0].split()[0]
+            return N.notices(relational.orphans(counted, key, known, "pk"), r.rule_id, f"{r.table}.txt", kind, key, None if feed_level else key, "line", key, key, "rows")
+        kind, entity = ROWS[r.table][0].split() if r.table in ROWS else (r.table, key)
+        return N.notices(relational.orphans(child, key, known, "pk"), r.rule_id, f"{r.table}.txt", kind, entity, None if feed_level else entity, "line", key, key)
 
     def _plain(self, r: Rule) -> DataFrame:
         if r.kind == "fk":
@@ -107,9 +111,10 @@ class Run:
         sql = views.typed(sql)
         self._needed(sql)
         scope = "id" if r.dedup not in ("Feed", "File") else None
-        found = self._query(sql).select(F.col("id").cast("string").alias("id"), F.col("seen").cast("string").alias("seen"))
-        row = N.notices(found, r.rule_id, r.table, r.table.removesuffix(".txt"), "id", scope, None, None if field == "-" else field, "seen")
-        return row.withColumn("line", F.xxhash64("entity_id", "observed_value")) if r.dedup == "Row" else row
+        found = self._query(sql)
+        # A query that knows the row says so by `line`, or shows it as what was seen.
+        line = "line" if "line" in found.columns else "seen" if re.match(r"SELECT .*?\bline AS seen\b", sql) else None
+        return N.notices(found, r.rule_id, r.table, r.table.removesuffix(".txt"), "id", scope, line, None if field == "-" else field, "seen")
 
     def chosen(self, only: list[str] | None = None) -> list[Rule]:
         """The rules that run: asked for, not disabled, with the tables that they need."""

@@ -19,13 +19,13 @@ CLASS_WEIGHTS = {"Spec": 0.4, "Interop": 0.3, "Quality": 0.2, "Analytics": 0.1}
 DECAY = 50
 
 
-def notices(df: DataFrame, rule_id: str, file: str, entity_type: str, entity_id: str, scope_key: str | None = None, line: str | None = None, field: str | None = None, observed: str | None = None) -> DataFrame:
-    """One notice for each row of df; arguments from entity_id on are columns or SQL expressions."""
+def notices(df: DataFrame, rule_id: str, file: str, entity_type: str, entity_id: str, scope_key: str | None = None, line: str | None = None, field: str | None = None, observed: str | None = None, instances: str = "1") -> DataFrame:
+    """One notice for each row of df; arguments from entity_id on, but for field, are columns or SQL expressions."""
     text = lambda x: F.expr(x).cast("string") if x else F.lit(None).cast("string")
     number = F.expr(line).cast("long") if line else F.lit(None).cast("long")
     return df.select(
         F.lit(rule_id).alias("rule_id"), F.lit(entity_type).alias("entity_type"), text(entity_id).alias("entity_id"), text(scope_key).alias("scope_key"), F.lit(file).alias("file"),
-        number.alias("line"), F.lit(field).cast("string").alias("field"), text(observed).alias("observed_value"), F.lit(1).cast("long").alias("instances"),
+        number.alias("line"), F.lit(field).cast("string").alias("field"), text(observed).alias("observed_value"), F.expr(instances).cast("long").alias("instances"),
     )
 
 
@@ -36,16 +36,20 @@ def total_order() -> list[Column]:
 
 
 def deduplicate(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first notice, in total order, of each key of its rule's level (Feed, File, Entity, Row, Field)."""
+    """The first notice, in total order, of each key of its rule's level (Feed, File, Entity, Row, Field).
+
+    Where the row isn't known (no line), the entity and the value stand for it.
+    """
     n = found.join(F.broadcast(rules.select("rule_id", "dedup")), "rule_id")  # one row a rule of the catalogue
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     level = F.col("dedup")
+    row = F.coalesce(F.col("line").cast("string"), F.concat_ws("\x01", F.lit(""), text("entity_id"), text("observed_value")))
     key = (
         F.when(level == "Feed", F.lit(""))
         .when(level == "File", text("file"))
         .when(level == "Entity", F.concat_ws("\x01", text("entity_type"), text("entity_id")))
-        .when(level == "Row", F.concat_ws("\x01", text("file"), text("line")))
-        .otherwise(F.concat_ws("\x01", text("file"), text("line"), text("field")))
+        .when(level == "Row", F.concat_ws("\x01", text("file"), row))
+        .otherwise(F.concat_ws("\x01", text("file"), row, text("field")))
     )
     w = Window.partitionBy("rule_id", "__key").orderBy(*total_order(), text("observed_value"))
     # The rank limit is applied before the shuffle too: a hot key leaves each task as one row.
@@ -83,8 +87,12 @@ def caused(found: DataFrame, rules: DataFrame) -> DataFrame:
     """
     pairs = _pairs(found, rules)
     roots = pairs.select(F.col("rule_id").alias("root_rule"), F.col("scope").alias("root_scope"), F.explode("blocks").alias("rule_id"))
-    hit = pairs.select("rule_id", "scope").join(roots, "rule_id")
-    return hit.filter("root_scope = '' OR root_scope = scope").select("root_rule", "root_scope", "rule_id", "scope").distinct()
+    hit = pairs.select("rule_id", "scope")
+    # Two joins: the few roots without scope (one a pair of rules) by rule, all others by rule and scope.
+    whole = hit.join(F.broadcast(roots.filter("root_scope = ''")), "rule_id")
+    same = hit.join(roots.filter("root_scope <> ''").withColumn("scope", F.col("root_scope")), ["rule_id", "scope"])
+    columns = ["root_rule", "root_scope", "rule_id", "scope"]
+    return whole.select(columns).unionByName(same.select(columns))
 
 
 def symptoms(found: DataFrame, rules: DataFrame) -> DataFrame:

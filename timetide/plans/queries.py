@@ -89,7 +89,7 @@ QUERIES = {
     "STM_043 IAE1 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n > max_stops_per_trip",
     "STM_044 IAF1 stop_times.txt - stop_times": "SELECT NULL AS id, count(*) AS seen FROM stop_times HAVING count(*) > max_total_stop_times",
     "STM_045 IAE10 stop_times.txt departure_time st": "SELECT trip_id AS id, max(dep) AS seen FROM st GROUP BY trip_id HAVING max(dep) > (24 + IF(service_day_start_hour = 0, 2, service_day_start_hour)) * 3600",
-    "STM_048 HSR1 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, lag(dep) OVER (PARTITION BY trip_id ORDER BY seq, line) AS before FROM st) WHERE before >= 72000 AND arr < 14400",
+    "STM_048 HSR1 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, lag(raw_dep) OVER (PARTITION BY trip_id ORDER BY seq, line) AS before FROM st) WHERE before >= 72000 AND raw_arr < 14400",
     "STM_053 IAE2 stop_times.txt arrival_time st tr": "WITH r AS (SELECT trip_id, count(*) AS n FROM (SELECT trip_id, coalesce(arr, dep) AS t, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) - row_number() OVER (PARTITION BY trip_id, coalesce(arr, dep) ORDER BY seq, line) AS run FROM st) WHERE t IS NOT NULL GROUP BY trip_id, t, run HAVING count(*) >= 3) SELECT route_id AS id, max(n) AS seen FROM r JOIN tr USING (trip_id) GROUP BY route_id",
     "STM_056 CSR1 stop_times.txt shape_dist_traveled st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, lag(dist) OVER (PARTITION BY trip_id ORDER BY seq, line) AS before FROM st) WHERE CAST(dist AS FLOAT) <= CAST(before AS FLOAT)",
     "STM_059 LQE1 stop_times.txt pickup_booking_rule_id stop_times booking_rules": "SELECT trip_id AS id, line AS seen FROM stop_times WHERE (oneof(pickup_type, 2) AND blank(pickup_booking_rule_id)) OR (oneof(drop_off_type, 2) AND blank(drop_off_booking_rule_id))",

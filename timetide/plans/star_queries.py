@@ -389,7 +389,7 @@ def all_notices(t: Tables) -> DataFrame:
 
 
 @query("q_dedup", f"""
-WITH {_N} SELECT n.* FROM (SELECT n.*, row_number() OVER (PARTITION BY rule_id, CASE dedup WHEN 'Feed' THEN '' WHEN 'File' THEN file WHEN 'Entity' THEN entity_type || '|' || entity_id WHEN 'Row' THEN file || '|' || coalesce(line::VARCHAR, '') ELSE file || '|' || coalesce(line::VARCHAR, '') || '|' || coalesce(field, '') END ORDER BY {_ORDER}) AS k FROM n JOIN r USING (rule_id)) n WHERE k = 1
+WITH {_N} SELECT n.* FROM (SELECT n.*, row_number() OVER (PARTITION BY rule_id, CASE dedup WHEN 'Feed' THEN '' WHEN 'File' THEN file WHEN 'Entity' THEN entity_type || '|' || entity_id WHEN 'Row' THEN file || '|' || coalesce(line::VARCHAR, chr(1) || coalesce(entity_id, '') || chr(1) || coalesce(observed_value, '')) ELSE file || '|' || coalesce(line::VARCHAR, chr(1) || coalesce(entity_id, '') || chr(1) || coalesce(observed_value, '')) || '|' || coalesce(field, '') END ORDER BY {_ORDER}) AS k FROM n JOIN r USING (rule_id)) n WHERE k = 1
 """.replace("SELECT n.* FROM (", "SELECT n.* EXCLUDE (k) FROM ("))
 def dedup(t: Tables) -> DataFrame:
     return N.deduplicate(_notices(t), _rules(t))

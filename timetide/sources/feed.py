@@ -9,33 +9,54 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from timetide.operators.lineage import ready
+
 SCHEMA = "file string, line long, cells array<string>, bom boolean, valid boolean"
 
 
+#: Longest cell that is read, in characters.
+MOST_CHARS = 1 << 28
+
+
 @dataclass
 class Entry(InputPartition):
     name: str
+    own: str
+
+
+def entries_of(names: list[str]) -> list[tuple[str, str]]:
+    """(entry, name of its table) of the tables of a feed: those at the top, else those of the only folder that has any."""
+    tables = [n for n in names if n.endswith(".txt") and not n.startswith("__MACOSX/")]
+    top = [n for n in tables if "/" not in n]
+    folders = {n.rsplit("/", 1)[0] for n in tables}
+    chosen = top or (tables if len(folders) == 1 else [])
+    return [(n, n.rsplit("/", 1)[-1]) for n in chosen]
 
 
 class ZipReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """One task for each table; with option `entry` only that table is opened, with `head` only the first row is read."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.entry, self.head = options["path"], options.get("entry"), options.get("head") == "true"
 
     def partitions(self) -> list[Entry]:
         with zipfile.ZipFile(self.path) as z:
-            return [Entry(i.filename) for i in z.infolist() if i.filename.endswith(".txt") and "/" not in i.filename]
+            return [Entry(n, own) for n, own in entries_of(z.namelist()) if self.entry in (None, own)]
 
     def read(self, partition: Entry) -> Iterator[tuple]:
         with zipfile.ZipFile(self.path) as z, z.open(partition.name) as raw:
-            yield from rows_of(partition.name, raw)
+            rows = rows_of(partition.own, raw)
+            yield from islice(rows, 1) if self.head else rows
 
 
 class ZipFeed(DataSource):
@@ -49,11 +70,12 @@ class ZipFeed(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ZipReader:
-        return ZipReader(self.options["path"])
+        return ZipReader(dict(self.options))
 
 
 def rows_of(name: str, raw: io.BufferedIOBase) -> Iterator[tuple]:
     """The rows of one table as they stream in; undecodable bytes become U+FFFD and `valid` false."""
+    csv.field_size_limit(MOST_CHARS)
     text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline="")
     reader = csv.reader(text, strict=False)
     for i, cells in enumerate(reader, start=1):
@@ -76,17 +98,27 @@ class Feed:
         return table in self.tables and (column is None or column in self.headers[table])
 
 
-def read_zip(spark: SparkSession, path: str) -> Feed:
-    """The feed in a ZIP file that the executors can open. Only the headers, a row a table, come to the driver."""
+def read_zip(spark: SparkSession, path: str, keep: bool = True) -> Feed:
+    """The feed in a ZIP file that the executors can open. Only the headers, a row a table, come to the driver.
+
+    keep: each table is parsed once and kept as Parquet in the checkpoint folder, which all rules and later runs over this
+    Feed read by column; without it every plan parses the tables that it needs.
+    """
     spark.dataSource.register(ZipFeed)
-    raw = spark.read.format("zip_feed").load(path)
-    headers = {r["file"]: [c.strip() for c in r["cells"]] for r in raw.filter("line = 1").collect()}
-    tables = {}
+    source = lambda **options: spark.read.format("zip_feed").options(**options).load(path)
+    headers = {r["file"]: [c.strip() for c in r["cells"]] for r in source(head="true").collect()}
+    if keep:
+        ready(spark)
+    folder, tables = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}", {}
     for name, columns in headers.items():
-        body = raw.filter((F.col("file") == name) & (F.col("line") > 1) & F.exists("cells", lambda c: F.trim(c) != ""))
+        body = source(entry=name).filter((F.col("line") > 1) & F.exists("cells", lambda c: F.trim(c) != ""))
         firsts = [i for i, c in enumerate(columns) if c and columns.index(c) == i]
-        tables[name.removesuffix(".txt")] = body.select("line", *[F.get("cells", F.lit(i)).alias(columns[i]) for i in firsts])
-    return Feed(spark, tables, {k.removesuffix(".txt"): v for k, v in headers.items()}, raw)
+        table = body.select("line", *[F.get("cells", F.lit(i)).alias(columns[i]) for i in firsts])
+        if keep:
+            table.write.parquet(f"{folder}/{name.removesuffix('.txt')}")
+            table = spark.read.schema(table.schema).parquet(f"{folder}/{name.removesuffix('.txt')}")
+        tables[name.removesuffix(".txt")] = table
+    return Feed(spark, tables, {k.removesuffix(".txt"): v for k, v in headers.items()}, source())
 
 
 def from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> Feed:
