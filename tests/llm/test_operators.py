@@ -4,6 +4,7 @@ Odd rows: nulls in any column, empty and very long texts, ties, repeated rows, e
 """
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -73,6 +74,13 @@ def test_bpe_odd_texts():
     assert [codec.decode(x) for x in got] == texts
 
 
+def test_bpe_refuses_other_vocabularies():
+    told = json.loads(open(VOCABULARY, "rb").read())
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"model": told["model"] | {"vocab": {str(i): i for i in range(1 << 16)}}}):
+        with pytest.raises(ValueError):
+            bpe.BpeCodec(json.dumps(told | change).encode())
+
+
 def removed(rows, width):
     """Brute force over (id, text hash order aside) rows: words covered by a window that starts earlier."""
     seen, out = {}, {}

@@ -45,6 +45,11 @@ class BpeCodec:
     def __init__(self, vocabulary: bytes):
         told = json.loads(vocabulary)
         model, byte_of = told["model"], printable_bytes()
+        cut = told.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False:
+            raise ValueError("only byte-level vocabularies without a prefix blank, cut by the usual pieces, can be used")
+        if len(model["vocab"]) >= 1 << 16:
+            raise ValueError("pairs of ids are kept in 32 bits: a vocabulary may have up to 65,535 entries")
         raw = lambda token: bytes(byte_of[c] for c in token)
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timetide.llm import bpe, hamming, jaccard, langid, licenses, mixing, quality, quality_rules, substrings, toxicity
 from timetide.llm.textops import crc_of_id
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary of op9; bpe_encode takes any other path.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
