@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timetide.operators import relational
 from timetide.plans import notices as N
-from timetide.plans import views
+from timetide.plans import aggregates, archive, views
 from timetide.plans.catalogue import GROUPED, ROWS, Rule, load
 from timetide.plans.config import Config
 from timetide.sources.feed import Feed
@@ -114,7 +114,8 @@ class Run:
         found = self._query(sql)
         # A query that knows the row says so by `line`, or shows it as what was seen.
         line = "line" if "line" in found.columns else "seen" if re.match(r"SELECT .*?\bline AS seen\b", sql) else None
-        return N.notices(found, r.rule_id, r.table, r.table.removesuffix(".txt"), "id", scope, line, None if field == "-" else field, "seen")
+        out = N.notices(found, r.rule_id, r.table, r.table.removesuffix(".txt"), "id", scope, line, None if field == "-" else field, "seen")
+        return out if r.table != "*" else N.notices(found, r.rule_id, "", "file", "id", scope, line, None, "seen", file_column="file")
 
     def chosen(self, only: list[str] | None = None) -> list[Rule]:
         """The rules that run: asked for, not disabled, with the tables that they need."""
@@ -122,6 +123,9 @@ class Run:
         for r in self.rules.values():
             if (only is not None and r.rule_id not in only) or r.rule_id in self.config.disabled_rule_ids:
                 continue
+            if self.feed.fatal and r.rule_id != self.feed.fatal:
+                self.skipped.append(r.rule_id)
+                continue
             tables = [t for t in r.needs if t in views.COLUMNS]
             optional = r.kind == "unused" and not all(t in self.feed.tables for t, _ in r.plan[1][:1])
             if all(t in self.feed.tables for t in tables) and not optional:
@@ -137,13 +141,14 @@ class Run:
         for table in ROWS:
             if own := [r for r in rules if r.kind == "row" and r.table == table]:
                 parts.append(self._row_rules(table, own))
-        parts += [self._plain(r) for r in rules if r.kind != "row"]
+        parts += [self._plain(r) for r in rules if r.kind not in ("row", "archive")]
+        if own := {r.rule_id for r in rules if r.kind == "archive"}:
+            parts += archive.findings(self.feed, self.config, own)
         if not parts:
-            schema = "rule_id string, entity_type string, entity_id string, scope_key string, file string, line long, field string, observed_value string, instances long"
-            return self.feed.spark.createDataFrame([], schema)
+            return self.feed.spark.createDataFrame([], archive.SCHEMA)
         out = parts[0]
         for p in parts[1:]:
-            out = out.unionByName(p)
+            out = out.unionByName(p, allowMissingColumns=True)
         return out
 
     def rule_table(self) -> DataFrame:
@@ -151,4 +156,5 @@ class Run:
         return self.feed.spark.createDataFrame(rows, "rule_id string, severity string, rule_class string, dedup string, base_effort int, score_weight int, blocks array<string>")
 
     def notices(self, only: list[str] | None = None) -> DataFrame:
-        return N.deduplicate(self.raw_notices(only), self.rule_table())
+        """Notices as a feed reports them: summaries, and the first of each key of the other rules."""
+        return aggregates.collapse(self.raw_notices(only), self.rule_table())

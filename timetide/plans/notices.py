@@ -1,7 +1,8 @@
 """Findings ("notices") and what is made of them: order, de-duplication, caps, root causes, scores, fix queue.
 
 A notices table has rule_id, entity_type, entity_id, scope_key, file, line, field, observed_value and `instances`; a rules
-table has rule_id, severity, rule_class, dedup, base_effort, score_weight and blocks (array of rule ids).
+table has rule_id, severity, rule_class, dedup, base_effort, score_weight and blocks (array of rule ids). Notices of a feed also
+have `severity` (null, or another one than the rule's) and `affected` (how many findings a summary stands for).
 """
 
 from __future__ import annotations
@@ -11,20 +12,26 @@ from pyspark.sql import functions as F
 
 from timetide.operators.lineage import cut
 
+EXTRA = ["severity", "affected"]
 COLUMNS = ["rule_id", "entity_type", "entity_id", "scope_key", "file", "line", "field", "observed_value", "instances"]
 
 # Severity weights, class weights of the overall score, the constant of the decay.
 SEVERITY_WEIGHTS = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1, "Info": 0}
 CLASS_WEIGHTS = {"Spec": 0.4, "Interop": 0.3, "Quality": 0.2, "Analytics": 0.1}
 DECAY = 50
+# Rules that don't count in scores where another one has notices.
+MUTED = {"TRP_026": "OPR_011", "OPR_006": "STM_033"}
+# Findings after which a feed isn't wholly read, where they are about one of these files or the archive.
+UNREAD = ("ARC_001", "ARC_002", "ARC_013", "ARC_029")
+NEEDED_FILES = ("agency.txt", "stops.txt", "routes.txt", "trips.txt", "stop_times.txt", "calendar.txt", "calendar_dates.txt")
 
 
-def notices(df: DataFrame, rule_id: str, file: str, entity_type: str, entity_id: str, scope_key: str | None = None, line: str | None = None, field: str | None = None, observed: str | None = None, instances: str = "1") -> DataFrame:
+def notices(df: DataFrame, rule_id: str, file: str, entity_type: str, entity_id: str, scope_key: str | None = None, line: str | None = None, field: str | None = None, observed: str | None = None, instances: str = "1", file_column: str | None = None) -> DataFrame:
     """One notice for each row of df; arguments from entity_id on, but for field, are columns or SQL expressions."""
     text = lambda x: F.expr(x).cast("string") if x else F.lit(None).cast("string")
     number = F.expr(line).cast("long") if line else F.lit(None).cast("long")
     return df.select(
-        F.lit(rule_id).alias("rule_id"), F.lit(entity_type).alias("entity_type"), text(entity_id).alias("entity_id"), text(scope_key).alias("scope_key"), F.lit(file).alias("file"),
+        F.lit(rule_id).alias("rule_id"), F.lit(entity_type).alias("entity_type"), text(entity_id).alias("entity_id"), text(scope_key).alias("scope_key"), (F.col(file_column) if file_column else F.lit(file)).alias("file"),
         number.alias("line"), F.lit(field).cast("string").alias("field"), text(observed).alias("observed_value"), F.expr(instances).cast("long").alias("instances"),
     )
 
@@ -35,25 +42,39 @@ def total_order() -> list[Column]:
     return [F.col("rule_id"), text("entity_type"), text("entity_id"), F.coalesce(F.col("line"), F.lit(0)), text("file"), text("field"), text("scope_key")]
 
 
-def deduplicate(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """The first notice, in total order, of each key of its rule's level (Feed, File, Entity, Row, Field).
-
-    Where the row isn't known (no line), the entity and the value stand for it.
-    """
-    n = found.join(F.broadcast(rules.select("rule_id", "dedup")), "rule_id")  # one row a rule of the catalogue
+def _level_key(level: Column) -> Column:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    level = F.col("dedup")
     row = F.coalesce(F.col("line").cast("string"), F.concat_ws("\x01", F.lit(""), text("entity_id"), text("observed_value")))
-    key = (
+    return (
         F.when(level == "Feed", F.lit(""))
         .when(level == "File", text("file"))
         .when(level == "Entity", F.concat_ws("\x01", text("entity_type"), text("entity_id")))
         .when(level == "Row", F.concat_ws("\x01", text("file"), row))
         .otherwise(F.concat_ws("\x01", text("file"), row, text("field")))
     )
-    w = Window.partitionBy("rule_id", "__key").orderBy(*total_order(), text("observed_value"))
-    # The rank limit is applied before the shuffle too: a hot key leaves each task as one row.
-    return n.withColumn("__key", key).withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*COLUMNS)
+
+
+def first_of_each(found: DataFrame, key: Column) -> DataFrame:
+    """The first notice, in total order, of each rule and key, and `merged`, their number.
+
+    One aggregate: a hot key leaves each task as one row.
+    """
+    extra = [c for c in EXTRA if c in found.columns]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    weight = [F.coalesce(F.col("severity"), F.lit(""))] if "severity" in extra else []  # a rule's own severity comes first
+    order = [c.alias(f"o{i}") for i, c in enumerate([*total_order()[1:], *weight, text("observed_value")])]
+    rest = [c for c in COLUMNS if c != "rule_id"] + extra
+    n = found.select("rule_id", key.alias("__key"), F.struct(*order, *rest).alias("__row"))
+    return n.groupBy("rule_id", "__key").agg(F.min("__row").alias("__row"), F.count(F.lit(1)).alias("merged")).select("rule_id", *[F.col(f"__row.{c}") for c in rest], "merged")
+
+
+def deduplicate(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """The first notice, in total order, of each key of its rule's level (Feed, File, Entity, Row, Field).
+
+    Where the row isn't known (no line), the entity and the value stand for it.
+    """
+    n = found.join(F.broadcast(rules.select("rule_id", "dedup")), "rule_id")  # one row a rule of the catalogue
+    return first_of_each(n, _level_key(F.col("dedup"))).drop("merged")
 
 
 def cap(found: DataFrame, most: int) -> DataFrame:
@@ -125,10 +146,26 @@ def _severity_weight() -> Column:
     return weight
 
 
+def _severities(found: DataFrame) -> list[Column]:
+    """An aggregate for the severity of a rule: its own, unless all its notices have another one."""
+    return [F.when(F.count_if(F.col("severity").isNull()) == 0, F.min("severity")).alias("__other")] if "severity" in found.columns else []
+
+
+def with_rules(per_rule: DataFrame, rules: DataFrame) -> DataFrame:
+    """Figures by rule with the rule's columns; `severity` is that of its notices where they have one."""
+    out = per_rule.join(F.broadcast(rules), "rule_id")
+    return out.withColumn("severity", F.coalesce("__other", "severity")).drop("__other") if "__other" in per_rule.columns else out
+
+
 def penalties(found: DataFrame, rules: DataFrame) -> DataFrame:
     """rule_id, severity, rule_class, instances, penalty of every rule with notices."""
-    per_rule = found.groupBy("rule_id").agg(F.sum("instances").alias("instances")).join(F.broadcast(rules), "rule_id")
-    return per_rule.withColumn("penalty", _severity_weight() * F.col("score_weight") * multiplier(F.col("instances")))
+    per_rule = with_rules(found.groupBy("rule_id").agg(F.sum("instances").alias("instances"), *_severities(found)), rules)
+    # One row a rule: all of them fit one task.
+    has = lambda rule: F.max(F.col("rule_id") == rule).over(Window.partitionBy(F.lit(0)))
+    weight = F.col("score_weight")
+    for rule, other in MUTED.items():
+        weight = F.when((F.col("rule_id") == rule) & has(other), 0).otherwise(weight)
+    return per_rule.withColumn("penalty", _severity_weight() * weight * multiplier(F.col("instances")))
 
 
 def scores(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -147,16 +184,20 @@ def fix_queue(found: DataFrame, rules: DataFrame) -> DataFrame:
     dependents = hit.select(F.col("root_rule").alias("rule_id"), F.col("rule_id").alias("blocked")).distinct().groupBy("rule_id").agg(F.count(F.lit(1)).alias("dependents"))
     causes = hit.select(F.col("rule_id").alias("__r"), F.col("scope").alias("__s")).distinct()
     roots = found.join(causes, (found["rule_id"] == causes["__r"]) & (F.coalesce(found["scope_key"], F.lit("")) == causes["__s"]), "left_anti")
-    q = roots.groupBy("rule_id").agg(F.sum("instances").alias("affected")).join(F.broadcast(rules), "rule_id").join(dependents, "rule_id", "left")
+    q = with_rules(roots.groupBy("rule_id").agg(F.sum("instances").alias("affected"), *_severities(found)), rules).join(dependents, "rule_id", "left")
     q = q.withColumn("dependents", F.coalesce("dependents", F.lit(0))).withColumn("fix_effort", F.col("base_effort") * multiplier(F.col("affected")))
     priority = _severity_weight() * (1 + F.col("dependents")) * F.log2(1 + F.col("affected")) / F.col("fix_effort")
     return q.select("rule_id", "severity", "affected", "dependents", "fix_effort", F.round(priority, 2).alias("priority"))
 
 
 def publishable(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row: publishable, blocking (rules of class Spec and severity Critical that have notices)."""
-    bad = found.select("rule_id").distinct().join(F.broadcast(rules), "rule_id").filter("rule_class = 'Spec' AND severity = 'Critical'")
-    return bad.agg((F.count(F.lit(1)) == 0).alias("publishable"), F.count(F.lit(1)).alias("blocking"))
+    """One row: publishable, blocking (rules of class Spec and severity Critical that have notices).
+
+    A feed of which a needed file or the archive could not be read is not publishable either.
+    """
+    per_rule = found.groupBy("rule_id").agg(*_severities(found), F.max(F.col("file").isNull() | F.col("file").isin(*NEEDED_FILES)).alias("__needed"))
+    bad = with_rules(per_rule, rules).select(((F.col("rule_class") == "Spec") & (F.col("severity") == "Critical")).alias("bad"), (F.col("rule_id").isin(*UNREAD) & F.col("__needed")).alias("unread"))
+    return bad.agg((F.count_if(F.col("bad") | F.col("unread")) == 0).alias("publishable"), F.count_if("bad").alias("blocking"))
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:

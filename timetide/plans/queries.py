@@ -7,6 +7,10 @@ ones of timetide.plans.views (st, tr, active, spans, legs, pts, places). Thresho
 from __future__ import annotations
 
 QUERIES = {
+    # The archive as a whole
+    "ARC_020 LQF1 - -": "SELECT NULL AS id, concat_ws(', ', IF(infos = 0, 'feed_info.txt', NULL), IF(points = 0, 'shapes.txt', NULL)) AS seen FROM (SELECT (SELECT count(*) FROM feed_info) AS infos, (SELECT count(*) FROM shapes) AS points, (SELECT count(*) FROM stop_times WHERE blank(start_pickup_drop_off_window)) AS fixed, (SELECT count(*) FROM routes WHERE oneof(continuous_pickup, 0, 2, 3) OR oneof(continuous_drop_off, 0, 2, 3)) AS continuous) WHERE infos = 0 OR (points = 0 AND fixed > 0 AND continuous = 0)",
+    # One summary a file of the keys that come twice; `file` is a column
+    "DQ_021 HSL1 * -": "SELECT 'stops.txt' AS file, stop_id AS id, count(*) AS seen, min(line) AS line FROM stops WHERE given(stop_id) GROUP BY stop_id HAVING count(*) > 1 UNION ALL SELECT 'routes.txt' AS file, route_id AS id, count(*) AS seen, min(line) AS line FROM routes WHERE given(route_id) GROUP BY route_id HAVING count(*) > 1 UNION ALL SELECT 'trips.txt' AS file, trip_id AS id, count(*) AS seen, min(line) AS line FROM trips WHERE given(trip_id) GROUP BY trip_id HAVING count(*) > 1 UNION ALL SELECT 'route_networks.txt' AS file, route_id AS id, count(*) AS seen, min(line) AS line FROM route_networks WHERE given(route_id) GROUP BY route_id HAVING count(*) > 1 UNION ALL SELECT 'attributions.txt' AS file, attribution_id AS id, count(*) AS seen, min(line) AS line FROM attributions WHERE given(attribution_id) GROUP BY attribution_id HAVING count(*) > 1",
     # Agencies
     "AGN_005 MSF1 agency.txt agency_timezone agency": "SELECT NULL AS id, count(DISTINCT agency_timezone) AS seen FROM agency HAVING count(*) >= 2 AND count(DISTINCT agency_timezone) > 1",
     "AGN_011 CSF1 agency.txt agency_id agency routes": "SELECT NULL AS id, count(*) AS seen FROM routes WHERE blank(agency_id) AND (SELECT count(*) FROM agency) >= 2 HAVING count(*) > 0",
@@ -85,7 +89,7 @@ QUERIES = {
     "STM_029 MAR2 stop_times.txt arrival_time spans": "SELECT trip_id AS id, last_arr - first_dep AS seen FROM spans WHERE n > 1 AND last_arr - first_dep < min_trip_duration_sec",
     "STM_033 HIE2 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n = 1",
     "STM_035 IAR10 stop_times.txt stop_id legs": "SELECT concat_ws('|', route_id, stop_a) AS id, count(*) AS seen FROM legs WHERE stop_a = stop_b GROUP BY route_id, stop_a",
-    "STM_036 IQF2 stop_times.txt stop_sequence st": "WITH a AS (SELECT DISTINCT trip_id FROM (SELECT trip_id, seq, max(seq) OVER (PARTITION BY trip_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) WHERE seq <= reached), b AS (SELECT trip_id FROM st GROUP BY trip_id HAVING max(line) - min(line) + 1 > count(*)) SELECT NULL AS id, count(*) AS seen FROM (SELECT * FROM a UNION SELECT * FROM b) HAVING count(*) > 0",
+    "STM_036 IQF2 stop_times.txt stop_sequence st": "WITH a AS (SELECT DISTINCT trip_id FROM (SELECT trip_id, seq, max(seq) OVER (PARTITION BY trip_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) WHERE seq <= reached), b AS (SELECT trip_id FROM st GROUP BY trip_id HAVING max(line) - min(line) + 1 > count(*)) SELECT trip_id AS id, NULL AS seen FROM (SELECT * FROM a UNION SELECT * FROM b)",
     "STM_043 IAE1 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n > max_stops_per_trip",
     "STM_044 IAF1 stop_times.txt - stop_times": "SELECT NULL AS id, count(*) AS seen FROM stop_times HAVING count(*) > max_total_stop_times",
     "STM_045 IAE10 stop_times.txt departure_time st": "SELECT trip_id AS id, max(dep) AS seen FROM st GROUP BY trip_id HAVING max(dep) > (24 + IF(service_day_start_hour = 0, 2, service_day_start_hour)) * 3600",
@@ -132,7 +136,7 @@ QUERIES = {
     "OPR_005 IAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, route_type, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, route_type, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL)), a AS (SELECT route_id, route_type, avg(gap) AS mean FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id, route_type), m AS (SELECT route_type, median(mean) AS mid, count(*) AS n FROM a GROUP BY route_type HAVING count(*) >= 5), s AS (SELECT a.route_type, median(abs(mean - mid)) * 1.4826 AS mad FROM a JOIN m ON a.route_type = m.route_type GROUP BY a.route_type) SELECT route_id AS id, round(mean, 1) AS seen FROM a JOIN m ON a.route_type = m.route_type JOIN s ON a.route_type = s.route_type WHERE IF(mad >= 30, abs(mean - mid) > headway_outlier_sigma * mad, mean > 2 * mid OR mean < 0.5 * mid)",
     "OPR_014 MAF2 transfers.txt min_transfer_time transfers": "SELECT NULL AS id, round(avg(uint(min_transfer_time)), 1) AS seen FROM transfers WHERE oneof(transfer_type, 2) HAVING avg(uint(min_transfer_time)) > 600",
     # Shapes
-    "SHP_005 CSR2 shapes.txt shape_dist_traveled pts": "SELECT shape_id AS id, line AS seen FROM pts WHERE dist < dist_before",
+    "SHP_005 CSR2 shapes.txt shape_dist_traveled pts": "SELECT shape_id AS id, NULL AS seen, min(line) AS line FROM pts WHERE dist < dist_before GROUP BY shape_id",
     "SHP_006 LQE2 shapes.txt shape_id pts tr": "SELECT shape_id AS id, count(*) AS seen FROM pts WHERE shape_id IN (SELECT shape_id FROM tr) GROUP BY shape_id HAVING count(*) = 1",
     "SHP_010 LQE1 shapes.txt shape_pt_lat pts": "SELECT shape_id AS id, count(*) AS seen FROM pts WHERE abs(lat - lat_before) < 1e-9 AND abs(lon - lon_before) < 1e-9 GROUP BY shape_id",
     "SHP_015 MQE2 shapes.txt shape_pt_sequence pts": "SELECT shape_id AS id, count(*) AS seen FROM pts GROUP BY shape_id HAVING sum(distance) > 1 AND count(*) / (sum(distance) / 10) < 2",
@@ -154,7 +158,7 @@ QUERIES = {
     "TRF_012 CSR1 transfers.txt from_stop_id transfers": "SELECT from_stop_id AS id, line AS seen FROM (SELECT *, row_number() OVER (PARTITION BY from_stop_id, to_stop_id ORDER BY line) AS n FROM transfers WHERE given(from_stop_id) AND given(to_stop_id) AND blank(from_trip_id) AND blank(to_trip_id) AND blank(from_route_id) AND blank(to_route_id)) WHERE n > 1",
     "TRF_015 HQR2 transfers.txt from_stop_id transfers stops": "SELECT from_stop_id AS id, line AS seen FROM transfers WHERE oneof(transfer_type, 4, 5) AND (from_stop_id IN (SELECT stop_id FROM stops WHERE oneof(location_type, 1)) OR to_stop_id IN (SELECT stop_id FROM stops WHERE oneof(location_type, 1)))",
     "TRF_017 HSR2 transfers.txt from_route_id transfers tr": "SELECT from_trip_id AS id, t.line AS seen FROM transfers t JOIN tr ON t.from_trip_id = tr.trip_id WHERE given(t.from_route_id) AND t.from_route_id <> tr.route_id",
-    "TRF_019 MIF2 transfers.txt transfer_type transfers tr": "SELECT NULL AS id, count(*) AS seen FROM transfers t JOIN tr a ON t.from_trip_id = a.trip_id JOIN tr b ON t.to_trip_id = b.trip_id WHERE oneof(t.transfer_type, 4, 5) AND a.route_type <> b.route_type HAVING count(*) > 0",
+    "TRF_019 MIF2 transfers.txt transfer_type transfers tr": "SELECT t.from_trip_id AS id, NULL AS seen, t.line FROM transfers t JOIN tr a ON t.from_trip_id = a.trip_id JOIN tr b ON t.to_trip_id = b.trip_id WHERE oneof(t.transfer_type, 4, 5) AND a.route_type <> b.route_type",
     "TRF_020 MQR2 transfers.txt min_transfer_time transfers places": "SELECT from_stop_id AS id, round(km(a.lat, a.lon, b.lat, b.lon) * 1000 / uint(min_transfer_time), 2) AS seen FROM transfers JOIN places a ON a.stop_id = from_stop_id JOIN places b ON b.stop_id = to_stop_id WHERE uint(min_transfer_time) > 0 AND km(a.lat, a.lon, b.lat, b.lon) * 1000 / uint(min_transfer_time) > 2.0",
     "TRF_021 CSR1 transfers.txt from_stop_id transfers stops": "SELECT stop_id AS id, location_type AS seen FROM stops WHERE oneof(location_type, 2, 3, 4) AND stop_id IN (SELECT from_stop_id FROM transfers UNION ALL SELECT to_stop_id FROM transfers)",
     "TRF_022 HSE2 transfers.txt to_trip_id transfers tr active": "SELECT t.from_trip_id AS id, min(b.service_id) AS seen FROM transfers t JOIN tr a ON t.to_trip_id = a.trip_id JOIN transfers u ON t.from_trip_id = u.from_trip_id JOIN tr b ON u.to_trip_id = b.trip_id AND a.service_id < b.service_id JOIN active x ON x.service_id = a.service_id JOIN active y ON y.service_id = b.service_id AND x.date = y.date WHERE oneof(t.transfer_type, 4, 5) AND oneof(u.transfer_type, 4, 5) GROUP BY t.from_trip_id",
@@ -162,7 +166,7 @@ QUERIES = {
     "XFL_020 CSR2 transfers.txt to_route_id transfers tr": "SELECT to_trip_id AS id, t.line AS seen FROM transfers t JOIN tr ON t.to_trip_id = tr.trip_id WHERE given(t.to_route_id) AND t.to_route_id <> tr.route_id",
     "XFL_021 HIR2 transfers.txt from_stop_id transfers st": "SELECT from_trip_id AS id, line AS seen FROM transfers t WHERE given(from_trip_id) AND given(from_stop_id) AND NOT EXISTS (SELECT 1 FROM st WHERE st.trip_id = t.from_trip_id AND st.stop_id = t.from_stop_id)",
     # Fares
-    "FAR_010 MQF2 fare_rules.txt fare_id fare_rules": "SELECT NULL AS id, count(*) AS seen FROM (SELECT route_id FROM fare_rules GROUP BY route_id, origin_id, destination_id, contains_id HAVING count(DISTINCT fare_id) > 1) HAVING count(*) > 0",
+    "FAR_010 MQF2 fare_rules.txt fare_id fare_rules": "SELECT route_id AS id, count(DISTINCT fare_id) AS seen, min(line) AS line FROM fare_rules GROUP BY route_id, origin_id, destination_id, contains_id HAVING count(DISTINCT fare_id) > 1",
     "FRL_006 IQF1 fare_rules.txt fare_id fare_attributes": "SELECT NULL AS id, count(*) AS seen FROM fare_attributes WHERE (SELECT count(*) FROM fare_rules) = 0 HAVING count(*) > 0",
     "FRL_008 IQF3 fare_rules.txt route_id fare_rules routes": "SELECT NULL AS id, count(*) AS seen FROM routes r WHERE NOT EXISTS (SELECT 1 FROM fare_rules f WHERE f.route_id = r.route_id) AND (SELECT count(*) FROM fare_rules WHERE given(route_id)) > 0 AND (SELECT count(*) FROM fare_rules WHERE blank(route_id)) = 0 HAVING count(*) > 0",
     "FPD_001 CSR1 fare_products.txt fare_product_id fare_products": "SELECT fare_product_id AS id, line AS seen FROM (SELECT *, row_number() OVER (PARTITION BY fare_product_id, coalesce(rider_category_id, ''), coalesce(fare_media_id, '') ORDER BY line) AS n FROM fare_products WHERE given(fare_product_id)) WHERE n > 1",
@@ -175,7 +179,7 @@ QUERIES = {
     "XFL_019 MSF2 routes.txt network_id routes networks": "SELECT NULL AS id, count(*) AS seen FROM routes WHERE given(network_id) HAVING count(*) > 0",
     # Pathways and levels
     "LVL_006 MQE2 stops.txt level_id pathways stops": "SELECT DISTINCT stop_id AS id, NULL AS seen FROM stops WHERE blank(level_id) AND stop_id IN (SELECT from_stop_id FROM pathways WHERE oneof(pathway_mode, 5) UNION ALL SELECT to_stop_id FROM pathways WHERE oneof(pathway_mode, 5))",
-    "STP_032 MQF2 stops.txt parent_station pathways stops": "SELECT NULL AS id, count(*) AS seen FROM stops WHERE (blank(location_type) OR oneof(location_type, 0)) AND blank(parent_station) AND stop_id IN (SELECT from_stop_id FROM pathways UNION ALL SELECT to_stop_id FROM pathways) HAVING count(*) > 0",
+    "STP_032 MQF2 stops.txt parent_station pathways stops": "SELECT stop_id AS id, NULL AS seen, line FROM stops WHERE (blank(location_type) OR oneof(location_type, 0)) AND blank(parent_station) AND stop_id IN (SELECT from_stop_id FROM pathways UNION ALL SELECT to_stop_id FROM pathways)",
     "PTH_014 CQE1 pathways.txt to_stop_id pathways places": "SELECT pathway_id AS id, round(km(a.lat, a.lon, b.lat, b.lon) * 1000) AS seen FROM pathways JOIN places a ON a.stop_id = from_stop_id JOIN places b ON b.stop_id = to_stop_id WHERE a.parent_station <> b.parent_station AND a.location_type <> 2 AND b.location_type <> 2 AND km(a.lat, a.lon, b.lat, b.lon) > 0.3",
     "PTH_019 MQE2 pathways.txt from_stop_id pathways stops": "SELECT stop_id AS id, count(*) AS seen FROM stops JOIN (SELECT from_stop_id AS e FROM pathways UNION ALL SELECT to_stop_id FROM pathways) ON e = stop_id WHERE oneof(location_type, 3) GROUP BY stop_id HAVING count(*) = 1",
     "PTH_026 CSR1 pathways.txt from_stop_id pathways stops": "SELECT pathway_id AS id, line AS seen FROM pathways WHERE from_stop_id IN (SELECT stop_id FROM stops WHERE oneof(location_type, 1)) OR to_stop_id IN (SELECT stop_id FROM stops WHERE oneof(location_type, 1))",
