@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timetide.llm import bpe, hamming, jaccard, langid, licenses, mixing, quality, quality_rules, substrings, toxicity
+from timetide.llm import bpe, hamming, jaccard, langid, licenses, mixing, pieces, quality, quality_rules, runs, substrings, toxicity, whitening
 from timetide.llm.textops import crc_of_id
 
 #: The vocabulary of op9; bpe_encode takes any other path.
 VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
+#: The model of op12; piece_encode takes any other path.
+PIECE_MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.repeat_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_encode(table(spark, sf_dir, "documents"), PIECE_MODEL, with_ids=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -90,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_pieces": op12_pieces,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
