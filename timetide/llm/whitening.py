@@ -181,6 +181,8 @@ def symmetric_qr(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             q[:, k + 1] = c * q[:, k + 1] - s * left
     order = np.argsort(-d, kind="stable")
     d, q = d[order], q[:, order]
+    if not len(d):
+        return d, q
     at = np.abs(q).argmax(axis=0)
     return d, q * np.where(q[at, np.arange(len(d))] < 0, -1.0, 1.0)
 
