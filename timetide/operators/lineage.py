@@ -29,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the checkpoint folder."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark can reach; none is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,15 +1,24 @@
-"""Running the catalogue over a feed: which rules apply, one pass for the row rules of a table, one plan for each other rule."""
+"""Running the catalogue over a feed: which rules apply, and as few plans as answer them.
+
+Typed views are made when a rule asks for them, once a run, and kept as Parquet in the checkpoint folder, as are the
+findings: a whole catalogue in one plan would not be planned in useful time. Rules of one form over one view are one plan
+(timetide.plans.fused), those about keys are one, the others a plan each, a few of them in one job. Jobs run side by side.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from threading import RLock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetide.operators import relational
+from timetide.operators import lineage
+from timetide.plans import aggregates, archive, fused, views
 from timetide.plans import notices as N
-from timetide.plans import aggregates, archive, views
 from timetide.plans.catalogue import GROUPED, ROWS, Rule, load
 from timetide.plans.config import Config
 from timetide.sources.feed import Feed
@@ -34,8 +43,24 @@ def row_case(r: Rule, header: list[str], config: Config) -> str:
     return f"CASE WHEN {views.typed(literal(predicate, config))} THEN named_struct('rule_id', '{r.rule_id}', 'entity_type', '{kind}', 'entity_id', `{key}`, 'field', '{field}', 'observed_value', `{field}`, 'feed_level', {feed_level}) END"
 
 
+#: Plans of their own in one job, and jobs that run side by side.
+PLANS_A_JOB, JOBS = 6, 6
+
+
+class _Views(dict):
+    """The views of a run by name; typed ones are made when they are asked for."""
+
+    def __init__(self, texts: dict[str, DataFrame], make):
+        super().__init__(texts)
+        self._make = make
+
+    def __missing__(self, name: str) -> DataFrame:
+        self._make(name)
+        return self[name]
+
+
 class Run:
-    """One feed under one configuration. Views are temporary and lazy; rules without their tables are passed over."""
+    """One feed under one configuration. Rules without their tables are passed over. `close()` removes what the run has written."""
 
     def __init__(self, feed: Feed, config: Config | None = None):
         self.feed, self.config = feed, config or Config()
@@ -43,29 +68,63 @@ class Run:
         if bad := sorted(x for x in self.config.disabled_rule_ids if x not in self.rules or self.rules[x].rule_class == "Spec"):
             raise ValueError(f"rules that can't be disabled: {bad}")
         self.skipped: list[str] = []
-        self.views = views.text_views(feed, str(self.config.today))
+        self.id = uuid.uuid4().hex
+        self._lock = RLock()
+        self.views = _Views(views.text_views(feed, str(self.config.today)), self._make)
         for name, df in self.views.items():
-            df.createOrReplaceTempView(VIEW + name)
-        for name, sql in views.TYPED.items():
-            self._view(name, self._query(views.typed(sql)))
-
-    def _view(self, name: str, df: DataFrame) -> None:
-        self.views[name] = df
-        df.createOrReplaceTempView(VIEW + name)
+            df.createOrReplaceTempView(self._name(name))
+
+    def _name(self, view: str) -> str:
+        return f"{VIEW}{self.id}_{view}"
+
+    @property
+    def folder(self) -> str:
+        lineage.ready(self.feed.spark)
+        return f"{self.feed.spark.sparkContext.getCheckpointDir()}/run-{self.id}"
+
+    def close(self) -> None:
+        """Remove the views and files of this run; its notices can't be read after that."""
+        for name in self.views:
+            self.feed.spark.catalog.dropTempView(self._name(name))
+        lineage.remove(self.feed.spark, self.folder)
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once and read again."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.feed.spark.read.schema(df.schema).parquet(path)
+
+    def _make(self, name: str) -> None:
+        with self._lock:
+            if name in self.views:
+                return
+            if name == "near":
+                df = views.near(self.views["places"], self.config.stop_too_close_m)
+            elif name == "walked":
+                df = views.walked(self.views["pathways"], self.views["places"])
+            elif name == "joined":
+                df = views.joined(self.views["legs"])
+            else:
+                df = self._query(views.typed(views.TYPED[name]))
+            df = self._kept(df, name)
+            df.createOrReplaceTempView(self._name(name))
+            self.views[name] = df
 
     def _query(self, sql: str) -> DataFrame:
         return self.feed.spark.sql(self._named(literal(sql, self.config)))
 
     def _named(self, sql: str) -> str:
-        """Names of views under their prefix, unless a WITH clause of the query has that name."""
+        """Names of views as those of this run, unless a WITH clause of the query has that name. Views are made if need be."""
         own = set(re.findall(r"(?:WITH|,)\s+(\w+) AS \(", sql))
-        return _FROM.sub(lambda m: m[0] if m[2] in own else f"{m[1]} {VIEW}{m[2]} AS {m[2]}" if not re.match(r"\s+(?:AS\s+)?(?!ON\b|JOIN\b|WHERE\b|GROUP\b|LEFT\b|HAVING\b|WINDOW\b|UNION\b|USING\b|CROSS\b|ORDER\b)\w+", sql[m.end() :]) else f"{m[1]} {VIEW}{m[2]}", sql)
 
-    def _needed(self, sql: str) -> None:
-        """Views that cost a shuffle or a loop are made when a rule asks for them."""
-        for name, make in (("near", lambda: views.near(self.views["places"], self.config.stop_too_close_m)), ("walked", lambda: views.walked(self.views["pathways"], self.views["places"])), ("joined", lambda: views.joined(self.views["legs"]))):
-            if name not in self.views and re.search(rf"\b(FROM|JOIN) {name}\b", sql):
-                self._view(name, make())
+        def one(m: re.Match) -> str:
+            if m[2] in own:
+                return m[0]
+            self.views[m[2]]
+            named = re.match(r"\s+(?:AS\s+)?(?!ON\b|JOIN\b|WHERE\b|GROUP\b|LEFT\b|HAVING\b|WINDOW\b|UNION\b|USING\b|CROSS\b|ORDER\b)\w+", sql[m.end() :])
+            return f"{m[1]} {self._name(m[2])}" + ("" if named else f" AS {m[2]}")
+
+        return _FROM.sub(one, sql)
 
     def _row_rules(self, table: str, rules: list[Rule]) -> DataFrame:
         """All row rules of a table in one pass: an array of the findings of each row, without nulls, exploded."""
@@ -75,41 +134,22 @@ class Run:
         scope = F.when(~F.col("feed_level"), F.col("entity_id"))
         return found.select("rule_id", "entity_type", "entity_id", scope.alias("scope_key"), F.lit(f"{table}.txt").alias("file"), "line", "field", "observed_value", F.lit(1).cast("long").alias("instances"))
 
-    def _reference(self, r: Rule) -> DataFrame:
-        """One finding for each row whose key is missing; for GROUPED rules one for each key, with its first row and the number of its rows."""
-        key, parents = r.plan
-        known = None
-        for table, column in parents:
-            if table in self.feed.tables or known is None:
-                part = self.views[table].select(F.col(column).alias("pk"))
-                known = part if known is None else known.unionByName(part)
-        child = self.views[r.table].filter(F.expr(views.typed(f"given({key})")))
-        feed_level = r.dedup in ("Feed", "File")
+    def _keyed(self, r: Rule) -> fused.Keyed:
+        """A rule about keys: rows whose key is missing (GROUPED rules: each missing key once), parents that are unused, repeated keys."""
+        if r.kind == "duplicate":
+            return fused.Keyed(r, r.table, r.plan, r.table, r.plan[0], None)
+        key, among = r.plan
+        if r.kind == "unused":
+            return fused.Keyed(r, r.table, (key,), r.table, key, among)
         if r.rule_id in GROUPED:
-            counted = child.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("line"))
-            kind = "stop" if key == "stop_id" else ROWS[r.table][0].split()[0]
-            return N.notices(relational.orphans(counted, key, known, "pk"), r.rule_id, f"{r.table}.txt", kind, key, None if feed_level else key, "line", key, key, "rows")
+            return fused.Keyed(r, r.table, (key,), "stop" if key == "stop_id" else ROWS[r.table][0].split()[0], key, among, True)
         kind, entity = ROWS[r.table][0].split() if r.table in ROWS else (r.table, key)
-        return N.notices(relational.orphans(child, key, known, "pk"), r.rule_id, f"{r.table}.txt", kind, entity, None if feed_level else entity, "line", key, key)
+        return fused.Keyed(r, r.table, (key,), kind, entity, among)
 
-    def _plain(self, r: Rule) -> DataFrame:
-        if r.kind == "fk":
-            return self._reference(r)
-        table = self.views.get(r.table)
-        if r.kind == "unused":
-            key, children = r.plan
-            used = None
-            for name, column in children:
-                part = self.views[name].select(F.col(column).alias("fk"))
-                used = part if used is None else used.unionByName(part)
-            return N.notices(relational.unused(table.filter(F.expr(views.typed(f"given({key})"))), key, used, "fk"), r.rule_id, f"{r.table}.txt", r.table, key, key, "line", key)
-        if r.kind == "duplicate":
-            first = r.plan[0]
-            filled = table.withColumns({k: F.coalesce(k, F.lit("")) for k in r.plan}).filter(F.expr(views.typed(f"given({first})")))
-            return N.notices(relational.duplicates(filled, list(r.plan), ["line"]), r.rule_id, f"{r.table}.txt", r.table, first, first, "line", first)
-        needs, field, sql = r.plan
+    def _alone(self, r: Rule) -> DataFrame:
+        """A rule with a plan of its own."""
+        _, field, sql = r.plan
         sql = views.typed(sql)
-        self._needed(sql)
         scope = "id" if r.dedup not in ("Feed", "File") else None
         found = self._query(sql)
         # A query that knows the row says so by `line`, or shows it as what was seen.
@@ -134,23 +174,46 @@ class Run:
                 self.skipped.append(r.rule_id)
         return out
 
-    def raw_notices(self, only: list[str] | None = None) -> DataFrame:
-        """Every finding of the rules that run, before de-duplication."""
-        rules = self.chosen(only)
-        parts = []
+    def jobs(self, rules: list[Rule]) -> list:
+        """Functions that give the findings of some of the rules each, as few plans as can be."""
+        out, forms, alone = [], {}, []
         for table in ROWS:
             if own := [r for r in rules if r.kind == "row" and r.table == table]:
-                parts.append(self._row_rules(table, own))
-        parts += [self._plain(r) for r in rules if r.kind not in ("row", "archive")]
+                out.append(lambda table=table, own=own: [self._row_rules(table, own)])
+        for r in (r for r in rules if r.kind == "sql"):
+            form = None if r.table == "*" else fused.form_of(r.plan[2])
+            if form is None:
+                alone.append(r)
+            else:
+                forms.setdefault((form.view, "row" if form.is_row else form.keys), []).append((r, form))
+        for own in forms.values():
+            out.append(lambda own=own: [self._query(views.typed(fused.fused_sql(own)))])
+        if keyed := [self._keyed(r) for r in rules if r.kind in ("fk", "unused", "duplicate")]:
+            out.append(lambda: fused.key_findings(self.views.__getitem__, keyed, lambda df: self._kept(df, "keys")))
+        for at in range(0, len(alone), PLANS_A_JOB):
+            out.append(lambda own=alone[at : at + PLANS_A_JOB]: [self._alone(r) for r in own])
         if own := {r.rule_id for r in rules if r.kind == "archive"}:
-            parts += archive.findings(self.feed, self.config, own)
-        if not parts:
-            return self.feed.spark.createDataFrame([], archive.SCHEMA)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
+            out.append(lambda: archive.findings(self.feed, self.config, own))
         return out
 
+    def raw_notices(self, only: list[str] | None = None) -> DataFrame:
+        """Every finding of the rules that run, before de-duplication: computed here, and read from the run's folder."""
+        schema = ", ".join(f"{k} {v}" for k, v in fused.FOUND.items())
+        folder = f"{self.folder}/found-{uuid.uuid4().hex}"
+
+        def work(job: tuple) -> str | None:
+            number, parts = job
+            if not (parts := [p.select(*[(F.col(c) if c in p.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fused.FOUND.items()]) for p in parts()]):
+                return None
+            reduce(DataFrame.unionByName, parts).write.parquet(f"{folder}/{number}")
+            return f"{folder}/{number}"
+
+        with ThreadPoolExecutor(JOBS) as pool:
+            paths = [p for p in pool.map(work, enumerate(self.jobs(self.chosen(only)))) if p]
+        if not paths:
+            return self.feed.spark.createDataFrame([], schema)
+        return self.feed.spark.read.schema(schema).parquet(*paths)
+
     def rule_table(self) -> DataFrame:
         rows = [(r.rule_id, r.severity, r.rule_class, r.dedup, r.base_effort, r.score_weight, list(r.blocks)) for r in self.rules.values()]
         return self.feed.spark.createDataFrame(rows, "rule_id string, severity string, rule_class string, dedup string, base_effort int, score_weight int, blocks array<string>")

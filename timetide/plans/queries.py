@@ -50,10 +50,10 @@ QUERIES = {
     "RTS_017 IQE20 trips.txt shape_id tr": "SELECT route_id AS id, NULL AS seen FROM tr GROUP BY route_id HAVING count(shape_id) = 0",
     "RTS_019 MQR1 routes.txt route_short_name routes": "SELECT route_id AS id, n AS seen FROM (SELECT route_id, route_short_name, route_long_name, count(*) OVER (PARTITION BY lower(route_short_name), lower(route_long_name)) AS n FROM routes WHERE NOT (blank(route_short_name) AND blank(route_long_name))) WHERE n >= 2",
     "RTS_020 IQE1 routes.txt route_url routes agency": "SELECT route_id AS id, route_url AS seen FROM routes r JOIN agency a ON (r.agency_id = a.agency_id OR blank(r.agency_id)) AND r.route_url = a.agency_url WHERE given(r.route_url)",
-    "RTS_026 IQR1 routes.txt route_short_name routes": "SELECT min_by(route_id, line) AS id, lower(route_short_name) AS seen FROM routes WHERE given(route_short_name) GROUP BY lower(route_short_name) HAVING count(*) >= 2 AND count(DISTINCT lower(route_long_name)) >= 2",
-    "RTS_027 IQR1 routes.txt route_long_name routes": "SELECT min_by(route_id, line) AS id, lower(route_long_name) AS seen FROM routes WHERE given(route_long_name) GROUP BY lower(route_long_name) HAVING count(*) >= 2 AND count(DISTINCT lower(route_short_name)) >= 2",
+    "RTS_026 IQR1 routes.txt route_short_name routes": "SELECT min_by(route_id, line) AS id, lower(route_short_name) AS seen FROM routes WHERE given(route_short_name) GROUP BY lower(route_short_name) HAVING count(*) >= 2 AND min(lower(route_long_name)) <> max(lower(route_long_name))",
+    "RTS_027 IQR1 routes.txt route_long_name routes": "SELECT min_by(route_id, line) AS id, lower(route_long_name) AS seen FROM routes WHERE given(route_long_name) GROUP BY lower(route_long_name) HAVING count(*) >= 2 AND min(lower(route_short_name)) <> max(lower(route_short_name))",
     # Trips
-    "TRP_012 LQE1 trips.txt direction_id tr": "SELECT route_id AS id, NULL AS seen FROM tr GROUP BY route_id HAVING count(DISTINCT direction_id) > 1 AND count(direction_id) < count(*)",
+    "TRP_012 LQE1 trips.txt direction_id tr": "SELECT route_id AS id, NULL AS seen FROM tr GROUP BY route_id HAVING min(direction_id) <> max(direction_id) AND count(direction_id) < count(*)",
     "TRP_013 IAE10 trips.txt trip_id tr": "SELECT route_id AS id, 1 AS seen FROM tr GROUP BY route_id HAVING count(*) = 1",
     "TRP_015 LQF1 trips.txt block_id tr": "SELECT NULL AS id, count(*) AS seen FROM (SELECT count(*) AS n FROM tr WHERE block_id IS NOT NULL GROUP BY block_id, service_id) HAVING max(n) = 1",
     "TRP_017 MQE1 frequencies.txt trip_id frequencies trips stop_times": "SELECT DISTINCT trip_id AS id, NULL AS seen FROM frequencies WHERE trip_id IN (SELECT trip_id FROM trips) AND NOT EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = frequencies.trip_id)",
@@ -73,7 +73,7 @@ QUERIES = {
     "DQ_009 IQF1 stop_times.txt trip_id trips stop_times": "SELECT NULL AS id, count(*) AS seen FROM trips WHERE (SELECT count(*) FROM stop_times) = 0 HAVING count(*) > 0",
     "DQ_013 IAF10 trips.txt trip_id trips": "SELECT NULL AS id, count(*) AS seen FROM trips HAVING count(*) BETWEEN 1 AND 2",
     "XFL_012 HQE2 routes.txt route_id tr stop_times": "SELECT route_id AS id, NULL AS seen FROM tr LEFT JOIN (SELECT DISTINCT trip_id AS t FROM stop_times) ON t = trip_id GROUP BY route_id HAVING count(t) = 0",
-    "XFL_013 HQE2 trips.txt shape_id tr": "SELECT shape_id AS id, NULL AS seen FROM tr WHERE shape_id IS NOT NULL AND direction_id IN (0, 1) GROUP BY shape_id HAVING count(DISTINCT direction_id) = 2",
+    "XFL_013 HQE2 trips.txt shape_id tr": "SELECT shape_id AS id, NULL AS seen FROM tr WHERE shape_id IS NOT NULL AND direction_id IN (0, 1) GROUP BY shape_id HAVING min(direction_id) <> max(direction_id)",
     # Stop times
     "STM_008 CIE2 stop_times.txt arrival_time st": "SELECT trip_id AS id, min(line) AS seen FROM (SELECT trip_id, line, arr, max(dep) OVER (PARTITION BY trip_id ORDER BY seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) WHERE arr < reached GROUP BY trip_id",
     "STM_012 HIR2 stop_times.txt arrival_time legs": "SELECT trip_id AS id, round(distance / (arr - dep) * 3600, 1) AS seen FROM legs WHERE (arr > dep AND distance / (arr - dep) * 3600 > 700) OR (arr = dep AND arr % 60 = 0 AND distance > limit / 60)",
@@ -125,8 +125,8 @@ QUERIES = {
     "OPR_010 MAE2 trips.txt wheelchair_accessible trips": "SELECT route_id AS id, NULL AS seen FROM trips GROUP BY route_id HAVING (bool_or(oneof(wheelchair_accessible, 1)) AND bool_or(oneof(wheelchair_accessible, 2))) OR (bool_or(oneof(bikes_allowed, 1)) AND bool_or(oneof(bikes_allowed, 2)))",
     "OPR_011 HAE2 trips.txt service_id tr": "SELECT DISTINCT service_id AS id, NULL AS seen FROM tr WHERE service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM active a WHERE a.service_id = tr.service_id)",
     "OPR_012 MAE2 calendar.txt start_date active tr": "SELECT service_id AS id, max(gap) AS seen FROM (SELECT service_id, datediff(date, lag(date) OVER (PARTITION BY service_id ORDER BY date)) - 1 AS gap FROM active) WHERE gap >= service_gap_days AND service_id IN (SELECT service_id FROM tr) GROUP BY service_id",
-    "OPR_013 IAE2 trips.txt direction_id tr": "SELECT route_id AS id, NULL AS seen FROM tr WHERE direction_id IS NOT NULL GROUP BY route_id HAVING count(DISTINCT direction_id) = 1",
-    "OPR_015 IAE1 trips.txt shape_id tr": "SELECT route_id AS id, NULL AS seen FROM tr WHERE route_type <> 2 GROUP BY route_id HAVING count(DISTINCT shape_id) = 1 AND count(DISTINCT direction_id) > 1",
+    "OPR_013 IAE2 trips.txt direction_id tr": "SELECT route_id AS id, NULL AS seen FROM tr WHERE direction_id IS NOT NULL GROUP BY route_id HAVING min(direction_id) = max(direction_id)",
+    "OPR_015 IAE1 trips.txt shape_id tr": "SELECT route_id AS id, NULL AS seen FROM tr WHERE route_type <> 2 GROUP BY route_id HAVING min(shape_id) = max(shape_id) AND min(direction_id) <> max(direction_id)",
     "OPR_016 IAF1 calendar.txt service_id active trips": "SELECT NULL AS id, count(*) AS seen FROM trips WHERE (SELECT count(*) FROM active) = 0 HAVING count(*) > 0",
     "OPR_019 IAE2 calendar.txt service_id active tr": "SELECT route_id AS id, count(*) AS seen FROM (SELECT route_id, date FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN active USING (service_id) LEFT JOIN (SELECT service_id, day(date) AS date, 1 AS hit FROM calendar_dates) e USING (service_id, date) GROUP BY route_id, date HAVING count(DISTINCT service_id) > 1 AND count(hit) = 0) GROUP BY route_id",
     "OPR_020 LAE2 calendar_dates.txt date active tr calendar_dates": "SELECT route_id AS id, count(*) AS seen FROM (SELECT route_id, date FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN active USING (service_id) LEFT JOIN (SELECT service_id, day(date) AS date, 1 AS hit FROM calendar_dates) e USING (service_id, date) GROUP BY route_id, date HAVING count(DISTINCT service_id) > 1 AND count(hit) > 0) GROUP BY route_id",
@@ -150,7 +150,7 @@ QUERIES = {
     "SHP_014 IAE3 shapes.txt shape_pt_lat pts places spans tr": "WITH e AS (SELECT shape_id, min_by(lat, seq) AS la, min_by(lon, seq) AS oa, max_by(lat, seq) AS lb, max_by(lon, seq) AS ob FROM pts GROUP BY shape_id), d AS (SELECT tr.shape_id, min(km(la, oa, a.lat, a.lon)) AS first, min(km(lb, ob, b.lat, b.lon)) AS last FROM spans JOIN tr USING (trip_id) JOIN e ON e.shape_id = tr.shape_id JOIN places a ON a.stop_id = first_stop JOIN places b ON b.stop_id = last_stop GROUP BY tr.shape_id) SELECT shape_id AS id, round(greatest(first, last) * 1000, 1) AS seen FROM d WHERE greatest(first, last) * 1000 > stop_far_from_shape_m",
     "GEO_006 HAE3 shapes.txt shape_pt_lat pts": "SELECT shape_id AS id, round(max(distance), 1) AS seen FROM pts WHERE distance > max_shape_jump_km AND distance <= 3 * max_shape_jump_km GROUP BY shape_id",
     "GEO_007 HAE3 shapes.txt shape_pt_lat pts": "SELECT shape_id AS id, round(max(distance), 1) AS seen FROM pts WHERE distance > 3 * max_shape_jump_km GROUP BY shape_id",
-    "GEO_020 HQE1 shapes.txt shape_pt_lat pts": "SELECT shape_id AS id, count(*) AS seen FROM pts GROUP BY shape_id HAVING count(*) >= 2 AND count(DISTINCT lat, lon) = 1 AND max(abs(lat)) > 0",
+    "GEO_020 HQE1 shapes.txt shape_pt_lat pts": "SELECT shape_id AS id, count(*) AS seen FROM pts GROUP BY shape_id HAVING count(*) >= 2 AND min(lat) = max(lat) AND min(lon) = max(lon) AND max(abs(lat)) > 0",
     # Frequencies and transfers
     "FRQ_011 HSR2 frequencies.txt start_time frequencies": "SELECT trip_id AS id, line AS seen FROM (SELECT trip_id, line, sec(start_time) AS a, max(sec(end_time)) OVER (PARTITION BY trip_id ORDER BY sec(start_time), line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM frequencies) WHERE a < busy",
     "TFR_005 MSR1 timeframes.txt start_time timeframes": "SELECT timeframe_group_id AS id, line AS seen FROM (SELECT timeframe_group_id, line, sec(start_time) AS a, max(sec(end_time)) OVER (PARTITION BY timeframe_group_id, service_id ORDER BY sec(start_time), line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM timeframes) WHERE a < busy",
