@@ -24,8 +24,9 @@ one shingle. Two documents link at a Jaccard similarity of `PER_CENT` or more, a
 `links` and `link_counts` give the join itself: all pairs of classes that link, those inside a component too. They pass
 over step 3 and take every pair of a list that fits by size and position.
 
-Shingles are told apart by 64 bits made of the bytes of their words by full mixing steps, sets by 128 bits; one pair of
-unequal sets of a hundred shingles is misjudged with a chance of about 1e-15.
+Shingles are told apart by 64 bits of their words under a key that is drawn for each run (see `textops`), sets by 128: no
+words can be chosen so that different shingles agree; one pair of unequal sets of a hundred shingles is misjudged with a
+chance of about 1e-15.
 
 Cases: null, empty and blank texts have the empty set, size 0, and are a component of their own; very long texts are
 cut into shingles whole, alone in their block; equal rows are in one class; ties in size go by class number; a null
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from timetide.operators.graph import components
 from timetide.operators.lineage import cut
 from timetide.llm.substrings import cells_for, estimated_repeated, keys, require_ids, sketch, squeeze, unsqueeze
-from timetide.llm.textops import TextBlock, mix, slices, window_hashes
+from timetide.llm.textops import Key, TextBlock, draw, mix, slices, window_hashes
 
 N_GRAM = 5
 PER_CENT = 80
@@ -70,16 +71,16 @@ PER_PIECE = 500
 class ShingleBlock:
     """The sets of some texts: distinct shingle hashes, ordered by document."""
 
-    def __init__(self, texts: list[bytes | None], n_gram: int):
+    def __init__(self, texts: list[bytes | None], n_gram: int, key: Key):
         block = TextBlock(texts, lower=True)
-        words = block.word_hashes()
+        words = block.word_hashes(0, key)
         firsts, docs = block.windows(n_gram)
-        h = window_hashes(words, n_gram)[firsts] if len(firsts) else np.zeros(0, np.uint64)
+        h = window_hashes(words, n_gram, 0, key)[firsts] if len(firsts) else np.zeros(0, np.uint64)
         # Shorter texts: a hash of the whole sequence, by its length.
         for n in range(1, n_gram):
             short = np.flatnonzero(block.n_words == n)
             if len(short):
-                own = mix(window_hashes(words, n)[block.first[short]] ^ np.uint64(0xE7037ED1A0B428DB + 2 * n))
+                own = mix(window_hashes(words, n, 0, key)[block.first[short]] ^ np.uint64(0xE7037ED1A0B428DB + 2 * n))
                 h, docs = np.concatenate([h, own]), np.concatenate([docs, short])
         self.h, self.docs, self.n_docs = h, docs, block.n_docs
 
@@ -104,12 +105,12 @@ class ShingleBlock:
         return out[0], out[1]
 
 
-def _runs(n_gram: int):
+def _runs(n_gram: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         kept, n = [], 0
         for batch in batches:
             for part in slices(batch):
-                kept.append(ShingleBlock(part.column("text").to_pylist(), n_gram).h)
+                kept.append(ShingleBlock(part.column("text").to_pylist(), n_gram, key).h)
                 n += len(kept[-1])
                 if n >= CHUNK_HASHES:
                     yield np.concatenate(kept)
@@ -138,13 +139,13 @@ def described(docs: DataFrame, n_gram: int, per_cent: int) -> tuple[DataFrame, i
     """The number of rows, and of every row: doc_id, __id and __th (see substrings.keys), n, f1, f2 (of the set), posted (shingles in its prefix that other sets may have) and, where there are any, own (the set, packed)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys(), F.col("text").cast("string").cast("binary").alias("text"))
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    cells = cells_for((size["n"] or 0) // 6)
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), _runs(n_gram), cells))  # at most DEPTH * MOST_CELLS bits
+    cells, key = cells_for((size["n"] or 0) // 6), draw()
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts.select("text"), _runs(n_gram, key), cells))  # at most DEPTH * MOST_CELLS bits
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                sets = ShingleBlock(part.column("text").to_pylist(), n_gram)
+                sets = ShingleBlock(part.column("text").to_pylist(), n_gram, key)
                 top = np.uint64(1 << 63)
                 sets.ordered(sets.h)
                 f1, f2 = sets.fingerprints()

@@ -13,8 +13,8 @@ document of smaller id, or earlier in the same one) go.
    words, dealt by hash, and all but the first go.
 3. The starts that go meet by document, become intervals of words, and are joined to the texts.
 
-Words are hashed byte by byte with full mixing steps, and the two parts of a window's 96 bits come from two independent
-hashes of its words.
+The two parts of a window's 96 bits come from two independent hashes of its words, under a key that is drawn for each run
+(see `textops`): no words can be chosen so that different windows agree, and n windows agree by chance at n^2 / 2^97.
 
 Order is by (doc_id, a hash of the text, start); documents without an id come last, by 126 bits of hashes of their
 texts. Rows with one doc_id and one text are the same document: they lose the same words. Cases: a null, empty or short
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timetide.operators.lineage import cut
-from timetide.llm.textops import TextBlock, slices, window_hashes
+from timetide.llm.textops import Key, TextBlock, draw, slices, window_hashes
 
 WIDTH = 20
 DEPTH = 2
@@ -85,7 +85,8 @@ def cells_of(h: np.ndarray, row: int, cells: int) -> np.ndarray:
 class Chunk:
     """Windows of some documents: hashes, and the place of each."""
 
-    def __init__(self) -> None:
+    def __init__(self, key: Key) -> None:
+        self.key = key
         self.ids, self.ths, self.docs, self.starts, self.h, self.g = [], [], [], [], [], []
         self.n_windows = self.n_docs = 0
 
@@ -94,9 +95,9 @@ class Chunk:
         firsts, docs = block.windows(width)
         if not len(firsts):
             return
-        self.h.append(window_hashes(block.word_hashes(), width)[firsts])
+        self.h.append(window_hashes(block.word_hashes(0, self.key), width, 0, self.key)[firsts])
         if places:
-            self.g.append((window_hashes(block.word_hashes(1), width)[firsts] >> np.uint64(32)).astype(np.uint32))
+            self.g.append((window_hashes(block.word_hashes(1, self.key), width, 1, self.key)[firsts] >> np.uint64(32)).astype(np.uint32))
             self.docs.append((docs + self.n_docs).astype(np.int32))
             self.starts.append((firsts - block.first[docs]).astype(np.int32))
             self.ids.append(part.column("__id").to_numpy(zero_copy_only=False))
@@ -105,14 +106,14 @@ class Chunk:
         self.n_windows += len(firsts)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], width: int, places: bool) -> Iterator[Chunk]:
-    chunk = Chunk()
+def chunks(batches: Iterator[pa.RecordBatch], width: int, places: bool, key: Key) -> Iterator[Chunk]:
+    chunk = Chunk(key)
     for batch in batches:
         for part in slices(batch):
             chunk.add(part, width, places)
             if chunk.n_windows >= CHUNK_WINDOWS:
                 yield chunk
-                chunk = Chunk()
+                chunk = Chunk(key)
     if chunk.n_windows:
         yield chunk
 
@@ -122,9 +123,9 @@ def cells_for(n: int) -> int:
     return min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * n).bit_length()))
 
 
-def window_runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
+def window_runs(width: int, key: Key) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
     """The hashes of all windows, some at a time."""
-    return lambda batches: (np.concatenate(c.h) for c in chunks(batches, width, places=False))
+    return lambda batches: (np.concatenate(c.h) for c in chunks(batches, width, False, key))
 
 
 def sketch(texts: DataFrame, runs: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], cells: int) -> np.ndarray:
@@ -215,8 +216,8 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select(*keys(), F.col("text").cast("string").cast("binary").alias("text"))
     # About six bytes a word: only the sizes of the sketch and of the groups hang on it.
     about = (docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0) // 6
-    cells = cells_for(about)
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, window_runs(width), cells))  # DEPTH * MOST_CELLS bits at most
+    cells, key = cells_for(about), draw()
+    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, window_runs(width, key), cells))  # DEPTH * MOST_CELLS bits at most
     n_shards, n_buckets = max(16, about // PER_SHARD), max(16, about // PER_BUCKET)
     schema = "key int, n int, h binary, g binary, ids binary, ths binary, starts binary"
     names = ["key", "n", "h", "g", "ids", "ths", "starts"]
@@ -229,7 +230,7 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def candidates(batches):
-        for chunk in chunks(batches, width, places=True):
+        for chunk in chunks(batches, width, True, key):
             h = np.concatenate(chunk.h)
             at = np.flatnonzero(estimated_repeated(h, bits.value, cells))
             if not len(at):
@@ -249,9 +250,9 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             rows += [(-1 - b, n, None, None, i, t, s) for b, n, i, t, s in _removed(bucket(ids[later]), ids[later], ths[later], starts[later])]
             yield batch_of(rows)
 
-    def exact(key, table):
-        if key[0].as_py() < 0:
-            return table.set_column(0, "key", pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int32()))
+    def exact(shard, table):
+        if shard[0].as_py() < 0:
+            return table.set_column(0, "key", pa.array([-1 - shard[0].as_py()] * table.num_rows, pa.int32()))
         rows = table.to_pylist()
         h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
         g = np.concatenate([np.frombuffer(r["g"], np.uint32) for r in rows])
@@ -262,7 +263,7 @@ def removed_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         out = [(b, n, None, None, i, t, s) for b, n, i, t, s in _removed(bucket(ids[later]), ids[later], ths[later], starts[later])]
         return pa.Table.from_batches([batch_of(out)]) if out else table.slice(0, 0)
 
-    def intervals(key, table):
+    def intervals(_, table):
         rows = table.to_pylist()
         ids = np.concatenate([np.cumsum(unsqueeze(r["ids"], np.int64, r["n"])) for r in rows])
         ths = np.concatenate([unsqueeze(r["ths"], np.int64, r["n"]) for r in rows])

@@ -7,7 +7,9 @@ its Arrow batch. Words are `[^\\x20\\x09-\\x0D]+` throughout, found on the UTF-8
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1_000_000
-#: Longer words are hashed one by one.
+#: Digests of longer words aren't kept.
 LONG_BYTES = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,11 +27,6 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Of the first and of the second, independent hash.
-_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -40,43 +37,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+@dataclass(frozen=True)
+class Key:
+    """What hashes of words depend on. Where equal hashes count as equal words, a run draws its own (`draw`), so that no text can be
+    made to collide; FIXED is for features and for candidates whose words are compared afterwards."""
+
+    secret: bytes
+
+    def numbers(self, which: int, n: int) -> np.ndarray:
+        """n odd 64-bit numbers of the secret, for each of two independent hashes."""
+        raw = b"".join(hashlib.blake2b(bytes([which, i]), key=self.secret, digest_size=64).digest() for i in range(-(-n // 8)))
+        return np.frombuffer(raw, "<u8")[:n] | np.uint64(1)
+
+
+FIXED = Key(b"words of texts")
+
+
+def draw() -> Key:
+    return Key(os.urandom(32))
+
+
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
+#: The digests of words that a worker keeps, for the key that it used last.
+_digests: dict[bytes, bytes] = {}
+_digests_of = [b""]
+MOST_DIGESTS = 300_000
+
+
+def _long_hashes(words: list[bytes], key: Key, which: int) -> np.ndarray:
+    if _digests_of[0] != key.secret or len(_digests) > MOST_DIGESTS:
+        _digests.clear()
+        _digests_of[0] = key.secret
+    out = []
+    for w in words:
+        digest = _digests.get(w)
+        if digest is None:
+            digest = hashlib.blake2b(w, digest_size=16, key=key.secret).digest()
+            if len(w) <= LONG_BYTES:
+                _digests[w] = digest
+        out.append(digest)
+    return np.frombuffer(b"".join(out), "<u8")[which::2]
+
+
+def byte_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, key: Key = FIXED) -> np.ndarray:
     """A 64-bit hash of blob[start:end] for every span; which: one of two independent ones.
 
-    Eight bytes at a time enter by exclusive or, with a full mix after each, so no sum of powers stands behind it: two
-    spans of one length up to eight bytes never meet. Spans of more than LONG_BYTES go through BLAKE2b.
+    Spans of up to 7 bytes are told apart for certain: their bytes and their length are mixed by a bijection. Longer ones
+    go through BLAKE2b with the key.
     """
     eights = np.ndarray((len(blob) + 1,), "<u8", np.concatenate([blob, np.zeros(8, np.uint8)]), strides=(1,))
     size = ends - starts
-    h = mix(size.astype(np.uint64) + np.uint64(_SEEDS[which]))
-    h = mix(h ^ (eights[starts] & _LOW_BYTES[np.minimum(size, 8)]))
-    todo, at = np.flatnonzero((size > 8) & (size <= LONG_BYTES)), 8
-    while len(todo):
-        h[todo] = mix(h[todo] ^ (eights[starts[todo] + at] & _LOW_BYTES[np.minimum(size[todo] - at, 8)]))
-        at += 8
-        todo = todo[size[todo] > at]
-    for i in np.flatnonzero(size > LONG_BYTES).tolist():
-        digest = hashlib.blake2b(blob[starts[i] : ends[i]], digest_size=16).digest()
-        h[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+    short = np.minimum(size, 7)
+    h = mix((eights[starts] & _LOW_BYTES[short] | short.astype(np.uint64) << np.uint64(56)) ^ key.numbers(which, 64)[-1])
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        raw = blob.tobytes()
+        h[long] = _long_hashes([raw[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], key, which)
     return h
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix((a * np.uint64(0xA0761D6478BD642F)) ^ b)
+def window_hashes(words: np.ndarray, width: int, which: int = 0, key: Key = FIXED) -> np.ndarray:
+    """A hash of words[i:i+width] for every i that has so many words after it: a sum of the words times numbers of the key, mixed.
 
-
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of words[i:i+width] for every i that has so many words after it: from pairs, pairs of pairs and so on."""
-    if len(words) < width:
+    Two windows that differ in a word agree for few of all keys (one in 2^64, or 2^64 / 2^t where the hashes of the words differ
+    in the 64 - t highest bits only).
+    """
+    n = len(words) - width + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    whole, done, power, part = None, 0, 1, words
-    while True:
-        if width & power:
-            whole, done = (part if whole is None else _joined(whole[: len(part) - done], part[done:])), done + power
-        if 2 * power > width:
-            return whole[: len(words) - width + 1]
-        part = _joined(part[:-power], part[power:])
-        power *= 2
+    factors = key.numbers(which, width)
+    total = words[:n] * factors[0]
+    for i in range(1, width):
+        total += words[i : n + i] * factors[i]
+    return mix(total)
 
 
 class TextBlock:
@@ -99,8 +132,8 @@ class TextBlock:
         self.first = np.searchsorted(self.starts, self.doc_start)
         self.n_words = np.diff(np.append(self.first, len(self.starts)))
 
-    def word_hashes(self, which: int = 0) -> np.ndarray:
-        return byte_hashes(self.blob, self.starts, self.ends, which)
+    def word_hashes(self, which: int = 0, key: Key = FIXED) -> np.ndarray:
+        return byte_hashes(self.blob, self.starts, self.ends, which, key)
 
     def text(self, doc: int) -> bytes:
         return self.blob[self.doc_start[doc] : self.doc_end[doc]].tobytes()
