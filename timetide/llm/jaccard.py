@@ -531,3 +531,19 @@ def keep_one(docs: DataFrame, n_gram: int = N_GRAM, per_cent: int = PER_CENT) ->
     keyed = places.filter(wordy).select("*", *keys(F.col(f"c{own.index('doc_id')}"), text))
     kept = keyed.join(stay, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
     return kept.unionByName(places.filter(~wordy)).toDF(*own)
+
+
+#: The rows of op7_jaccard_join in DuckDB; ids are unique there.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS own FROM d
+), n AS (SELECT doc_id, len(own) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(own) AS k FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, pos) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, g.b FROM reach r JOIN g ON g.a = r.pos)
+SELECT doc_id, n_shingles, min(pos) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n_shingles
+"""

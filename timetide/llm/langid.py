@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timetide.llm.samples import sample_by_class
+from timetide.llm.samples import sample_by_class, spread
 from timetide.llm.textops import IS_SPACE, LOWER, TextBlock, doc_id_type, map_texts, sums_by_doc, texts_of
 
 BUCKETS = 8192
@@ -140,10 +140,11 @@ def calibrate(z: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, fl
 
 
 def fit_on(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Fit on a bounded sample of the rows of docs that have lang and text."""
+    """Fit on a bounded sample of the rows of docs that have lang and text, in an order of its own: however the rows are dealt, the model is the same."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = sample_by_class(rows, "lang", "doc_id", per_language).filter(F.length("text") <= SAMPLE_CHARS).collect()
-    return fit([r["text"].encode() for r in got], [r["lang"] for r in got]) if got else None
+    chosen = sample_by_class(rows, "lang", "doc_id", per_language).select("lang", spread(F.col("text").cast("string"), SAMPLE_CHARS).alias("text"))
+    got = sorted((r["lang"], r["text"]) for r in chosen.collect())
+    return fit([t.encode() for _, t in got], [g for g, _ in got]) if got else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -245,3 +245,29 @@ def apply_rules(docs: DataFrame, rules: list[CascadeRule] = RULES) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, pa.array(failed), pa.array(kept), pa.array(names[by], pa.string())], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
 
     return map_texts(texts_of(docs, "doc_id"), run, f"doc_id {doc_id_type(docs)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+
+
+#: The same rows in DuckDB; ids are unique there.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT doc_id, t, w, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    list_transform(range(greatest(len(w) - 7, 0)), lambda i: array_to_string(w[i + 1 : i + 8], ' ')) AS windows
+  FROM d
+), u AS (SELECT doc_id, unnest(windows) AS k, unnest(range(len(windows))) AS i FROM b),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM u) WHERE c > 1),
+v AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM r) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
+    length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits,
+    coalesce(list_sum(list_transform(range(greatest(len(w) - 1, 0)), lambda i: CAST(w[i + 1] = w[i + 2] AS BIGINT))), 0) AS same
+  FROM b LEFT JOIN v USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND word_chars BETWEEN 2 * n_words AND 16 * n_words AND 100 * n_symbols <= 10 * n_words AND 2 * n_dup_lines <= n_lines
+    AND 100 * upper <= 60 * greatest(word_chars, 1) AND 100 * digits <= 40 * greatest(word_chars, 1) AND 100 * same <= 30 * n_words AS kept
+FROM s
+"""

@@ -111,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_hamming_top_k": hamming.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_jaccard_join": jaccard.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
     "op10_license_scan": licenses.ORACLE,
 }

@@ -323,3 +323,15 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, digest: bool = False)
                 yield pa.RecordBatch.from_arrays(columns, keep + added)
 
     return joined.mapInArrow(run, schema).toDF(*[f.name for f in own], *added)
+
+
+#: The rows of op8_substring_dedup in DuckDB; ids are unique there.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(range(greatest(len(w) - 19, 0))) AS i, unnest(list_transform(range(greatest(len(w) - 19, 0)), lambda i: array_to_string(w[i + 1 : i + 20], ' '))) AS k FROM d),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM u) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM r),
+x AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

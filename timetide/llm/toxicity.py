@@ -354,7 +354,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity
         got = sorted((d, t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in got], np.array([y for _, _, y in got], np.int64), prior))], pa.binary())], ["fitted"])
 
-    model, top, y = pickle.loads(texts_of(rows, "doc_id", "y").repartition(1).mapInArrow(run, "fitted binary").first()["fitted"])
+    fitted = texts_of(rows, "doc_id", "y").repartition(1).mapInArrow(run, "fitted binary").first()  # no task runs for no rows
+    model, top, y = pickle.loads(fitted["fitted"]) if fitted else train([], np.zeros(0, np.int64), prior)
     if model.constant is None:
         more = long_tops(docs, chosen, model)
         model.calibrate(np.append(top, more[0]), np.append(y, more[1]), prior)
