@@ -49,15 +49,21 @@ def share(df: DataFrame, flag: Column) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, within: str, who: str, item: str, least: float) -> DataFrame:
-    """within, a, b, shared, jaccard: pairs a < b of one block whose item sets are similar enough.
+    """within, a, b, shared, jaccard: pairs a < b of one block whose item sets have at least that similarity (above 0).
 
-    Pairs come from shared items only (an equi-join), never from all pairs of a block.
+    Sets that are so similar share one of their rarest items: with items ordered from rare to common, an item of the first
+    size - ceil(least * size) + 1 of both. Only those are joined; the pairs found are then counted over the whole sets.
     """
-    sets = df.select(within, who, item).distinct()
-    sizes = sets.groupBy(within, who).agg(F.count(F.lit(1)).alias("size"))
-    left, right = (sets.select(F.col(within).alias("block"), F.col(who).alias(x), F.col(item).alias("item")) for x in "ab")
-    shared = left.join(right, ["block", "item"]).filter("a < b").groupBy("block", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    of = lambda x: sizes.select(F.col(within).alias("block"), F.col(who).alias(x), F.col("size").alias(f"size_{x}"))
-    out = shared.join(of("a"), ["block", "a"]).join(of("b"), ["block", "b"])
+    sets = df.select(F.col(within).alias("block"), F.col(who).alias("who"), F.col(item).alias("item")).distinct()
+    held = sets.groupBy("block", "item").agg(F.count(F.lit(1)).alias("holders"))
+    own = Window.partitionBy("block", "who")
+    ranked = sets.join(held, ["block", "item"]).withColumns({"place": F.row_number().over(own.orderBy("holders", "item")), "size": F.count(F.lit(1)).over(own)})
+    # A little below the least overlap, as it is rounded.
+    rare = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).filter("holders > 1")
+    left, right = (rare.select("block", "item", F.col("who").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (least - 1e-9)
+    pairs = left.join(right, ["block", "item"]).filter((F.col("a") < F.col("b")) & fits).select("block", "a", "b", "size_a", "size_b").distinct()
+    of = lambda x: sets.select("block", F.col("who").alias(x), "item")
+    shared = pairs.join(of("a"), ["block", "a"]).join(of("b"), ["block", "b", "item"]).groupBy("block", "a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
     value = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    return out.withColumn("jaccard", F.round(value, 6)).filter(value >= least).select(F.col("block").alias(within), "a", "b", "shared", "jaccard")
+    return shared.filter(value >= least).select(F.col("block").alias(within), "a", "b", "shared", F.round(value, 6).alias("jaccard"))

@@ -262,21 +262,22 @@ def row_findings(table: str, feed: Feed) -> DataFrame:
     return odd.select(rule.alias("rule_id"), F.lit("file").alias("entity_type"), file.alias("entity_id"), none.alias("scope_key"), file.alias("file"), "line", none.alias("field"), none.alias("observed_value"), F.lit(1).cast("long").alias("instances"))
 
 
-def findings(feed: Feed, config: Config, rules: set[str]) -> list[DataFrame]:
-    """Findings of those rules, as parts of the notices table."""
-    if feed.fatal:
-        listed = [_found(feed.fatal, None)]
-        parts = []
-    else:
-        listed = member_findings(feed, config)
+def jobs(feed: Feed, config: Config, rules: set[str]) -> list:
+    """Functions that give findings of those rules as parts of the notices table: one for each table, and one for what the driver holds."""
+
+    def listed() -> list[DataFrame]:
+        found = [_found(feed.fatal, None)] if feed.fatal else member_findings(feed, config)
         for table, first in feed.first.items():
-            if table in COLUMNS:
-                listed += header_findings(table, first["cells"], first["bom"])
-        known_tables = [t for t in feed.rows if t in COLUMNS]
-        parts = [table_findings(t, feed, config) for t in known_tables] if rules & _OF_TABLES else []
-        parts += [row_findings(t, feed) for t in known_tables] if rules & {"ARC_018", "ARC_034"} else []
-    parts.append(feed.spark.createDataFrame(listed, SCHEMA))
-    return [p.filter(F.col("rule_id").isin(*sorted(rules))) for p in parts]
+            if table in COLUMNS and not feed.fatal:
+                found += header_findings(table, first["cells"], first["bom"])
+        return [feed.spark.createDataFrame([f for f in found if f[0] in rules], SCHEMA)]
+
+    def of(table: str) -> list[DataFrame]:
+        parts = [table_findings(table, feed, config)] if rules & _OF_TABLES else []
+        parts += [row_findings(table, feed)] if rules & {"ARC_018", "ARC_034"} else []
+        return [p.filter(F.col("rule_id").isin(*sorted(rules))) for p in parts]
+
+    return [listed, *(lambda table=t: of(table) for t in feed.rows if t in COLUMNS and not feed.fatal)]
 
 
 _OF_TABLES = set("ARC_002 ARC_003 ARC_009 ARC_012 ARC_013 ARC_021 ARC_022 ARC_026 ARC_030 ARC_032 ARC_033 ARC_035 ARC_037 DQ_016".split())

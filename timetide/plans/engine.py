@@ -193,7 +193,7 @@ class Run:
         for at in range(0, len(alone), PLANS_A_JOB):
             out.append(lambda own=alone[at : at + PLANS_A_JOB]: [self._alone(r) for r in own])
         if own := {r.rule_id for r in rules if r.kind == "archive"}:
-            out.append(lambda: archive.findings(self.feed, self.config, own))
+            out += archive.jobs(self.feed, self.config, own)
         return out
 
     def raw_notices(self, only: list[str] | None = None) -> DataFrame:
