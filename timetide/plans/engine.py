@@ -126,11 +126,23 @@ class Run:
 
         return _FROM.sub(one, sql)
 
-    def _row_rules(self, table: str, rules: list[Rule]) -> DataFrame:
-        """All row rules of a table in one pass: an array of the findings of each row, without nulls, exploded."""
+    def _row_findings(self, table: str, rules: list[Rule]) -> DataFrame:
+        """All row rules of a table, in a pass over its rows; findings that are there only because of blanks around cells are marked.
+
+        The rows with such cells, few as a rule, are written without the blanks and judged again.
+        """
+        found = self._row_rules(table, rules, self.views[table])
+        rows = self._kept(fused.trimmed(self.views[table]), "trimmed")
+        if rows.isEmpty():
+            return found
+        again = self._row_rules(table, rules, rows)
+        return fused.split_derived(found, rows.select(F.lit(f"{table}.txt").alias("file"), "line"), again)
+
+    def _row_rules(self, table: str, rules: list[Rule], rows: DataFrame) -> DataFrame:
+        """The findings of rows of a table: an array a row, without nulls, exploded."""
         header = self.feed.headers.get(table, [])
         cases = [row_case(r, header, self.config) for r in rules]
-        found = self.views[table].select("line", F.explode(F.expr(f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)")).alias("n")).select("line", "n.*")
+        found = rows.select("line", F.explode(F.expr(f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)")).alias("n")).select("line", "n.*")
         scope = F.when(~F.col("feed_level"), F.col("entity_id"))
         return found.select("rule_id", "entity_type", "entity_id", scope.alias("scope_key"), F.lit(f"{table}.txt").alias("file"), "line", "field", "observed_value", F.lit(1).cast("long").alias("instances"))
 
@@ -179,7 +191,7 @@ class Run:
         out, forms, alone = [], {}, []
         for table in ROWS:
             if own := [r for r in rules if r.kind == "row" and r.table == table]:
-                out.append(lambda table=table, own=own: [self._row_rules(table, own)])
+                out.append(lambda table=table, own=own: [self._row_findings(table, own)])
         for r in (r for r in rules if r.kind == "sql"):
             form = None if r.table == "*" else fused.form_of(r.plan[2])
             if form is None:
@@ -197,7 +209,10 @@ class Run:
         return out
 
     def raw_notices(self, only: list[str] | None = None) -> DataFrame:
-        """Every finding of the rules that run, before de-duplication: computed here, and read from the run's folder."""
+        """Every finding of the rules that run, before de-duplication: computed here, and read from the run's folder.
+
+        derived: true where only blanks around a cell make the finding.
+        """
         schema = ", ".join(f"{k} {v}" for k, v in fused.FOUND.items())
         folder = f"{self.folder}/found-{uuid.uuid4().hex}"
 
@@ -219,5 +234,15 @@ class Run:
         return self.feed.spark.createDataFrame(rows, "rule_id string, severity string, rule_class string, dedup string, base_effort int, score_weight int, blocks array<string>")
 
     def notices(self, only: list[str] | None = None) -> DataFrame:
-        """Notices as a feed reports them: summaries, and the first of each key of the other rules."""
-        return aggregates.collapse(self.raw_notices(only), self.rule_table())
+        """Notices as a feed reports them: summaries, and the first of each key of the other rules.
+
+        Findings that blanks around cells make are left out where their file has DQ_016, which tells of such cells; that notice
+        says how many they are and of which rules (`suppressed`, `suppressed_rules`).
+        """
+        raw = self.raw_notices(only)
+        roots = raw.filter("rule_id = 'DQ_016'").select("file").distinct().withColumn("root", F.lit(True))  # a row a file
+        told = raw.join(F.broadcast(roots), "file", "left").withColumn("hidden", F.coalesce(F.col("derived") & F.col("root"), F.lit(False)))
+        hidden = told.filter("hidden").groupBy("file").agg(F.count(F.lit(1)).alias("suppressed"), F.array_join(F.array_sort(F.collect_set("rule_id")), ", ").alias("suppressed_rules"))
+        shown = aggregates.collapse(told.filter("NOT hidden").drop("root", "hidden", "derived"), self.rule_table())
+        declared = hidden.withColumn("rule_id", F.lit("DQ_016"))  # a row a file
+        return shown.join(F.broadcast(declared), ["rule_id", "file"], "left").select(*shown.columns, "suppressed", "suppressed_rules")

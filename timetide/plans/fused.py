@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The columns of findings, and their kinds.
-FOUND = {"rule_id": "string", "entity_type": "string", "entity_id": "string", "scope_key": "string", "file": "string", "line": "bigint", "field": "string", "observed_value": "string", "instances": "bigint", "severity": "string", "affected": "bigint"}
+#: The columns of findings, and their kinds. derived: the finding is there only because of blanks around a cell.
+FOUND = {"rule_id": "string", "entity_type": "string", "entity_id": "string", "scope_key": "string", "file": "string", "line": "bigint", "field": "string", "observed_value": "string", "instances": "bigint", "severity": "string", "affected": "bigint", "derived": "boolean"}
 
 _ALONE = re.compile(r"\(SELECT|\bJOIN\b|\bOVER\b|\bDISTINCT\b|\bUNION\b|\bWITH\b|\bWINDOW\b|\bexplode\b|GROUP BY 1|FROM \w+ (?!WHERE|GROUP|HAVING)")
 _FORM = re.compile(r"SELECT (?P<id>.+?) AS id, (?P<seen>.+?) AS seen(?:, (?P<line>.+?) AS line)?(?P<own>, line)? FROM (?P<view>\w+)(?: WHERE (?P<where>.+?))?(?: GROUP BY (?P<keys>.+?))?(?: HAVING (?P<having>.+))?")
@@ -109,6 +109,24 @@ def _given(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")).rlike(r"[^\s\p{Z}]")
 
 
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def trimmed(table: DataFrame) -> DataFrame:
+    """The rows of a table that have blanks around a cell, without these."""
+    cells = [c for c in table.columns if c != "line"]
+    padded = F.concat_ws("\x00", *cells).rlike(r"(^|\x00)[\s\p{Z}]|[\s\p{Z}](\x00|$)")
+    return table.filter(padded).select("line", *[_trimmed(F.col(c)).alias(c) for c in cells])
+
+
+def split_derived(found: DataFrame, padded: DataFrame, again: DataFrame) -> DataFrame:
+    """found, where findings of padded rows (file, line) that the trimmed rows don't give again (rule_id, file, line) are derived."""
+    told = again.select("rule_id", "file", "line").distinct().withColumn("__again", F.lit(True))
+    rows = found.join(padded.select("file", "line").distinct().withColumn("__padded", F.lit(True)), ["file", "line"], "left").join(told, ["rule_id", "file", "line"], "left")
+    return rows.withColumn("derived", F.col("__padded").isNotNull() & F.col("__again").isNull()).drop("__padded", "__again")
+
+
 def _asked(table: DataFrame, rules: list[Keyed], sets: dict) -> DataFrame:
     """A row for each rule and row of a table whose key is given: rule_id, among, key, entity_id, line."""
     cases = []
@@ -139,7 +157,7 @@ def _notice(rows: DataFrame, rules: list[Keyed], line: str, instances: Column) -
     of = lambda i: F.create_map(*[F.lit(x) for k, v in told.items() for x in (k, v[i])])[F.col("rule_id")]
     return rows.select(
         "rule_id", of(0).alias("entity_type"), "entity_id", F.when(of(3), F.col("entity_id")).alias("scope_key"), of(1).alias("file"),
-        F.col(line).alias("line"), of(2).alias("field"), F.get("key", F.lit(0)).alias("observed_value"), instances.cast("long").alias("instances"),
+        F.col(line).alias("line"), of(2).alias("field"), F.get("key", F.lit(0)).alias("observed_value"), instances.cast("long").alias("instances"), "derived",
     )
 
 
@@ -160,8 +178,15 @@ def key_findings(views: Callable[[str], DataFrame], rules: list[Keyed], keep: Ca
     counted = together(union(lambda r: True)).groupBy("rule_id", "among", "key").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("first"))
     known = _known(views, sets)
     twice = counted.filter("among < 0 AND rows > 1")
-    bad = twice if known is None else counted.filter("among >= 0").join(known, ["among", "key"], "left_anti").unionByName(twice)
-    bad = keep(bad)
+    bad = keep(twice if known is None else counted.filter("among >= 0").join(known, ["among", "key"], "left_anti").unionByName(twice))
+    # A missing key that is there but for blanks around it, on either side.
+    bare = F.transform("key", _trimmed)
+    if known is None:
+        bad = bad.withColumn("derived", F.lit(False))
+    else:
+        meant = known.select("among", bare.alias("bare")).distinct().withColumn("found", F.lit(True))
+        bad = bad.withColumn("bare", bare).join(meant, ["among", "bare"], "left").withColumn("derived", F.coalesce("found", F.lit(False))).drop("bare", "found")
+        bad = keep(bad)
     once = [r for r in rules if r.once]
     out = []
     if once:
@@ -169,6 +194,6 @@ def key_findings(views: Callable[[str], DataFrame], rules: list[Keyed], keep: Ca
         out.append(_notice(lone, once, "first", F.col("rows")))
     if rest := [r for r in rules if not r.once]:
         rows = together(union(lambda r: not r.once))
-        back = rows.join(bad.select("rule_id", "key", "first"), ["rule_id", "key"]).filter("among >= 0 OR line > first")
+        back = rows.join(bad.select("rule_id", "key", "first", "derived"), ["rule_id", "key"]).filter("among >= 0 OR line > first")
         out.append(_notice(back, rest, "line", F.lit(1)))
     return out
