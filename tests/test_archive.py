@@ -96,10 +96,12 @@ def test_unreadable_and_oversized(spark, tmp_path):
     bad.write_bytes(b"no archive")
     run = Run(read_zip(spark, str(bad)), Config(today=TODAY))
     assert [r.rule_id for r in run.notices().collect()] == ["ARC_001"]
-    bomb = tmp_path / "bomb.zip"
-    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("stops.txt", b"\0" * (8 << 20))
-    feed = read_zip(spark, str(bomb))
-    assert feed.fatal == "ARC_029" or sum(m["bytes"] for m in feed.members) < 1000 * bomb.stat().st_size
+    for name, text, fatal in (("bomb.zip", "\0" * (17 << 20), "ARC_029"), ("small.zip", "\0" * (15 << 20), None)):
+        bomb = tmp_path / name
+        with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("shapes.dat", text)
+        assert bomb.stat().st_size * 500 < len(text)
+        feed = read_zip(spark, str(bomb))
+        assert feed.fatal == fatal
 
 

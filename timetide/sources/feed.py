@@ -27,8 +27,9 @@ SCHEMA = "file string, line long, cells array<string>, bom boolean, valid boolea
 
 #: Longest cell that is read, in characters.
 MOST_CHARS = 1 << 28
-#: An archive that would unpack to more bytes, or to more than so many times its packed size (from 1 MB on), isn't read.
-MOST_BYTES, MOST_RATIO = 1 << 40, 1000
+# An archive isn't read if it, or one entry, unpacks to more bytes, or an entry beyond a size to more than so many times its
+# packed size. Sizes are those of the directory; zipfile never unpacks an entry beyond its size there.
+MOST_BYTES, MOST_ENTRY, RATIO_FROM, MOST_RATIO = 16 << 30, 12 << 30, 16 << 20, 100
 #: The column of `Feed.rows` that tells how a row came: number of cells, kind (data, empty, header), valid, quoting, bare_cr.
 #: Names of columns are stripped, so none clashes with it.
 ROW = " row"
@@ -55,9 +56,8 @@ def members_of(path: str) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(path) as z, open(path, "rb") as f:
             infos = z.infolist()
-            packed = sum(i.compress_size for i in infos)
             size = sum(i.file_size for i in infos)
-            if size > MOST_BYTES or (size > 1 << 20 and size > MOST_RATIO * max(packed, 1)):
+            if size > MOST_BYTES or any(i.file_size > MOST_ENTRY or i.file_size > max(RATIO_FROM, MOST_RATIO * i.compress_size) for i in infos):
                 yield "", size, ["bomb"], False, True, None, False
                 return
             tables = dict(entries_of([i.filename for i in infos]))
@@ -87,7 +87,9 @@ class ZipReader(DataSourceReader):
         with zipfile.ZipFile(self.path) as z:
             return [Entry(n, own) for n, own in entries_of(z.namelist()) if self.entry in (None, own)]
 
-    def read(self, partition: Entry) -> Iterator[tuple]:
+    def read(self, partition: Entry | None) -> Iterator[tuple]:
+        if partition is None:  # an archive without tables
+            return
         if self.members:
             yield from members_of(self.path)
             return
