@@ -24,7 +24,7 @@ from timetide.plans.config import Config
 from timetide.sources.feed import Feed
 
 VIEW = "tt_"
-_NAMES = {*views.COLUMNS, *views.TYPED, "near", "walked", "joined"}
+_NAMES = {*views.COLUMNS, *views.TYPED, "near", "walked", "joined", "unmatched", "recorded", "stations_near"}
 _FROM = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")\b")
 
 
@@ -104,6 +104,12 @@ class Run:
                 df = views.walked(self.views["pathways"], self.views["places"])
             elif name == "joined":
                 df = views.joined(self.views["legs"])
+            elif name == "unmatched":
+                df = views.unmatched(self.feed, self.views.__getitem__)
+            elif name == "recorded":
+                df = views.recorded(self.views.__getitem__)
+            elif name == "stations_near":
+                df = views.stations_near(self.views["places"])
             else:
                 df = self._query(views.typed(views.TYPED[name]))
             df = self._kept(df, name)

@@ -201,4 +201,15 @@ QUERIES = {
     "VAT_008 IAE2 trips.txt shape_id tr": "WITH c AS (SELECT shape_id, count(DISTINCT route_id) AS n FROM tr WHERE shape_id IS NOT NULL GROUP BY shape_id), t AS (SELECT count(DISTINCT route_id) AS total FROM tr) SELECT shape_id AS id, n AS seen FROM c CROSS JOIN t WHERE total >= 3 AND n >= 3 AND n > ceil(0.3 * total)",
     "VAT_002 IAE3 stops.txt stop_id tr st near transfers": "WITH r AS (SELECT DISTINCT stop_id, route_id FROM st JOIN tr USING (trip_id)), h AS (SELECT stop_id, count(*) AS n FROM r GROUP BY stop_id HAVING count(*) >= 4) SELECT h.stop_id AS id, n AS seen FROM h JOIN places USING (stop_id) WHERE parent_station IS NULL AND h.stop_id NOT IN (SELECT from_stop_id FROM transfers WHERE from_stop_id IS NOT NULL UNION ALL SELECT to_stop_id FROM transfers WHERE to_stop_id IS NOT NULL)",
     "VAT_003 LAE3 stop_times.txt arrival_time spans tr": "WITH d AS (SELECT trip_id, concat_ws('|', route_id, shape_id, first_stop, last_stop, n) AS pattern, last_arr - first_dep AS duration FROM spans JOIN tr USING (trip_id) WHERE n > 1 AND last_arr >= first_dep), m AS (SELECT pattern, median(duration) AS mid FROM d GROUP BY pattern HAVING count(*) >= 5 AND median(duration) >= 120), s AS (SELECT d.pattern, median(abs(duration - mid)) * 1.4826 AS mad FROM d JOIN m ON d.pattern = m.pattern GROUP BY d.pattern) SELECT trip_id AS id, duration AS seen FROM d JOIN m ON d.pattern = m.pattern JOIN s ON d.pattern = s.pattern WHERE abs(duration - mid) >= 300 AND abs(duration - mid) > duration_outlier_sigma * mad",
-}
+    "TRN_016 MSF1 translations.txt field_value translations": "SELECT NULL AS id, count(*) AS seen FROM unmatched HAVING count(*) > 0",
+    "XFL_014 MQF1 translations.txt record_id translations": "SELECT NULL AS id, count(DISTINCT t.table_name, t.record_id) AS seen FROM translations t LEFT ANTI JOIN recorded r ON r.table_name = t.table_name AND r.record_id = t.record_id WHERE given(t.record_id) AND t.table_name IN ('agency', 'stops', 'routes', 'trips', 'calendar', 'levels', 'pathways', 'fare_attributes', 'attributions') HAVING count(*) > 0",
+    "XFL_016 HSF1 translations.txt table_name translations": "SELECT NULL AS id, count(*) AS seen FROM translations WHERE table_name = 'feed_info' AND (SELECT count(*) FROM feed_info) = 0 HAVING count(*) > 0",
+    "TRF_014 HSR2 transfers.txt from_trip_id transfers trips stop_times": "SELECT trip AS id, trip AS seen, line FROM (SELECT line, explode(array(from_trip_id, to_trip_id)) AS trip FROM transfers WHERE oneof(transfer_type, 4, 5)) x WHERE trip IN (SELECT trip_id FROM trips) AND NOT EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = x.trip)",
+    "RTS_025 IQE1 routes.txt agency_id routes": "SELECT route_id AS id, NULL AS seen FROM routes WHERE blank(agency_id) AND (SELECT count(*) FROM agency) = 0",
+    # A headsign that names a stop on the way: not its last one, on no circle, and passed once.
+    "TRP_020 IAE1 trips.txt trip_headsign trips stop_times stops": "WITH s AS (SELECT st.trip_id, st.stop_id, lower(p.stop_name) AS name, IF(blank(p.parent_station), p.stop_id, p.parent_station) AS station, st.seq, st.line FROM st JOIN stops p ON p.stop_id = st.stop_id), o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS i, count(*) OVER (PARTITION BY trip_id) AS n, first_value(station) OVER w AS first, last_value(station) OVER w AS last, coalesce(lag(station) OVER (PARTITION BY trip_id ORDER BY seq, line) <> station, true) AS arrives FROM s WINDOW w AS (PARTITION BY trip_id ORDER BY seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), v AS (SELECT *, count_if(arrives) OVER (PARTITION BY trip_id, station) AS visits FROM o) SELECT v.trip_id AS id, v.stop_id AS seen FROM v JOIN trips t ON t.trip_id = v.trip_id WHERE given(t.trip_headsign) AND v.name = lower(t.trip_headsign) AND i > 1 AND i < n AND first <> last AND visits = 1",
+    # The nearest station, by distance and id; two stations one of which has a stop of the other upon it.
+    "STP_046 LQE10 stops.txt parent_station stations_near places": "SELECT stop_id AS id, min_by(station, struct(metres, station)) AS seen FROM stations_near WHERE parent_station IS NULL GROUP BY stop_id",
+    "STP_047 LQE10 stops.txt parent_station stations_near places": "SELECT min_by(parent_station, line) AS id, min_by(station, line) AS seen FROM (SELECT n.*, km(a.lat, a.lon, b.lat, b.lon) * 1000 AS apart FROM stations_near n JOIN places a ON a.stop_id = n.parent_station AND a.location_type = 1 JOIN places b ON b.stop_id = n.station WHERE n.station <> n.parent_station AND NOT (abs(a.lat) < 0.1 AND abs(a.lon) < 0.1)) WHERE apart >= stop_too_close_m AND apart <= 150 GROUP BY least(parent_station, station), greatest(parent_station, station)",
+}
+  # fmt: skip
