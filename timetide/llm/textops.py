@@ -61,7 +61,7 @@ _LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
 #: The digests of words that a worker keeps, for the key that it used last.
 _digests: dict[bytes, bytes] = {}
 _digests_of = [b""]
-MOST_DIGESTS = 300_000
+MOST_DIGESTS = 40_000
 
 
 def _long_hashes(words: list[bytes], key: Key, which: int) -> np.ndarray:
