@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from timetide.llm.textops import doc_id_type, map_texts, texts_of
 
 SHORT = 48
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 400_000
 NONE = np.int32(1 << 30)
 
 # The white space and the pieces of the byte-level pre-tokenizer.
