@@ -6,7 +6,9 @@ contiguous array of parts, beside an array of the ranks of adjacent parts. The m
 found by a scan, its boundary deleted, and the two neighbouring ranks refreshed, until no pair has a rank.
 Words over `SHORT` bytes take a heap over linked parts, which merges in the same order.
 
-Cases: a null text counts as empty (no tokens); repeated rows give repeated rows; other columns are ignored.
+Cases: a null text counts as empty (no tokens); very long texts are encoded whole, alone in their block, and very long
+words by the heap, in memory that grows with the word; an empty table gives no rows; repeated rows give repeated rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

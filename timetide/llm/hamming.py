@@ -9,7 +9,8 @@ ids (no other can be among the first k, as ties go by id), so a hot code costs o
 Radii grow by exploding probes: a probe with its highest changed bit j yields those that also change one bit above j.
 
 Cases: rows with a null id or a null or empty embedding have no code, are in no answer and ask nothing; equal ids with
-equal codes count once; a table of fewer than k rows gives all of them; more than 64 dimensions raise ValueError.
+equal codes count once; a table of fewer than k rows gives all of them; more than 64 dimensions raise ValueError;
+extra columns are ignored; an empty table, or none that asks, gives an empty result.
 """
 
 from __future__ import annotations

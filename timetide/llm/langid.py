@@ -7,7 +7,9 @@ over the whole text. A part of the sample that the fit doesn't see sets the soft
 confidence under which a text is rejected, so that accepted ones are right at the rate asked for.
 
 Cases: a null text, or one without a letter, gets `und`, score 0 and is not accepted; a text with letters but no
-3-gram gets the prior's answer; repeated rows get equal answers; no labelled row at all gives `und` everywhere.
+3-gram gets the prior's answer; repeated rows get equal answers; no labelled row at all gives `und` everywhere;
+very long texts are read whole, alone in their block, when they are judged, and in pieces from all over them when the model
+learns; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

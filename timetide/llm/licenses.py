@@ -10,7 +10,8 @@ A band can only agree where the window holds the shingle that gives the template
 beforehand, so texts and windows without any of them are passed over before signatures are computed; no meeting is lost.
 
 Cases: null, empty and short texts have no shingle and no row; equal rows give equal rows only once a doc_id (results
-are by doc_id and template; a null id is an id); extra columns are ignored; an empty table gives an empty result.
+are by doc_id and template; a null id is an id); extra columns are ignored; very long texts are scanned
+whole, their windows being rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
