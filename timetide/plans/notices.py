@@ -190,6 +190,33 @@ def fix_queue(found: DataFrame, rules: DataFrame) -> DataFrame:
     return q.select("rule_id", "severity", "affected", "dependents", "fix_effort", F.round(priority, 2).alias("priority"))
 
 
+def score_deltas(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_id, score_delta, publish_delta of every rule of the fix queue: by how much the overall score and that for publishing
+    would rise without its notices that nothing else causes and without all that these cause.
+
+    Instances are counted by rule and scope once, so the new sums are the old ones less what a root takes from each rule:
+    a row a pair of rules. A rule that keeps some instances keeps their penalty. For publishing, the penalty of the
+    instances that go is taken off.
+    """
+    each = found.groupBy("rule_id", F.coalesce("scope_key", F.lit("")).alias("scope")).agg(F.sum("instances").alias("n"))
+    effects = caused(found, rules).select("rule_id", "scope").distinct()
+    roots = each.join(effects, ["rule_id", "scope"], "left_anti").select(F.col("rule_id").alias("root_rule"), F.col("scope").alias("root_scope"))
+    own = roots.select("root_rule", F.col("root_rule").alias("rule_id"), F.col("root_scope").alias("scope"))
+    further = closure(found, rules).join(roots, ["root_rule", "root_scope"], "left_semi").select("root_rule", "rule_id", "scope")
+    taken = own.unionByName(further).distinct().join(each, ["rule_id", "scope"]).groupBy("root_rule", "rule_id").agg(F.sum("n").alias("taken"))
+    p = penalties(found, rules).select("rule_id", "rule_class", "severity", "instances", "penalty", (F.col("penalty") / multiplier(F.col("instances"))).alias("weight"))
+    for_publishing = (F.col("rule_class") == "Spec") & (F.col("severity") == "Critical")
+    sums = p.agg(*[F.coalesce(F.sum(F.when(flag, F.col("penalty"))), F.lit(0.0)).alias(c) for c, flag in [*((c, F.col("rule_class") == c) for c in CLASS_WEIGHTS), ("publish", for_publishing)]]).first()
+    left = F.when(F.col("instances") > F.col("taken"), F.col("weight") * multiplier(F.col("instances") - F.col("taken"))).otherwise(0.0)
+    less = taken.join(F.broadcast(p), "rule_id").withColumns({"less": F.col("penalty") - left, "gone": F.col("weight") * multiplier(F.col("taken"))})  # one row a rule
+    by_class = [F.coalesce(F.sum(F.when(F.col("rule_class") == c, F.col("less"))), F.lit(0.0)).alias(c) for c in CLASS_WEIGHTS]
+    told = less.groupBy(F.col("root_rule").alias("rule_id")).agg(*by_class, F.coalesce(F.sum(F.when(for_publishing, F.col("gone"))), F.lit(0.0)).alias("publish"))
+    score = lambda x: F.lit(100.0 * DECAY) / (DECAY + x)
+    rise = sum((w * (score(F.lit(sums[c]) - F.col(c)) - score(F.lit(sums[c]))) for c, w in CLASS_WEIGHTS.items()), F.lit(0.0))
+    publish = score(F.greatest(F.lit(sums["publish"]) - F.col("publish"), F.lit(0.0))) - score(F.lit(sums["publish"]))
+    return told.select("rule_id", F.round(rise, 1).alias("score_delta"), F.round(publish, 1).alias("publish_delta"))
+
+
 def publishable(found: DataFrame, rules: DataFrame) -> DataFrame:
     """One row: publishable, blocking (rules of class Spec and severity Critical that have notices).
 

@@ -446,6 +446,26 @@ def fix_queue(t: Tables) -> DataFrame:
     return N.fix_queue(_notices(t), _rules(t))
 
 
+_PUBLISHING = "rule_class = 'Spec' AND severity = 'Critical'"
+_RISE = " + ".join(f"{w}::DOUBLE * (5000::DOUBLE / (50 + s.{c} - d.{c}) - 5000::DOUBLE / (50 + s.{c}))" for c, w in N.CLASS_WEIGHTS.items())
+
+
+@query("q_score_deltas", f"""
+WITH RECURSIVE {_N}, {_PAIRS}, reach(root_rule, root_scope, rule_id, scope) AS (SELECT * FROM caused UNION SELECT a.root_rule, a.root_scope, b.rule_id, b.scope FROM reach a JOIN caused b ON a.rule_id = b.root_rule AND a.scope = b.root_scope),
+e AS (SELECT rule_id, coalesce(scope_key, '') AS scope, sum(instances)::BIGINT AS i FROM n GROUP BY 1, 2),
+f AS (SELECT rule_id AS root_rule, scope AS root_scope FROM e ANTI JOIN caused USING (rule_id, scope)),
+m AS (SELECT root_rule, root_rule AS rule_id, root_scope AS scope FROM f UNION SELECT root_rule, rule_id, scope FROM reach JOIN f USING (root_rule, root_scope)),
+k AS (SELECT root_rule, rule_id, sum(i)::BIGINT AS taken FROM m JOIN e USING (rule_id, scope) GROUP BY 1, 2),
+p AS (SELECT rule_id, rule_class, severity, instances, {_SEV} * score_weight AS w, (w * {_MULT.format('instances')})::DOUBLE AS penalty FROM (SELECT rule_id, sum(instances)::BIGINT AS instances FROM n GROUP BY 1) JOIN r USING (rule_id)),
+s AS (SELECT {', '.join(f"coalesce(sum(penalty) FILTER (WHERE rule_class = '{c}'), 0) AS {c}" for c in N.CLASS_WEIGHTS)}, coalesce(sum(penalty) FILTER (WHERE {_PUBLISHING}), 0) AS publish FROM p),
+x AS (SELECT root_rule, rule_class, severity, penalty - CASE WHEN instances > taken THEN w * {_MULT.format('(instances - taken)')} ELSE 0 END::DOUBLE AS less, (w * {_MULT.format('taken')})::DOUBLE AS gone FROM k JOIN p USING (rule_id)),
+d AS (SELECT root_rule AS rule_id, {', '.join(f"coalesce(sum(less) FILTER (WHERE rule_class = '{c}'), 0) AS {c}" for c in N.CLASS_WEIGHTS)}, coalesce(sum(gone) FILTER (WHERE {_PUBLISHING}), 0) AS publish FROM x GROUP BY 1)
+SELECT rule_id, round({_RISE}, 1) AS score_delta, round(5000::DOUBLE / (50 + greatest(s.publish - d.publish, 0)) - 5000::DOUBLE / (50 + s.publish), 1) AS publish_delta FROM d, s
+""")
+def score_deltas(t: Tables) -> DataFrame:
+    return N.score_deltas(_notices(t), _rules(t))
+
+
 @query("q_publishable", f"WITH {_N} SELECT count(*) = 0 AS publishable, count(*) AS blocking FROM (SELECT DISTINCT rule_id FROM n) JOIN r USING (rule_id) WHERE rule_class = 'Spec' AND severity = 'Critical'")
 def publishable(t: Tables) -> DataFrame:
     return N.publishable(_notices(t), _rules(t))
