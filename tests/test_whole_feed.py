@@ -57,15 +57,18 @@ def test_whole_notices_of_an_archive(spark, tmp_path):
     with zipfile.ZipFile(path, "w") as z:
         for name, text in BASE.items():
             z.writestr(name, text)
-    run = Run(read_zip(spark, str(path)), Config(today=TODAY))
+    feed = read_zip(spark, str(path))
+    run = Run(feed, Config(today=TODAY))
     text = lambda v: "-" if v is None else str(v)
     got = sorted(" ".join(map(text, (r.rule_id, r.entity_id, r.file, r.line, r.field, r.observed_value))) for r in run.notices().collect())
     assert got == sorted(CLEAN.strip().splitlines())
     folder = spark._jvm.org.apache.hadoop.fs.Path(run.folder)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    assert files.exists(folder)
+    kept = spark._jvm.org.apache.hadoop.fs.Path(feed.folder)
+    assert files.exists(folder) and files.exists(kept)
     run.close()
-    assert not files.exists(folder)
+    feed.close()
+    assert not files.exists(folder) and not files.exists(kept)
 
 
 def test_every_rule_runs_together(spark):

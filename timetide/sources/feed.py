@@ -14,6 +14,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from timetide.operators.lineage import ready
+from timetide.operators.lineage import ready, remove
 
 SCHEMA = "file string, line long, cells array<string>, bom boolean, valid boolean, quoting string, bare_cr boolean"
 
@@ -30,6 +31,8 @@ MOST_CHARS = 1 << 28
 # An archive isn't read if it, or one entry, unpacks to more bytes, or an entry beyond a size to more than so many times its
 # packed size. Sizes are those of the directory; zipfile never unpacks an entry beyond its size there.
 MOST_BYTES, MOST_ENTRY, RATIO_FROM, MOST_RATIO = 16 << 30, 12 << 30, 16 << 20, 100
+#: Tables that are unpacked side by side.
+TABLES = 8
 #: The column of `Feed.rows` that tells how a row came: number of cells, kind (data, empty, header), valid, quoting, bare_cr.
 #: Names of columns are stripped, so none clashes with it.
 ROW = " row"
@@ -167,7 +170,7 @@ class Feed:
 
     rows: all rows of a table, empty and repeated header rows too, with the column ROW. first: the header row of each table
     as it was written. members: the entries of the archive (None where there is none). fatal: the rule that keeps the
-    archive from being read.
+    archive from being read. folder: where the tables are kept.
     """
 
     spark: SparkSession
@@ -178,6 +181,12 @@ class Feed:
     first: dict[str, dict] = field(default_factory=dict)
     members: list[dict] | None = None
     fatal: str | None = None
+    folder: str | None = None
+
+    def close(self) -> None:
+        """Remove the tables that `read_zip` has kept; the feed and runs over it can't be read after that."""
+        if self.folder:
+            remove(self.spark, self.folder)
 
     def has(self, table: str, column: str | None = None) -> bool:
         return table in self.tables and (column is None or column in self.headers[table])
@@ -219,14 +228,19 @@ def read_zip(spark: SparkSession, path: str, keep: bool = True) -> Feed:
     headers = {k: [c.strip() for c in r["cells"]] for k, r in first.items()}
     if keep:
         ready(spark)
-    folder, rows = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}", {}
-    for name, columns in headers.items():
+    folder = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}" if keep else None
+
+    def table_of(item: tuple[str, list[str]]) -> tuple[str, DataFrame]:
+        name, columns = item
         table = _table(source(entry=f"{name}.txt").filter(F.col("line") > 1), columns)
         if keep:
             table.write.parquet(f"{folder}/{name}")
             table = spark.read.schema(table.schema).parquet(f"{folder}/{name}")
-        rows[name] = table
-    return Feed(spark, {k: _data(v) for k, v in rows.items()}, headers, source(), rows, first, members)
+        return name, table
+
+    with ThreadPoolExecutor(TABLES) as pool:  # a job a table, side by side
+        rows = dict(pool.map(table_of, headers.items()))
+    return Feed(spark, {k: _data(v) for k, v in rows.items()}, headers, source(), rows, first, members, folder=folder)
 
 
 def from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> Feed:
