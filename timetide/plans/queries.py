@@ -76,8 +76,8 @@ QUERIES = {
     "XFL_013 HQE2 trips.txt shape_id tr": "SELECT shape_id AS id, NULL AS seen FROM tr WHERE shape_id IS NOT NULL AND direction_id IN (0, 1) GROUP BY shape_id HAVING min(direction_id) <> max(direction_id)",
     # Stop times
     "STM_008 CIE2 stop_times.txt arrival_time st": "SELECT trip_id AS id, min(line) AS seen FROM (SELECT trip_id, line, arr, max(dep) OVER (PARTITION BY trip_id ORDER BY seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) WHERE arr < reached GROUP BY trip_id",
-    "STM_012 HIR2 stop_times.txt arrival_time legs": "SELECT trip_id AS id, round(distance / (arr - dep) * 3600, 1) AS seen FROM legs WHERE (arr > dep AND distance / (arr - dep) * 3600 > 700) OR (arr = dep AND arr % 60 = 0 AND distance > limit / 60)",
-    "STM_014 HAE3 stop_times.txt arrival_time legs": "SELECT concat_ws('|', route_id, direction_id, stop_a, stop_b) AS id, round(max(distance / (arr - dep) * 3600), 1) AS seen FROM legs WHERE arr > dep AND distance / (arr - dep) * 3600 > limit AND distance / (arr - dep) * 3600 <= 700 GROUP BY route_id, direction_id, stop_a, stop_b",
+    "STM_012 HIR2 stop_times.txt arrival_time legs": "SELECT trip_id AS id, round(try_divide(distance, arr - dep) * 3600, 1) AS seen FROM legs WHERE (arr > dep AND try_divide(distance, arr - dep) * 3600 > 700) OR (arr = dep AND arr % 60 = 0 AND distance > limit / 60)",
+    "STM_014 HAE3 stop_times.txt arrival_time legs": "SELECT concat_ws('|', route_id, direction_id, stop_a, stop_b) AS id, round(max(try_divide(distance, arr - dep) * 3600), 1) AS seen FROM legs WHERE arr > dep AND try_divide(distance, arr - dep) * 3600 > limit AND try_divide(distance, arr - dep) * 3600 <= 700 GROUP BY route_id, direction_id, stop_a, stop_b",
     "STM_015 CSR2 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS n FROM st) WHERE n = 1 AND arr_absent AND NOT window",
     "STM_016 CSR2 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq DESC, line DESC) AS n FROM st) WHERE n = 1 AND arr_absent AND NOT window",
     "STM_017 MQR30 stop_times.txt shape_dist_traveled st tr": "SELECT trip_id AS id, count(*) AS seen FROM st JOIN tr USING (trip_id) WHERE shape_id IS NOT NULL AND route_type <> 2 AND stop_id IS NOT NULL AND dist IS NULL GROUP BY trip_id",
@@ -100,7 +100,7 @@ QUERIES = {
     "PDW_006 MAE2 stop_times.txt start_pickup_drop_off_window stop_times": "SELECT trip_id AS id, line AS seen FROM (SELECT trip_id, line, sec(start_pickup_drop_off_window) AS a, max(sec(end_pickup_drop_off_window)) OVER (PARTITION BY trip_id, coalesce(location_id, location_group_id) ORDER BY sec(start_pickup_drop_off_window), line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM stop_times WHERE given(location_id) OR given(location_group_id)) WHERE a < busy",
     "OPR_006 HAE3 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n < 2",
     "OPR_007 IAE30 stop_times.txt stop_id st": "SELECT trip_id AS id, stop_id AS seen FROM (SELECT trip_id, stop_id, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS i, count(*) OVER (PARTITION BY trip_id) AS n FROM st) GROUP BY trip_id, stop_id HAVING count(*) > 1 AND NOT (count(*) = 2 AND min(i) = 1 AND max(i) = max(n)) AND max(i) - min(i) >= count(*)",
-    "OPR_008 IAE30 stop_times.txt arrival_time legs": "SELECT trip_id AS id, count(*) AS seen FROM legs WHERE arr > dep AND distance / (arr - dep) * 3600 > limit GROUP BY trip_id HAVING count(*) > 1",
+    "OPR_008 IAE30 stop_times.txt arrival_time legs": "SELECT trip_id AS id, count(*) AS seen FROM legs WHERE arr > dep AND try_divide(distance, arr - dep) * 3600 > limit GROUP BY trip_id HAVING count(*) > 1",
     "OPR_009 IAE2 stop_times.txt departure_time spans tr": "SELECT route_id AS id, count(*) AS seen FROM spans JOIN tr USING (trip_id) WHERE first_dep >= 82800 OR first_dep < service_day_start_hour * 3600 GROUP BY route_id",
     "OPR_017 MAE2 stop_times.txt trip_id legs": "SELECT trip_id AS id, round(sum(distance), 3) AS seen FROM legs GROUP BY trip_id HAVING sum(distance) > 0 AND sum(distance) < 0.1",
     "OPR_025 HAF2 stop_times.txt departure_time spans": "SELECT NULL AS id, round(avg(last_arr - first_dep), 1) AS seen FROM spans WHERE n > 1 HAVING count(*) >= 5 AND avg(last_arr - first_dep) < 60",
@@ -131,7 +131,7 @@ QUERIES = {
     "OPR_019 IAE2 calendar.txt service_id active tr": "SELECT route_id AS id, count(*) AS seen FROM (SELECT route_id, date FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN active USING (service_id) LEFT JOIN (SELECT service_id, day(date) AS date, 1 AS hit FROM calendar_dates) e USING (service_id, date) GROUP BY route_id, date HAVING count(DISTINCT service_id) > 1 AND count(hit) = 0) GROUP BY route_id",
     "OPR_020 LAE2 calendar_dates.txt date active tr calendar_dates": "SELECT route_id AS id, count(*) AS seen FROM (SELECT route_id, date FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN active USING (service_id) LEFT JOIN (SELECT service_id, day(date) AS date, 1 AS hit FROM calendar_dates) e USING (service_id, date) GROUP BY route_id, date HAVING count(DISTINCT service_id) > 1 AND count(hit) > 0) GROUP BY route_id",
     "OPR_024 IAE1 trips.txt trip_id tr": "SELECT route_id AS id, count(*) AS seen FROM tr GROUP BY route_id, service_id HAVING count(*) > max_trips_per_route",
-    "OPR_001 MAE3 stop_times.txt departure_time spans tr": "WITH d AS (SELECT DISTINCT route_id, direction_id, service_id, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL), g AS (SELECT *, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM d) SELECT route_id AS id, max(gap) AS seen FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id HAVING max(gap) > max_headway_warning_min * 60 AND stddev_pop(gap) / avg(gap) >= 0.25",
+    "OPR_001 MAE3 stop_times.txt departure_time spans tr": "WITH d AS (SELECT DISTINCT route_id, direction_id, service_id, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL), g AS (SELECT *, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM d) SELECT route_id AS id, max(gap) AS seen FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id HAVING max(gap) > max_headway_warning_min * 60 AND try_divide(stddev_pop(gap), avg(gap)) >= 0.25",
     "OPR_003 LAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, first_stop, pattern, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id, first_stop, pattern ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, first_stop, coalesce(shape_id, last_stop) AS pattern, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL)) SELECT route_id AS id, min(gap) AS seen FROM g WHERE gap > 0 GROUP BY route_id, direction_id, service_id, first_stop, pattern HAVING min(gap) < bunching_threshold_min * 60",
     "OPR_005 IAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, route_type, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, route_type, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL)), a AS (SELECT route_id, route_type, avg(gap) AS mean FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id, route_type), m AS (SELECT route_type, median(mean) AS mid, count(*) AS n FROM a GROUP BY route_type HAVING count(*) >= 5), s AS (SELECT a.route_type, median(abs(mean - mid)) * 1.4826 AS mad FROM a JOIN m ON a.route_type = m.route_type GROUP BY a.route_type) SELECT route_id AS id, round(mean, 1) AS seen FROM a JOIN m ON a.route_type = m.route_type JOIN s ON a.route_type = s.route_type WHERE IF(mad >= 30, abs(mean - mid) > headway_outlier_sigma * mad, mean > 2 * mid OR mean < 0.5 * mid)",
     "OPR_014 MAF2 transfers.txt min_transfer_time transfers": "SELECT NULL AS id, round(avg(uint(min_transfer_time)), 1) AS seen FROM transfers WHERE oneof(transfer_type, 2) HAVING avg(uint(min_transfer_time)) > 600",
@@ -139,7 +139,7 @@ QUERIES = {
     "SHP_005 CSR2 shapes.txt shape_dist_traveled pts": "SELECT shape_id AS id, NULL AS seen, min(line) AS line FROM pts WHERE dist < dist_before GROUP BY shape_id",
     "SHP_006 LQE2 shapes.txt shape_id pts tr": "SELECT shape_id AS id, count(*) AS seen FROM pts WHERE shape_id IN (SELECT shape_id FROM tr) GROUP BY shape_id HAVING count(*) = 1",
     "SHP_010 LQE1 shapes.txt shape_pt_lat pts": "SELECT shape_id AS id, count(*) AS seen FROM pts WHERE abs(lat - lat_before) < 1e-9 AND abs(lon - lon_before) < 1e-9 GROUP BY shape_id",
-    "SHP_015 MQE2 shapes.txt shape_pt_sequence pts": "SELECT shape_id AS id, count(*) AS seen FROM pts GROUP BY shape_id HAVING sum(distance) > 1 AND count(*) / (sum(distance) / 10) < 2",
+    "SHP_015 MQE2 shapes.txt shape_pt_sequence pts": "SELECT shape_id AS id, count(*) AS seen FROM pts GROUP BY shape_id HAVING sum(distance) > 1 AND try_divide(count(*), sum(distance) / 10) < 2",
     "SHP_019 MQE2 shapes.txt shape_id pts tr spans": "SELECT shape_id AS id, NULL AS seen FROM (SELECT DISTINCT shape_id FROM pts) JOIN tr USING (shape_id) LEFT JOIN (SELECT trip_id AS t FROM spans) ON t = trip_id GROUP BY shape_id HAVING count(t) = 0",
     "SHP_023 MQE2 shapes.txt shape_dist_traveled pts": "SELECT shape_id AS id, count(*) AS seen FROM pts WHERE abs(dist - dist_before) < 1e-9 AND lat = lat_before AND lon = lon_before GROUP BY shape_id",
     "SHP_025 MQE2 stop_times.txt shape_dist_traveled st tr pts": "WITH m AS (SELECT shape_id, max(dist) AS most FROM pts GROUP BY shape_id), t AS (SELECT trip_id, max(dist) AS most FROM st GROUP BY trip_id) SELECT min(trip_id) AS id, tr.shape_id AS seen FROM t JOIN tr USING (trip_id) JOIN m ON m.shape_id = tr.shape_id WHERE t.most > m.most * 1.001 GROUP BY tr.shape_id",
