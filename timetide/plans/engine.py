@@ -44,7 +44,7 @@ def row_case(r: Rule, header: list[str], config: Config) -> str:
 
 
 #: Plans of their own in one job, and jobs that run side by side.
-PLANS_A_JOB, JOBS = 6, 6
+PLANS_A_JOB, JOBS = 6, 12
 
 
 class _Views(dict):
