@@ -52,18 +52,24 @@ def jaccard_pairs(df: DataFrame, within: str, who: str, item: str, least: float)
     """within, a, b, shared, jaccard: pairs a < b of one block whose item sets have at least that similarity (above 0).
 
     Sets that are so similar share one of their rarest items: with items ordered from rare to common, an item of the first
-    size - ceil(least * size) + 1 of both. Only those are joined; the pairs found are then counted over the whole sets.
+    size - ceil(least * size) + 1 of both. Only those are joined. What two sets share there is counted, and as all sets order
+    items alike, the rest can only follow the last of them: pairs that can't come up to the overlap with all that follows are
+    passed over, and only the items that follow are joined for the others.
     """
     sets = df.select(F.col(within).alias("block"), F.col(who).alias("who"), F.col(item).alias("item")).distinct()
     held = sets.groupBy("block", "item").agg(F.count(F.lit(1)).alias("holders"))
     own = Window.partitionBy("block", "who")
     ranked = sets.join(held, ["block", "item"]).withColumns({"place": F.row_number().over(own.orderBy("holders", "item")), "size": F.count(F.lit(1)).over(own)})
+    of = lambda rows, x: rows.select("block", "item", F.col("who").alias(x), F.col("place").alias(f"place_{x}"), F.col("size").alias(f"size_{x}"))
     # A little below the least overlap, as it is rounded.
     rare = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).filter("holders > 1")
-    left, right = (rare.select("block", "item", F.col("who").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (least - 1e-9)
-    pairs = left.join(right, ["block", "item"]).filter((F.col("a") < F.col("b")) & fits).select("block", "a", "b", "size_a", "size_b").distinct()
-    of = lambda x: sets.select("block", F.col("who").alias(x), "item")
-    shared = pairs.join(of("a"), ["block", "a"]).join(of("b"), ["block", "b", "item"]).groupBy("block", "a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
+    seen = of(rare, "a").join(of(rare, "b"), ["block", "item"]).filter((F.col("a") < F.col("b")) & fits).groupBy("block", "a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    follow = F.least(F.col("size_a") - F.col("last_a"), F.col("size_b") - F.col("last_b"))
+    pairs = seen.filter(F.col("n") + follow >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - 1e-6)
+    after = lambda x: of(ranked, x).drop(f"size_{x}")
+    rest = pairs.filter(follow > 0).join(after("a"), ["block", "a"]).filter("place_a > last_a").join(after("b"), ["block", "b", "item"]).filter("place_b > last_b")
+    both = [x.select("block", "a", "b", "size_a", "size_b", n.alias("n")) for x, n in ((pairs, F.col("n")), (rest, F.lit(1).cast("long")))]
+    shared = both[0].unionByName(both[1]).groupBy("block", "a", "b", "size_a", "size_b").agg(F.sum("n").alias("shared"))
     value = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     return shared.filter(value >= least).select(F.col("block").alias(within), "a", "b", "shared", F.round(value, 6).alias("jaccard"))
