@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,17 +63,32 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "l")
 
 
-def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, hops (the fewest) of every node that directed edges (a, b) reach from sources (node); a source is 0 hops off.
+def reachable_kinds(edges: list[tuple[str, str, DataFrame]], sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """By kind: node, hops (the fewest) of every node that directed edges reach from sources (node); a source is 0 hops off.
 
-    Only the frontier of the last round is joined to the edges.
+    edges: (kind of a, kind of b, a table of a, b). Nodes of one kind have one type. Only the nodes that the last round has
+    found are joined, and only to the edges that leave their kind, so a table of edges is read as often as it leads on.
     """
-    found = cut(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier, hops = found, 0
-    while True:
-        hops += 1
-        step = edges.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(found, "node", "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
-            return found
-        found = cut(found.unionByName(frontier))
+    found: dict[str, list[DataFrame]] = {}
+    frontier, hops = dict(sources), 0
+    while frontier:
+        after: dict[str, DataFrame] = {}
+        for kind, nodes in frontier.items():
+            new = nodes.select("node").distinct()
+            for known in found.get(kind, []):
+                new = new.join(known.select(F.col("node").alias("__known")), F.col("node").eqNullSafe(F.col("__known")), "left_anti")
+            new = cut(new)
+            if hops and new.isEmpty():
+                continue
+            found.setdefault(kind, []).append(new.withColumn("hops", F.lit(hops)))
+            for start, end, own in edges:
+                if start == kind:
+                    step = own.select("a", "b").join(new.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node"))
+                    after[end] = after[end].unionByName(step) if end in after else step
+        frontier, hops = after, hops + 1
+    return {kind: reduce(DataFrame.unionByName, parts) for kind, parts in found.items()}
+
+
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, hops of every node that directed edges (a, b) of one kind reach from sources (node)."""
+    return reachable_kinds([("", "", cut(edges.select("a", "b")))], {"": sources})[""]

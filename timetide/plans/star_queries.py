@@ -282,12 +282,18 @@ r(node) AS (SELECT 'part ' || p_partkey FROM part WHERE p_size = 1 UNION SELECT
 """)
 def reachability(t: Tables) -> DataFrame:
     """From small parts to their suppliers, to all orders that these serve, to the customers."""
-    name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
-    edges = t.lineitem.select(name("part", "l_partkey").alias("a"), name("supplier", "l_suppkey").alias("b"))
-    edges = edges.unionByName(t.lineitem.select(name("supplier", "l_suppkey").alias("a"), name("order", "l_orderkey").alias("b")))
-    edges = edges.unionByName(t.orders.select(name("order", "o_orderkey").alias("a"), name("customer", "o_custkey").alias("b")))
-    start = t.part.filter("p_size = 1").select(name("part", "p_partkey").alias("node"))
-    return graph.reachable(edges.distinct(), start).select("node")
+    edges = [
+        ("part", "supplier", t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))),
+        ("supplier", "order", t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_orderkey").alias("b"))),
+        ("order", "customer", t.orders.select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))),
+    ]
+    found = graph.reachable_kinds(edges, {"part": t.part.filter("p_size = 1").select(F.col("p_partkey").alias("node"))})
+    named = [rows.select(F.concat(F.lit(f"{kind} "), F.col("node").cast("string")).alias("node")) for kind, rows in found.items()]
+    every = named[0]
+    for rows in named[1:]:
+        every = every.unionByName(rows)
+    # Nodes without a key are one node, whatever their kind.
+    return every.filter("node IS NOT NULL").unionByName(every.filter("node IS NULL").distinct())
 
 
 @query("q_whitespace", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '^[\s]|[\s]$')")
