@@ -15,11 +15,11 @@ _FORMS = {
     "uint": (r"^[0-9]+$", "try_cast({x} AS BIGINT)"),
     "num": (r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$", "try_cast({x} AS DOUBLE)"),
     "day": (r"^[0-9]{8}$", "CAST(try_to_timestamp({x}, 'yyyyMMdd') AS DATE)"),
-    "sec": (r"^[0-9]+:[0-5][0-9]:[0-5][0-9]$", "try_cast(split_part({x}, ':', 1) AS INT) * 3600 + try_cast(split_part({x}, ':', 2) AS INT) * 60 + try_cast(split_part({x}, ':', 3) AS INT)"),
+    "sec": (r"^[0-9]+:[0-5][0-9]:[0-5][0-9]$", "try_cast(substring_index({x}, ':', 1) AS INT) * 3600 + try_cast(substring_index(substring_index({x}, ':', 2), ':', -1) AS INT) * 60 + try_cast(substring_index({x}, ':', -1) AS INT)"),
 }
 _TESTS = {
     "blank": f"(coalesce({{x}}, '') rlike '^{_SPACE}*$')",
-    "given": f"(coalesce({{x}}, '') rlike '^(?s).*[^\\\\s\\\\p{{Z}}].*$')",
+    "given": r"(coalesce({x}, '') rlike '[^\\s\\p{Z}]')",
     "trimmed": f"regexp_replace({{x}}, '^{_SPACE}+|{_SPACE}+$', '')",
     "url": r"({x} rlike '^(?i)https?://(?!https?(:|/|$))[^\\s/?#<>\"{}|^`]+([/?#][^\\s<>\"{}|^`]*)?$')",
     "email": r"({x} rlike '^[^@\\s<>(),;:]+@[^@\\s<>(),;:.]+([.][^@\\s<>(),;:.]+)+$')",
@@ -45,3 +45,8 @@ def expand(sql: str) -> str:
         return _TESTS[name].replace("{x}", x)
 
     return _CALL.sub(one, sql)
+
+
+def shared(sql: str, facts: dict[str, str]) -> str:
+    """sql with names of columns instead of its macros; facts gets each call with its name, so that an expression many ask for is one column."""
+    return _CALL.sub(lambda m: facts.setdefault(m[0], f"__fact{len(facts)}"), sql)

@@ -34,7 +34,7 @@ def feed_of(spark: SparkSession, folder: str) -> Feed:
     for name, sql in _TABLES.items():
         used = [t for t in ("region", "nation", "supplier", "orders", "lineitem") if f"FROM {t}" in sql]
         made[name] = spark.sql(sql.replace(f"FROM {used[0]}", "FROM {star}"), star=spark.read.parquet(f"{folder}/{used[0]}.parquet"))
-    return from_frames(spark, made)
+    return from_frames(spark, made, keep=True)
 
 
 def whole_catalogue(spark: SparkSession, folder: str) -> DataFrame:

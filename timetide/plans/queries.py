@@ -1,7 +1,7 @@
 """Checks that are queries: groups, orders, intervals, distances, reachability, whole-feed figures.
 
 Key: `rule marks file field needed-views...`; the SQL gives `id` and `seen`. Views are the tables as text, and the typed
-ones of timetide.plans.views (st, tr, active, spans, legs, pts, places). Thresholds stand by their names in Config.
+ones of timetide.plans.views (st, tr, active, spans, ran, calls, legs, pts, places). Thresholds stand by their names in Config.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ QUERIES = {
     "TRP_013 IAE10 trips.txt trip_id tr": "SELECT route_id AS id, 1 AS seen FROM tr GROUP BY route_id HAVING count(*) = 1",
     "TRP_015 LQF1 trips.txt block_id tr": "SELECT NULL AS id, count(*) AS seen FROM (SELECT count(*) AS n FROM tr WHERE block_id IS NOT NULL GROUP BY block_id, service_id) HAVING max(n) = 1",
     "TRP_017 MQE1 frequencies.txt trip_id frequencies trips stop_times": "SELECT DISTINCT trip_id AS id, NULL AS seen FROM frequencies WHERE trip_id IN (SELECT trip_id FROM trips) AND NOT EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = frequencies.trip_id)",
-    "TRP_022 HIE3 trips.txt block_id tr spans": "SELECT trip_id AS id, block_id AS seen FROM (SELECT trip_id, block_id, first_dep, max(last_arr) OVER (PARTITION BY block_id, service_id ORDER BY first_dep, trip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM tr JOIN spans USING (trip_id) WHERE block_id IS NOT NULL) WHERE first_dep < busy",
+    "TRP_022 HIE3 trips.txt block_id tr spans": "SELECT trip_id AS id, block_id AS seen FROM (SELECT trip_id, block_id, first_dep, max(last_arr) OVER (PARTITION BY block_id, service_id ORDER BY first_dep, trip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM ran WHERE block_id IS NOT NULL) WHERE first_dep < busy",
     "TRP_023 LQF1 calendar.txt start_date active trips": "SELECT NULL AS id, NULL AS seen FROM active WHERE date >= today AND date < date_add(today, 7) HAVING count(*) = 0",
     "TRP_024 LQE1 trips.txt block_id tr": "SELECT block_id AS id, count(DISTINCT mode) AS seen FROM (SELECT block_id, CASE WHEN route_type BETWEEN 200 AND 299 OR route_type BETWEEN 700 AND 799 THEN 3 WHEN route_type BETWEEN 100 AND 199 THEN 2 WHEN route_type BETWEEN 400 AND 404 THEN 1 WHEN route_type = 405 THEN 12 WHEN route_type BETWEEN 900 AND 999 THEN 0 WHEN route_type = 800 THEN 11 WHEN route_type BETWEEN 1000 AND 1021 OR route_type = 1200 THEN 4 WHEN route_type BETWEEN 1300 AND 1307 THEN 6 WHEN route_type = 1400 THEN 7 ELSE route_type END AS mode FROM tr WHERE block_id IS NOT NULL) GROUP BY block_id HAVING count(DISTINCT mode) > 1",
     "TRP_025 IQF1 trips.txt wheelchair_accessible trips": "SELECT NULL AS id, round(avg(IF(blank(wheelchair_accessible) OR oneof(wheelchair_accessible, 0), 1, 0)), 4) AS seen FROM trips HAVING avg(IF(blank(wheelchair_accessible) OR oneof(wheelchair_accessible, 0), 1, 0)) > 0.8 AND avg(IF(blank(wheelchair_accessible) OR oneof(wheelchair_accessible, 0), 1, 0)) < 1",
@@ -75,33 +75,33 @@ QUERIES = {
     "XFL_012 HQE2 routes.txt route_id tr stop_times": "SELECT route_id AS id, NULL AS seen FROM tr LEFT JOIN (SELECT DISTINCT trip_id AS t FROM stop_times) ON t = trip_id GROUP BY route_id HAVING count(t) = 0",
     "XFL_013 HQE2 trips.txt shape_id tr": "SELECT shape_id AS id, NULL AS seen FROM tr WHERE shape_id IS NOT NULL AND direction_id IN (0, 1) GROUP BY shape_id HAVING min(direction_id) <> max(direction_id)",
     # Stop times
-    "STM_008 CIE2 stop_times.txt arrival_time st": "SELECT trip_id AS id, min(line) AS seen FROM (SELECT trip_id, line, arr, max(dep) OVER (PARTITION BY trip_id ORDER BY seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) WHERE arr < reached GROUP BY trip_id",
+    "STM_008 CIE2 stop_times.txt arrival_time st": "SELECT trip_id AS id, min(line) AS seen FROM st WHERE arr < reached GROUP BY trip_id",
     "STM_012 HIR2 stop_times.txt arrival_time legs": "SELECT trip_id AS id, round(try_divide(distance, arr - dep) * 3600, 1) AS seen FROM legs WHERE (arr > dep AND try_divide(distance, arr - dep) * 3600 > 700) OR (arr = dep AND arr % 60 = 0 AND distance > limit / 60)",
     "STM_014 HAE3 stop_times.txt arrival_time legs": "SELECT concat_ws('|', route_id, direction_id, stop_a, stop_b) AS id, round(max(try_divide(distance, arr - dep) * 3600), 1) AS seen FROM legs WHERE arr > dep AND try_divide(distance, arr - dep) * 3600 > limit AND try_divide(distance, arr - dep) * 3600 <= 700 GROUP BY route_id, direction_id, stop_a, stop_b",
-    "STM_015 CSR2 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS n FROM st) WHERE n = 1 AND arr_absent AND NOT window",
-    "STM_016 CSR2 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq DESC, line DESC) AS n FROM st) WHERE n = 1 AND arr_absent AND NOT window",
-    "STM_017 MQR30 stop_times.txt shape_dist_traveled st tr": "SELECT trip_id AS id, count(*) AS seen FROM st JOIN tr USING (trip_id) WHERE shape_id IS NOT NULL AND route_type <> 2 AND stop_id IS NOT NULL AND dist IS NULL GROUP BY trip_id",
+    "STM_015 CSR2 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM st WHERE nth = 1 AND arr_absent AND NOT window",
+    "STM_016 CSR2 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM st WHERE is_last AND arr_absent AND NOT window",
+    "STM_017 MQR30 stop_times.txt shape_dist_traveled st tr": "SELECT trip_id AS id, count(*) AS seen FROM calls WHERE shape_id IS NOT NULL AND route_type <> 2 AND stop_id IS NOT NULL AND dist IS NULL GROUP BY trip_id",
     "STM_020 HQR3 stop_times.txt arrival_time legs": "SELECT trip_id AS id, round(max(distance) * 1000, 1) AS seen FROM legs WHERE arr = dep AND distance > 0.2 AND arr % 60 <> 0 GROUP BY trip_id",
     "STM_021 IAR30 stop_times.txt stop_id legs": "SELECT concat_ws('|', least(stop_a, stop_b), greatest(stop_a, stop_b)) AS id, count(*) AS seen FROM legs WHERE distance < 0.000001 AND stop_a <> stop_b GROUP BY 1",
     "STM_025 IAE2 stop_times.txt arrival_time legs": "SELECT concat_ws('|', route_id, direction_id, stop_a, stop_b) AS id, min(arr - dep) AS seen FROM legs WHERE arr - dep BETWEEN 1 AND 9 GROUP BY route_id, direction_id, stop_a, stop_b",
     "STM_026 IAR20 stop_times.txt stop_id legs": "SELECT trip_id AS id, round(max(distance), 1) AS seen FROM legs WHERE distance > IF(route_type = 2 OR route_type BETWEEN 100 AND 199, rail_stop_distance_km, 50D) GROUP BY trip_id",
-    "STM_028 HAR2 stop_times.txt arrival_time spans tr": "SELECT trip_id AS id, last_arr - first_dep AS seen FROM spans JOIN tr USING (trip_id) WHERE last_arr - first_dep > 3600 * IF(route_type = 2 OR route_type BETWEEN 100 AND 199, max_trip_duration_hours_rail, max_trip_duration_hours)",
+    "STM_028 HAR2 stop_times.txt arrival_time spans tr": "SELECT trip_id AS id, last_arr - first_dep AS seen FROM ran WHERE last_arr - first_dep > 3600 * IF(route_type = 2 OR route_type BETWEEN 100 AND 199, max_trip_duration_hours_rail, max_trip_duration_hours)",
     "STM_029 MAR2 stop_times.txt arrival_time spans": "SELECT trip_id AS id, last_arr - first_dep AS seen FROM spans WHERE n > 1 AND last_arr - first_dep < min_trip_duration_sec",
     "STM_033 HIE2 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n = 1",
     "STM_035 IAR10 stop_times.txt stop_id legs": "SELECT concat_ws('|', route_id, stop_a) AS id, count(*) AS seen FROM legs WHERE stop_a = stop_b GROUP BY route_id, stop_a",
-    "STM_036 IQF2 stop_times.txt stop_sequence st": "WITH a AS (SELECT DISTINCT trip_id FROM (SELECT trip_id, seq, max(seq) OVER (PARTITION BY trip_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM st) WHERE seq <= reached), b AS (SELECT trip_id FROM st GROUP BY trip_id HAVING max(line) - min(line) + 1 > count(*)) SELECT trip_id AS id, NULL AS seen FROM (SELECT * FROM a UNION SELECT * FROM b)",
+    "STM_036 IQF2 stop_times.txt stop_sequence st": "SELECT trip_id AS id, NULL AS seen FROM st GROUP BY trip_id HAVING bool_or(seq = seq_before OR line < line_before) OR max(line) - min(line) + 1 > count(*)",
     "STM_043 IAE1 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n > max_stops_per_trip",
     "STM_044 IAF1 stop_times.txt - stop_times": "SELECT NULL AS id, count(*) AS seen FROM stop_times HAVING count(*) > max_total_stop_times",
     "STM_045 IAE10 stop_times.txt departure_time st": "SELECT trip_id AS id, max(dep) AS seen FROM st GROUP BY trip_id HAVING max(dep) > (24 + IF(service_day_start_hour = 0, 2, service_day_start_hour)) * 3600",
-    "STM_048 HSR1 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, lag(raw_dep) OVER (PARTITION BY trip_id ORDER BY seq, line) AS before FROM st) WHERE before >= 72000 AND raw_arr < 14400",
-    "STM_053 IAE2 stop_times.txt arrival_time st tr": "WITH r AS (SELECT trip_id, count(*) AS n FROM (SELECT trip_id, coalesce(arr, dep) AS t, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) - row_number() OVER (PARTITION BY trip_id, coalesce(arr, dep) ORDER BY seq, line) AS run FROM st) WHERE t IS NOT NULL GROUP BY trip_id, t, run HAVING count(*) >= 3) SELECT route_id AS id, max(n) AS seen FROM r JOIN tr USING (trip_id) GROUP BY route_id",
-    "STM_056 CSR1 stop_times.txt shape_dist_traveled st": "SELECT trip_id AS id, line AS seen FROM (SELECT *, lag(dist) OVER (PARTITION BY trip_id ORDER BY seq, line) AS before FROM st) WHERE CAST(dist AS FLOAT) <= CAST(before AS FLOAT)",
+    "STM_048 HSR1 stop_times.txt arrival_time st": "SELECT trip_id AS id, line AS seen FROM st WHERE raw_dep_before >= 72000 AND raw_arr < 14400",
+    "STM_053 IAE2 stop_times.txt arrival_time st tr": "SELECT route_id AS id, max(held) AS seen FROM calls WHERE held >= 3 GROUP BY route_id",
+    "STM_056 CSR1 stop_times.txt shape_dist_traveled st": "SELECT trip_id AS id, line AS seen FROM st WHERE CAST(dist AS FLOAT) <= CAST(dist_before AS FLOAT)",
     "STM_059 LQE1 stop_times.txt pickup_booking_rule_id stop_times booking_rules": "SELECT trip_id AS id, line AS seen FROM stop_times WHERE (oneof(pickup_type, 2) AND blank(pickup_booking_rule_id)) OR (oneof(drop_off_type, 2) AND blank(drop_off_booking_rule_id))",
     "PDW_006 MAE2 stop_times.txt start_pickup_drop_off_window stop_times": "SELECT trip_id AS id, line AS seen FROM (SELECT trip_id, line, sec(start_pickup_drop_off_window) AS a, max(sec(end_pickup_drop_off_window)) OVER (PARTITION BY trip_id, coalesce(location_id, location_group_id) ORDER BY sec(start_pickup_drop_off_window), line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM stop_times WHERE given(location_id) OR given(location_group_id)) WHERE a < busy",
     "OPR_006 HAE3 stop_times.txt trip_id spans": "SELECT trip_id AS id, n AS seen FROM spans WHERE n < 2",
-    "OPR_007 IAE30 stop_times.txt stop_id st": "SELECT trip_id AS id, stop_id AS seen FROM (SELECT trip_id, stop_id, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS i, count(*) OVER (PARTITION BY trip_id) AS n FROM st) GROUP BY trip_id, stop_id HAVING count(*) > 1 AND NOT (count(*) = 2 AND min(i) = 1 AND max(i) = max(n)) AND max(i) - min(i) >= count(*)",
+    "OPR_007 IAE30 stop_times.txt stop_id st": "SELECT trip_id AS id, stop_id AS seen FROM st GROUP BY trip_id, stop_id HAVING count(*) > 1 AND NOT (count(*) = 2 AND min(nth) = 1 AND bool_or(is_last)) AND max(nth) - min(nth) >= count(*)",
     "OPR_008 IAE30 stop_times.txt arrival_time legs": "SELECT trip_id AS id, count(*) AS seen FROM legs WHERE arr > dep AND try_divide(distance, arr - dep) * 3600 > limit GROUP BY trip_id HAVING count(*) > 1",
-    "OPR_009 IAE2 stop_times.txt departure_time spans tr": "SELECT route_id AS id, count(*) AS seen FROM spans JOIN tr USING (trip_id) WHERE first_dep >= 82800 OR first_dep < service_day_start_hour * 3600 GROUP BY route_id",
+    "OPR_009 IAE2 stop_times.txt departure_time spans tr": "SELECT route_id AS id, count(*) AS seen FROM ran WHERE first_dep >= 82800 OR first_dep < service_day_start_hour * 3600 GROUP BY route_id",
     "OPR_017 MAE2 stop_times.txt trip_id legs": "SELECT trip_id AS id, round(sum(distance), 3) AS seen FROM legs GROUP BY trip_id HAVING sum(distance) > 0 AND sum(distance) < 0.1",
     "OPR_025 HAF2 stop_times.txt departure_time spans": "SELECT NULL AS id, round(avg(last_arr - first_dep), 1) AS seen FROM spans WHERE n > 1 HAVING count(*) >= 5 AND avg(last_arr - first_dep) < 60",
     # Service days
@@ -121,7 +121,7 @@ QUERIES = {
     "CLD_006 IAR10 calendar_dates.txt date calendar_dates": "SELECT service_id AS id, count(*) AS seen FROM calendar_dates GROUP BY service_id HAVING count(*) > 60",
     "CLD_007 IAR1 calendar_dates.txt date calendar_dates calendar active": "WITH a AS (SELECT service_id, count(*) AS n FROM active GROUP BY service_id), e AS (SELECT service_id, count(*) AS n FROM calendar_dates WHERE service_id IN (SELECT service_id FROM calendar) GROUP BY service_id) SELECT e.service_id AS id, e.n AS seen FROM e JOIN a ON e.service_id = a.service_id WHERE e.n > a.n / 2",
     "XFL_006 MAE2 calendar_dates.txt exception_type calendar_dates": "SELECT service_id AS id, count(*) AS seen FROM calendar_dates d GROUP BY service_id HAVING count_if(oneof(exception_type, 1)) = 0 AND count_if(oneof(exception_type, 2)) > 0 AND bool_and(NOT in_calendar)".replace("FROM calendar_dates d", "FROM (SELECT d.*, EXISTS (SELECT 1 FROM calendar c WHERE c.service_id = d.service_id) AS in_calendar FROM calendar_dates d)"),
-    "OPR_004 IAE1 calendar.txt saturday tr active": "SELECT route_id AS id, NULL AS seen FROM tr JOIN active USING (service_id) GROUP BY route_id HAVING NOT bool_or(weekday(date) >= 5)",
+    "OPR_004 IAE1 calendar.txt saturday tr active": "SELECT route_id AS id, NULL AS seen FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN (SELECT service_id, bool_or(weekday(date) >= 5) AS weekend FROM active GROUP BY service_id) USING (service_id) GROUP BY route_id HAVING NOT bool_or(weekend)",
     "OPR_010 MAE2 trips.txt wheelchair_accessible trips": "SELECT route_id AS id, NULL AS seen FROM trips GROUP BY route_id HAVING (bool_or(oneof(wheelchair_accessible, 1)) AND bool_or(oneof(wheelchair_accessible, 2))) OR (bool_or(oneof(bikes_allowed, 1)) AND bool_or(oneof(bikes_allowed, 2)))",
     "OPR_011 HAE2 trips.txt service_id tr": "SELECT DISTINCT service_id AS id, NULL AS seen FROM tr WHERE service_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM active a WHERE a.service_id = tr.service_id)",
     "OPR_012 MAE2 calendar.txt start_date active tr": "SELECT service_id AS id, max(gap) AS seen FROM (SELECT service_id, datediff(date, lag(date) OVER (PARTITION BY service_id ORDER BY date)) - 1 AS gap FROM active) WHERE gap >= service_gap_days AND service_id IN (SELECT service_id FROM tr) GROUP BY service_id",
@@ -131,9 +131,9 @@ QUERIES = {
     "OPR_019 IAE2 calendar.txt service_id active tr": "SELECT route_id AS id, count(*) AS seen FROM (SELECT route_id, date FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN active USING (service_id) LEFT JOIN (SELECT service_id, day(date) AS date, 1 AS hit FROM calendar_dates) e USING (service_id, date) GROUP BY route_id, date HAVING count(DISTINCT service_id) > 1 AND count(hit) = 0) GROUP BY route_id",
     "OPR_020 LAE2 calendar_dates.txt date active tr calendar_dates": "SELECT route_id AS id, count(*) AS seen FROM (SELECT route_id, date FROM (SELECT DISTINCT route_id, service_id FROM tr) JOIN active USING (service_id) LEFT JOIN (SELECT service_id, day(date) AS date, 1 AS hit FROM calendar_dates) e USING (service_id, date) GROUP BY route_id, date HAVING count(DISTINCT service_id) > 1 AND count(hit) > 0) GROUP BY route_id",
     "OPR_024 IAE1 trips.txt trip_id tr": "SELECT route_id AS id, count(*) AS seen FROM tr GROUP BY route_id, service_id HAVING count(*) > max_trips_per_route",
-    "OPR_001 MAE3 stop_times.txt departure_time spans tr": "WITH d AS (SELECT DISTINCT route_id, direction_id, service_id, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL), g AS (SELECT *, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM d) SELECT route_id AS id, max(gap) AS seen FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id HAVING max(gap) > max_headway_warning_min * 60 AND try_divide(stddev_pop(gap), avg(gap)) >= 0.25",
-    "OPR_003 LAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, first_stop, pattern, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id, first_stop, pattern ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, first_stop, coalesce(shape_id, last_stop) AS pattern, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL)) SELECT route_id AS id, min(gap) AS seen FROM g WHERE gap > 0 GROUP BY route_id, direction_id, service_id, first_stop, pattern HAVING min(gap) < bunching_threshold_min * 60",
-    "OPR_005 IAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, route_type, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, route_type, first_dep FROM spans JOIN tr USING (trip_id) WHERE first_dep IS NOT NULL)), a AS (SELECT route_id, route_type, avg(gap) AS mean FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id, route_type), m AS (SELECT route_type, median(mean) AS mid, count(*) AS n FROM a GROUP BY route_type HAVING count(*) >= 5), s AS (SELECT a.route_type, median(abs(mean - mid)) * 1.4826 AS mad FROM a JOIN m ON a.route_type = m.route_type GROUP BY a.route_type) SELECT route_id AS id, round(mean, 1) AS seen FROM a JOIN m ON a.route_type = m.route_type JOIN s ON a.route_type = s.route_type WHERE IF(mad >= 30, abs(mean - mid) > headway_outlier_sigma * mad, mean > 2 * mid OR mean < 0.5 * mid)",
+    "OPR_001 MAE3 stop_times.txt departure_time spans tr": "WITH d AS (SELECT DISTINCT route_id, direction_id, service_id, first_dep FROM ran WHERE first_dep IS NOT NULL), g AS (SELECT *, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM d) SELECT route_id AS id, max(gap) AS seen FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id HAVING max(gap) > max_headway_warning_min * 60 AND try_divide(stddev_pop(gap), avg(gap)) >= 0.25",
+    "OPR_003 LAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, first_stop, pattern, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id, first_stop, pattern ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, first_stop, coalesce(shape_id, last_stop) AS pattern, first_dep FROM ran WHERE first_dep IS NOT NULL)) SELECT route_id AS id, min(gap) AS seen FROM g WHERE gap > 0 GROUP BY route_id, direction_id, service_id, first_stop, pattern HAVING min(gap) < bunching_threshold_min * 60",
+    "OPR_005 IAE2 stop_times.txt departure_time spans tr": "WITH g AS (SELECT route_id, direction_id, service_id, route_type, first_dep - lag(first_dep) OVER (PARTITION BY route_id, direction_id, service_id ORDER BY first_dep) AS gap FROM (SELECT DISTINCT route_id, direction_id, service_id, route_type, first_dep FROM ran WHERE first_dep IS NOT NULL)), a AS (SELECT route_id, route_type, avg(gap) AS mean FROM g WHERE gap IS NOT NULL GROUP BY route_id, direction_id, service_id, route_type), m AS (SELECT route_type, median(mean) AS mid, count(*) AS n FROM a GROUP BY route_type HAVING count(*) >= 5), s AS (SELECT a.route_type, median(abs(mean - mid)) * 1.4826 AS mad FROM a JOIN m ON a.route_type = m.route_type GROUP BY a.route_type) SELECT route_id AS id, round(mean, 1) AS seen FROM a JOIN m ON a.route_type = m.route_type JOIN s ON a.route_type = s.route_type WHERE IF(mad >= 30, abs(mean - mid) > headway_outlier_sigma * mad, mean > 2 * mid OR mean < 0.5 * mid)",
     "OPR_014 MAF2 transfers.txt min_transfer_time transfers": "SELECT NULL AS id, round(avg(uint(min_transfer_time)), 1) AS seen FROM transfers WHERE oneof(transfer_type, 2) HAVING avg(uint(min_transfer_time)) > 600",
     # Shapes
     "SHP_005 CSR2 shapes.txt shape_dist_traveled pts": "SELECT shape_id AS id, NULL AS seen, min(line) AS line FROM pts WHERE dist < dist_before GROUP BY shape_id",
@@ -195,19 +195,19 @@ QUERIES = {
     "XFL_015 CSF1 attributions.txt - attributions": "SELECT NULL AS id, count(*) AS seen FROM attributions a WHERE (given(agency_id) AND NOT EXISTS (SELECT 1 FROM agency x WHERE x.agency_id = a.agency_id)) OR (given(route_id) AND NOT EXISTS (SELECT 1 FROM routes x WHERE x.route_id = a.route_id)) OR (given(trip_id) AND NOT EXISTS (SELECT 1 FROM trips x WHERE x.trip_id = a.trip_id)) HAVING count(*) > 0",
     "XFL_031 CSR2 location_groups.txt location_group_id location_groups stops": "SELECT location_group_id AS id, line AS seen FROM location_groups WHERE location_group_id IN (SELECT stop_id FROM stops)",
     # Networks of routes and stops
-    "VAT_001 MAE3 routes.txt route_id tr st": "WITH s AS (SELECT DISTINCT route_id, route_type, stop_id FROM st JOIN tr USING (trip_id) WHERE stop_id IS NOT NULL), n AS (SELECT route_id, count(*) AS n FROM s GROUP BY route_id HAVING count(*) >= 5), p AS (SELECT a.route_id AS a, b.route_id AS b, count(*) AS shared FROM s a JOIN s b ON a.stop_id = b.stop_id AND a.route_type = b.route_type AND a.route_id < b.route_id GROUP BY 1, 2) SELECT a AS id, b AS seen FROM p JOIN n x ON x.route_id = a JOIN n y ON y.route_id = b WHERE shared / (x.n + y.n - shared) >= 0.85",
+    "VAT_001 MAE3 routes.txt route_id tr st": "WITH s AS (SELECT DISTINCT route_id, route_type, stop_id FROM calls WHERE stop_id IS NOT NULL), n AS (SELECT route_id, count(*) AS n FROM s GROUP BY route_id HAVING count(*) >= 5), p AS (SELECT a.route_id AS a, b.route_id AS b, count(*) AS shared FROM s a JOIN s b ON a.stop_id = b.stop_id AND a.route_type = b.route_type AND a.route_id < b.route_id GROUP BY 1, 2) SELECT a AS id, b AS seen FROM p JOIN n x ON x.route_id = a JOIN n y ON y.route_id = b WHERE shared / (x.n + y.n - shared) >= 0.85",
     "VAT_005 MAF3 stops.txt stop_id legs": "WITH c AS (SELECT component, count(*) AS n FROM joined GROUP BY component), t AS (SELECT sum(n) AS total, max(n) AS main FROM c) SELECT NULL AS id, sum(n) AS seen FROM c CROSS JOIN t WHERE total >= 5 AND main >= total / 2 AND n < main AND n <= greatest(total DIV 20, 2) HAVING sum(n) > 0",
     "VAT_006 IAE2 trips.txt route_id tr": "WITH c AS (SELECT route_id, count(*) AS n FROM tr GROUP BY route_id), t AS (SELECT sum(n) AS total, count(*) AS routes FROM c) SELECT route_id AS id, round(n / total, 4) AS seen FROM c CROSS JOIN t WHERE total >= 50 AND routes >= 3 AND n / total >= 0.4",
     "VAT_008 IAE2 trips.txt shape_id tr": "WITH c AS (SELECT shape_id, count(DISTINCT route_id) AS n FROM tr WHERE shape_id IS NOT NULL GROUP BY shape_id), t AS (SELECT count(DISTINCT route_id) AS total FROM tr) SELECT shape_id AS id, n AS seen FROM c CROSS JOIN t WHERE total >= 3 AND n >= 3 AND n > ceil(0.3 * total)",
-    "VAT_002 IAE3 stops.txt stop_id tr st near transfers": "WITH r AS (SELECT DISTINCT stop_id, route_id FROM st JOIN tr USING (trip_id)), h AS (SELECT stop_id, count(*) AS n FROM r GROUP BY stop_id HAVING count(*) >= 4) SELECT h.stop_id AS id, n AS seen FROM h JOIN places USING (stop_id) WHERE parent_station IS NULL AND h.stop_id NOT IN (SELECT from_stop_id FROM transfers WHERE from_stop_id IS NOT NULL UNION ALL SELECT to_stop_id FROM transfers WHERE to_stop_id IS NOT NULL)",
-    "VAT_003 LAE3 stop_times.txt arrival_time spans tr": "WITH d AS (SELECT trip_id, concat_ws('|', route_id, shape_id, first_stop, last_stop, n) AS pattern, last_arr - first_dep AS duration FROM spans JOIN tr USING (trip_id) WHERE n > 1 AND last_arr >= first_dep), m AS (SELECT pattern, median(duration) AS mid FROM d GROUP BY pattern HAVING count(*) >= 5 AND median(duration) >= 120), s AS (SELECT d.pattern, median(abs(duration - mid)) * 1.4826 AS mad FROM d JOIN m ON d.pattern = m.pattern GROUP BY d.pattern) SELECT trip_id AS id, duration AS seen FROM d JOIN m ON d.pattern = m.pattern JOIN s ON d.pattern = s.pattern WHERE abs(duration - mid) >= 300 AND abs(duration - mid) > duration_outlier_sigma * mad",
+    "VAT_002 IAE3 stops.txt stop_id tr st near transfers": "WITH r AS (SELECT DISTINCT stop_id, route_id FROM calls), h AS (SELECT stop_id, count(*) AS n FROM r GROUP BY stop_id HAVING count(*) >= 4) SELECT h.stop_id AS id, n AS seen FROM h JOIN places USING (stop_id) WHERE parent_station IS NULL AND h.stop_id NOT IN (SELECT from_stop_id FROM transfers WHERE from_stop_id IS NOT NULL UNION ALL SELECT to_stop_id FROM transfers WHERE to_stop_id IS NOT NULL)",
+    "VAT_003 LAE3 stop_times.txt arrival_time spans tr": "WITH d AS (SELECT trip_id, concat_ws('|', route_id, shape_id, first_stop, last_stop, n) AS pattern, last_arr - first_dep AS duration FROM ran WHERE n > 1 AND last_arr >= first_dep), m AS (SELECT pattern, median(duration) AS mid FROM d GROUP BY pattern HAVING count(*) >= 5 AND median(duration) >= 120), s AS (SELECT d.pattern, median(abs(duration - mid)) * 1.4826 AS mad FROM d JOIN m ON d.pattern = m.pattern GROUP BY d.pattern) SELECT trip_id AS id, duration AS seen FROM d JOIN m ON d.pattern = m.pattern JOIN s ON d.pattern = s.pattern WHERE abs(duration - mid) >= 300 AND abs(duration - mid) > duration_outlier_sigma * mad",
     "TRN_016 MSF1 translations.txt field_value translations": "SELECT NULL AS id, count(*) AS seen FROM unmatched HAVING count(*) > 0",
     "XFL_014 MQF1 translations.txt record_id translations": "SELECT NULL AS id, count(DISTINCT t.table_name, t.record_id) AS seen FROM translations t LEFT ANTI JOIN recorded r ON r.table_name = t.table_name AND r.record_id = t.record_id WHERE given(t.record_id) AND t.table_name IN ('agency', 'stops', 'routes', 'trips', 'calendar', 'levels', 'pathways', 'fare_attributes', 'attributions') HAVING count(*) > 0",
     "XFL_016 HSF1 translations.txt table_name translations": "SELECT NULL AS id, count(*) AS seen FROM translations WHERE table_name = 'feed_info' AND (SELECT count(*) FROM feed_info) = 0 HAVING count(*) > 0",
     "TRF_014 HSR2 transfers.txt from_trip_id transfers trips stop_times": "SELECT trip AS id, trip AS seen, line FROM (SELECT line, explode(array(from_trip_id, to_trip_id)) AS trip FROM transfers WHERE oneof(transfer_type, 4, 5)) x WHERE trip IN (SELECT trip_id FROM trips) AND NOT EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = x.trip)",
     "RTS_025 IQE1 routes.txt agency_id routes": "SELECT route_id AS id, NULL AS seen FROM routes WHERE blank(agency_id) AND (SELECT count(*) FROM agency) = 0",
     # A headsign that names a stop on the way: not its last one, on no circle, and passed once.
-    "TRP_020 IAE1 trips.txt trip_headsign trips stop_times stops": "WITH s AS (SELECT st.trip_id, st.stop_id, lower(p.stop_name) AS name, IF(blank(p.parent_station), p.stop_id, p.parent_station) AS station, st.seq, st.line FROM st JOIN stops p ON p.stop_id = st.stop_id), o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS i, count(*) OVER (PARTITION BY trip_id) AS n, first_value(station) OVER w AS first, last_value(station) OVER w AS last, coalesce(lag(station) OVER (PARTITION BY trip_id ORDER BY seq, line) <> station, true) AS arrives FROM s WINDOW w AS (PARTITION BY trip_id ORDER BY seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), v AS (SELECT *, count_if(arrives) OVER (PARTITION BY trip_id, station) AS visits FROM o) SELECT v.trip_id AS id, v.stop_id AS seen FROM v JOIN trips t ON t.trip_id = v.trip_id WHERE given(t.trip_headsign) AND v.name = lower(t.trip_headsign) AND i > 1 AND i < n AND first <> last AND visits = 1",
+    "TRP_020 IAE1 trips.txt trip_headsign trips stop_times stops": "WITH h AS (SELECT trip_id FROM trips WHERE given(trip_headsign) AND lower(trip_headsign) IN (SELECT lower(stop_name) FROM stops)), s AS (SELECT st.trip_id, st.stop_id, lower(p.stop_name) AS name, IF(blank(p.parent_station), p.stop_id, p.parent_station) AS station, st.seq, st.line FROM st JOIN stops p ON p.stop_id = st.stop_id WHERE st.trip_id IN (SELECT trip_id FROM h)), o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY seq, line) AS i, count(*) OVER (PARTITION BY trip_id) AS n, first_value(station) OVER w AS first, last_value(station) OVER w AS last, coalesce(lag(station) OVER (PARTITION BY trip_id ORDER BY seq, line) <> station, true) AS arrives FROM s WINDOW w AS (PARTITION BY trip_id ORDER BY seq, line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), v AS (SELECT *, count_if(arrives) OVER (PARTITION BY trip_id, station) AS visits FROM o) SELECT v.trip_id AS id, v.stop_id AS seen FROM v JOIN trips t ON t.trip_id = v.trip_id WHERE given(t.trip_headsign) AND v.name = lower(t.trip_headsign) AND i > 1 AND i < n AND first <> last AND visits = 1",
     # The nearest station, by distance and id; two stations one of which has a stop of the other upon it.
     "STP_046 LQE10 stops.txt parent_station stations_near places": "SELECT stop_id AS id, min_by(station, struct(metres, station)) AS seen FROM stations_near WHERE parent_station IS NULL GROUP BY stop_id",
     "STP_047 LQE10 stops.txt parent_station stations_near places": "SELECT min_by(parent_station, line) AS id, min_by(station, line) AS seen FROM (SELECT n.*, km(a.lat, a.lon, b.lat, b.lon) * 1000 AS apart FROM stations_near n JOIN places a ON a.stop_id = n.parent_station AND a.location_type = 1 JOIN places b ON b.stop_id = n.station WHERE n.station <> n.parent_station AND NOT (abs(a.lat) < 0.1 AND abs(a.lon) < 0.1)) WHERE apart >= stop_too_close_m AND apart <= 150 GROUP BY least(parent_station, station), greatest(parent_station, station)",

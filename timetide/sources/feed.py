@@ -243,12 +243,26 @@ def read_zip(spark: SparkSession, path: str, keep: bool = True) -> Feed:
     return Feed(spark, {k: _data(v) for k, v in rows.items()}, headers, source(), rows, first, members, folder=folder)
 
 
-def from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> Feed:
-    """A feed of tables that are DataFrames already (Parquet, a warehouse): cells are cast to text; `line` is needed."""
+def from_frames(spark: SparkSession, frames: dict[str, DataFrame], keep: bool = False) -> Feed:
+    """A feed of tables that are DataFrames already (Parquet, a warehouse): cells are cast to text; `line` is needed.
+
+    keep: tables are computed once and kept as Parquet in the checkpoint folder, as each rule would compute them anew.
+    """
     tables = {k: v.select(F.col("line").cast("long"), *[F.col(c).cast("string") for c in v.columns if c != "line"]) for k, v in frames.items()}
     headers = {k: [c for c in v.columns if c != "line"] for k, v in frames.items()}
+    folder = None
+    if keep:
+        ready(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
+
+        def kept(name: str) -> DataFrame:
+            tables[name].write.parquet(f"{folder}/{name}")
+            return spark.read.schema(tables[name].schema).parquet(f"{folder}/{name}")
+
+        with ThreadPoolExecutor(TABLES) as pool:  # a job a table, side by side
+            tables = dict(zip(tables, list(pool.map(kept, tables)), strict=True))
     sound = lambda n: F.struct(F.lit(n).alias("cells"), F.lit("data").alias("kind"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("quoting"), F.lit(False).alias("bare_cr")).alias(ROW)
-    return Feed(spark, tables, headers, rows={k: v.select("*", sound(len(headers[k]))) for k, v in tables.items()})
+    return Feed(spark, tables, headers, rows={k: v.select("*", sound(len(headers[k]))) for k, v in tables.items()}, folder=folder)
 
 
 def from_texts(spark: SparkSession, files: dict[str, str | bytes]) -> Feed:
