@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timetide.functions.macros import expand
 from timetide.plans import views
 from timetide.plans.catalogue import load
 from timetide.plans.config import Config
@@ -19,9 +20,11 @@ def row_findings(rows: DataFrame, table: str, config: Config | None = None) -> D
     config = config or Config()
     known = views.COLUMNS[table].split()
     own = rows.withColumns({c: F.lit(None).cast("string") for c in known if c not in rows.columns})
-    cases = [row_case(r, rows.columns, config) for r in load() if r.kind == "row" and r.table == table]
+    facts: dict[str, str] = {}
+    cases = [row_case(r, rows.columns, config, facts) for r in load() if r.kind == "row" and r.table == table]
     extra = [c for c in rows.columns if c not in known]
-    found = own.select(*extra, F.explode(F.expr(f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)")).alias("n"))
+    asked = own.select("*", *[F.expr(expand(call)).alias(name) for call, name in facts.items()])
+    found = asked.select(*extra, F.explode(F.expr(f"filter(array({', '.join(cases)}), x -> x IS NOT NULL)")).alias("n"))
     return found.select(*extra, "n.rule_id", "n.entity_id", "n.field", "n.observed_value")
 
 
