@@ -41,3 +41,20 @@ def test_sets_that_share_a_little_are_not_joined_again(spark):
         assert 2 * len(rows) < rows_shuffled(found) < 12 * len(rows)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_that_share_a_little_are_not_shuffled(spark):
+    """300 sets of 40 items of 400: each two share some, and none of these pairs goes through a shuffle."""
+    draw = random.Random("pairs")
+    rows = [(0, who, item) for who in range(300) for item in draw.sample(range(400), 40)] + [(0, 300 + who, item) for who in range(2) for item in range(400, 440)]
+    found = relational.jaccard_pairs(spark.createDataFrame(rows, "block int, who long, item long"), "block", "who", "item", 0.5)
+    assert [tuple(r) for r in found.collect()] == [(0, 300, 301, 40, 1.0)]
+    assert rows_shuffled(found) < 4 * len(rows)
+
+
+def test_blocks_in_pieces_texts_and_nulls(spark, monkeypatch):
+    """Pieces of a few rows; sets and items of texts; a null item counts for the size, rows without block or set for nothing."""
+    monkeypatch.setattr(relational, "MOST_ROWS", 5)
+    rows = [("x", w, i) for w, own in {"b": "pqrs", "a": "pqr", "c": "pq", "d": "stuvw", "e": "q"}.items() for i in own] + [("x", "c", None), ("x", "c", None), (None, "a", "p"), ("x", None, "p"), ("y", "a", "p")]
+    found = relational.jaccard_pairs(spark.createDataFrame(rows, "block string, who string, item string"), "block", "who", "item", 0.4)
+    assert sorted(map(tuple, found.collect())) == [("x", "a", "b", 3, 0.75), ("x", "a", "c", 2, 0.5), ("x", "b", "c", 2, 0.4)]
